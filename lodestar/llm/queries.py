@@ -5,20 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestar.llm import line_dedup, quality_rules, topk_search, url_filter
 from lodestar.llm.common import table
 from lodestar.llm.ngram_join import ngram_jaccard_join
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_judgements(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
-    }
+    found = (op3_exact_topk, op5_url_filter, op6_quality_rules, op7_ngram_jaccard_join, op8_line_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_exact_topk": topk_search.ORACLE_SQL,
+        "op5_url_filter": url_filter.ORACLE_SQL,
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
+    }

@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import line_dedup, quality_rules, topk_search, url_filter
+from lodestar.llm import bpe, line_dedup, packing, quality_rules, token_files, topk_search, url_filter
 from lodestar.llm.common import table
 from lodestar.llm.ngram_join import ngram_jaccard_join
+from lodestar.llm.tokens import default_path
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = default_path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_output(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), end_id=2, with_ids=False)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -34,8 +46,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", "text")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_exact_topk, op5_url_filter, op6_quality_rules, op7_ngram_jaccard_join, op8_line_dedup)
+    found = (
+        op2_byte_bpe,
+        op3_exact_topk,
+        op4_token_files,
+        op5_url_filter,
+        op6_quality_rules,
+        op7_ngram_jaccard_join,
+        op8_line_dedup,
+        op10_packing,
+    )
     return {f.__name__: f for f in found}
 
 

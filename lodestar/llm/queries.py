@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, line_dedup, packing, quality_rules, token_files, topk_search, url_filter
+from lodestar.llm import bpe, chat_format, line_dedup, packing, quality_rules, token_files, topk_search, url_filter
 from lodestar.llm.common import table
 from lodestar.llm.ngram_join import ngram_jaccard_join
 from lodestar.llm.tokens import default_path
@@ -46,6 +46,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", "text")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(table(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), end_id=0)
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_quality_rules,
         op7_ngram_jaccard_join,
         op8_line_dedup,
+        op9_chat_format,
         op10_packing,
     )
     return {f.__name__: f for f in found}

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat_format, line_dedup, packing, quality_rules, token_files, topk_search, url_filter
+from lodestar.llm import bpe, chat_format, line_dedup, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
 from lodestar.llm.common import table
 from lodestar.llm.ngram_join import ngram_jaccard_join
 from lodestar.llm.tokens import default_path
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_words", "n_removed_words", "text")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_substring_dedup,
         op2_byte_bpe,
         op3_exact_topk,
         op4_token_files,

@@ -1 +1 @@
-
+"""Column expressions: text, vectors, prompts."""

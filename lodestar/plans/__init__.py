@@ -1 +1 @@
-
+"""Session settings, the retrieval pipeline and the registered queries."""

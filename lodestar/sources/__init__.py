@@ -1 +1 @@
-
+"""Tables, the chunk registry, corpora and stored indexes."""

@@ -58,15 +58,16 @@ def _local_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, thin: bool = True) -> DataFrame:
     """(vertex, component) for every vertex of an edge; component is the smallest vertex reachable.
 
-    ``edges`` has two long columns a and b; null ends, loops and repeated edges are ignored. An empty table
+    ``thin`` first reduces the edges of each task to spanning forests; edges that are forests already need none
+    of that. ``edges`` has two long columns a and b; null ends, loops and repeated edges are ignored. An empty table
     gives an empty result.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    current = stored(pairs.mapInArrow(_local_forests, _EDGES), "edges")
+    current = stored(pairs.mapInArrow(_local_forests, _EDGES) if thin else pairs, "edges")
     before = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))

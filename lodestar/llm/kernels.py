@@ -13,7 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; the temporary arrays take about 30 times as much.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
+
+# A worker gives memory back to the system, rather than keeping the most it ever used.
+pa.set_memory_pool(pa.system_memory_pool())
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)

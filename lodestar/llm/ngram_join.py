@@ -4,8 +4,8 @@
    copies cost nothing further.
 2. Classes are brought together losslessly: two sets with Jaccard similarity t share one of the first
    ``n - ceil(t * n) + 1`` members of each, under any common order of all shingles. The order used takes the
-   rarest first, by an exact histogram of all shingles over a fixed number of hash buckets, so shingles of
-   widespread passages come last.
+   shingles of the lower half of the hash range first, by the number of classes that hold them, so a shingle of
+   a widespread passage comes last and a class whose first members are all its own is done.
 3. Classes that share such a member form groups (connected components of the sharing). Each group is joined
    by a dual traversal of signature trees: a node holds the OR of its members' token bitmaps and their size
    range, and a pair of nodes is dropped when the largest possible overlap is too small or when both already
@@ -13,12 +13,14 @@
    task of its own, so a task's memory is bounded.
 4. Links, each verified on the whole sets, give components.
 
+Shingles travel as blocks of packed integers, dealt out by hash into parts of about ``PART_SHINGLES`` each; a
+shingle that very many classes hold costs 6 bytes for each in its part.
+
 Null and empty texts have an empty set and link with nothing. Repeated ids are taken as rows of one document.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import shuffle_partitions, stored
+from lodestar.llm.common import stored
 from lodestar.llm.components import connected_components, forest
 from lodestar.llm.kernels import shingle_sets
 
 WIDTH = 5
 #: Similarity as a fraction of integers: 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Buckets of the shingle histogram; its size doesn't depend on the input.
-BUCKET_BITS = 20
-SLICES = 64
+#: Shingles of one block of the candidate search.
+PART_SHINGLES = 1_500_000
+#: Hashes below this come first in the common order, by frequency.
+HALF = np.uint64(1 << 63)
 GROUP_LIMIT = 3000
 LEAF = 32
 BITMAP_BITS = 2048
@@ -51,122 +54,145 @@ def set_id(hashes: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(value).view("<i8")) if len(value) else 0
 
 
-def _signatures(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())])
+def prefix_length(n: int, percent: int) -> int:
+    """Two sets with that similarity share one of the first so many members of each, under any common order."""
+    return n - -(-n * percent // 100) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, s in shingle_sets(batch.column(1), width):
-                n[i], ids[i] = len(s), set_id(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids)], schema=schema)
 
-    return run
+def _lower(s: np.ndarray, percent: int) -> tuple[int, int]:
+    """Of an ascending set: how many hashes lie in the lower half, and how many are sent."""
+    t = int(np.searchsorted(s, HALF))
+    return t, max(t, prefix_length(len(s), percent)) if len(s) else 0
+
 
+def _signatures(width: int, percent: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("lower", pa.int64())])
 
-def _histogram(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << BUCKET_BITS, np.uint32)
-        held: list[np.ndarray] = []
-        size = 0
         for batch in batches:
-            for _, s in shingle_sets(batch.column(0), width):
-                held.append((s >> _U(64 - BUCKET_BITS)).astype(np.int64))
-                size += len(s)
-                if size > 2_000_000:
-                    count += np.bincount(np.concatenate(held), minlength=len(count)).astype(np.uint32)
-                    held, size = [], 0
-        if held:
-            count += np.bincount(np.concatenate(held), minlength=len(count)).astype(np.uint32)
-        if count.any():
-            parts = count.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], ["slice", "counts"]
-            )
+            n, ids, lower = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for i, s in shingle_sets(batch.column(1), width):
+                n[i], ids[i], lower[i] = len(s), set_id(s), _lower(s, percent)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids), pa.array(lower)], schema=schema)
 
     return run
 
 
-def _sum_slices(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros((1 << BUCKET_BITS) // SLICES, np.int64)
-    for pdf in batches:
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, "<u4")
-    yield pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
-
-
-def shingle_weights(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """How many shingles of all texts fall into each hash bucket: 2**BUCKET_BITS numbers, 4 MB at any input size."""
-    rows = texts.mapInArrow(_histogram(width), "slice int, counts binary").groupBy("slice").applyInPandas(_sum_slices, "slice int, counts binary")
-    out = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), np.uint32)
-    for r in rows.collect():
-        out[r["slice"]] = np.frombuffer(r["counts"], "<u4")
-    return out.reshape(-1)
-
+def _cut(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(part, bytes of each column's rows of that part)."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    found, starts = np.unique(part, return_index=True)
+    columns = [c[order] for c in columns]
+    for p, a, b in zip(found, starts, np.append(starts[1:], len(part)), strict=True):
+        yield int(p), *(c[a:b].tobytes() for c in columns)
 
-def prefix_length(n: int, percent: int) -> int:
-    """Two sets with that similarity share one of the first so many members of each, under any common order."""
-    return n - -(-n * percent // 100) + 1
 
+def _token_blocks(width: int, percent: int, parts: int):
+    """Blocks (part, upper 32 bits of shingle hashes, places of their sets, names of the sets)."""
 
-def _prefixes(width: int, percent: int, weights, parts: int):
-    """Blocks of (shingle, set) pairs for each of ``parts`` ranges of shingle hashes."""
+    def flush(tokens, owners, names):
+        if not tokens:
+            return
+        t = np.concatenate(tokens)
+        part = ((t & _U(0xFFFFFFFF)) * _U(parts) >> _U(32)).astype(np.int32)
+        rows = list(_cut(part, (t >> _U(32)).astype("<u4"), np.concatenate(owners)))
+        name = np.array(names, "<i8").tobytes()
+        columns = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)), pa.array([name] * len(rows), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "tokens", "places", "names"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = weights.value
+        tokens, owners, names, seen, size = [], [], [], set(), 0
         for batch in batches:
-            tokens, owners, seen, size = [], [], set(), 0
             for _, s in shingle_sets(batch.column(0), width):
                 name = set_id(s)
                 if not len(s) or name in seen:
                     continue
+                take = _lower(s, percent)[1]
+                tokens.append(s[:take])
+                owners.append(np.full(take, len(names), "<u2"))
                 seen.add(name)
-                k = prefix_length(len(s), percent)
-                w = weight[(s >> _U(64 - BUCKET_BITS)).astype(np.int64)]
-                # s is ascending, so a stable sort by weight orders by (weight, hash)
-                tokens.append(s[np.argsort(w, kind="stable")[:k]])
-                owners.append(np.full(k, name, np.int64))
-                size += k
-                if size > 1_000_000:
-                    yield from _blocks(tokens, owners, parts)
-                    tokens, owners, size = [], [], 0
-            yield from _blocks(tokens, owners, parts)
+                names.append(name)
+                size += take
+                if size > 1_500_000 or len(names) > 60_000:
+                    yield from flush(tokens, owners, names)
+                    tokens, owners, names, seen, size = [], [], [], set(), 0
+        yield from flush(tokens, owners, names)
 
     return run
 
 
-def _blocks(tokens: list[np.ndarray], owners: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    if not tokens:
-        return
-    t, o = np.concatenate(tokens), np.concatenate(owners)
-    part = ((t & _U(0xFFFFFFFF)) * _U(parts) >> _U(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    t, o, part = t[order], o[order], part[order]
-    found, starts = np.unique(part, return_index=True)
-    ends = np.append(starts[1:], len(part))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(found.astype(np.int32)),
-            pa.array([t[a:b].astype("<u8").tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-            pa.array([o[a:b].astype("<i8").tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-        ],
-        ["part", "tokens", "owners"],
-    )
+def _frequencies(homes: int):
+    """Of each shingle that several sets hold: to each of those sets how many they are."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, owners = [], []
+        for pdf in batches:
+            for t, p, n in zip(pdf["tokens"], pdf["places"], pdf["names"], strict=True):
+                tokens.append(np.frombuffer(t, "<u4"))
+                owners.append(np.frombuffer(n, "<i8")[np.frombuffer(p, "<u2")])
+        t, o = np.concatenate(tokens), np.concatenate(owners)
+        order = np.argsort(t, kind="stable")
+        t, o = t[order], o[order]
+        near = np.zeros(len(t) + 1, bool)
+        near[1:-1] = t[1:] == t[:-1]
+        several = near[1:] | near[:-1]
+        t, o = t[several], o[several]
+        order = np.lexsort((o, t))
+        t, o = t[order], o[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+        t, o = t[new], o[new]
+        _, at, count = np.unique(t, return_inverse=True, return_counts=True)
+        count = count[at]
+        t, o, count = t[count > 1], o[count > 1], np.minimum(count[count > 1], 65535)
+        rows = list(_cut((o % homes).astype(np.int32), o.astype("<i8"), t.astype("<u4"), count.astype("<u2")))
+        yield pd.DataFrame({"home": [r[0] for r in rows], "part": key[0], "owners": [r[1] for r in rows], "tokens": [r[2] for r in rows], "counts": [r[3] for r in rows]})
+
+    return run
+
+
+def _prefixes(percent: int):
+    """The first members of each set that other sets hold too, in blocks by the shingle's part."""
+
+    def run(key: tuple, found: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        if not len(found) or not len(sets):
+            return pd.DataFrame({"part": [], "tokens": [], "owners": []})
+        o = np.concatenate([np.frombuffer(x, "<i8") for x in found["owners"]])
+        t = np.concatenate([np.frombuffer(x, "<u4") for x in found["tokens"]])
+        c = np.concatenate([np.frombuffer(x, "<u2") for x in found["counts"]])
+        part = np.repeat(found["part"].to_numpy(), [len(x) // 8 for x in found["owners"]])
+        upper = t >= np.uint32(1 << 31)
+        order = np.lexsort((t, part, np.where(upper, 0, c), upper, o))
+        o, t, part, upper = o[order], t[order], part[order], upper[order]
+        names, first, held = np.unique(o, return_index=True, return_counts=True)
+        lower_held = np.add.reduceat((~upper).astype(np.int64), first)
+        sets = sets.drop_duplicates("set_id").set_index("set_id").loc[names]
+        n, lower = sets["n_shingles"].to_numpy(), sets["lower"].to_numpy()
+        length = n - -(-n * percent // 100) + 1
+        own = lower - lower_held  # shingles of the lower half that no other set holds come first
+        keep = np.where(lower >= length, np.maximum(0, length - own), held)
+        place = np.arange(len(o)) - np.repeat(first, held)
+        chosen = place < np.repeat(keep, held)
+        rows = list(_cut(part[chosen], t[chosen].astype("<u4"), o[chosen].astype("<i8")))
+        return pd.DataFrame({"part": [r[0] for r in rows], "tokens": [r[1] for r in rows], "owners": [r[2] for r in rows]})
+
+    return run
 
 
 def _shared(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A spanning forest of the sets that share a shingle of this range."""
+    """A spanning forest of the sets that share a first member of this part."""
     tokens, owners = [], []
     for pdf in batches:
-        tokens += [np.frombuffer(x, "<u8") for x in pdf["tokens"]]
+        tokens += [np.frombuffer(x, "<u4") for x in pdf["tokens"]]
         owners += [np.frombuffer(x, "<i8") for x in pdf["owners"]]
     t, o = np.concatenate(tokens), np.concatenate(owners)
     order = np.argsort(t, kind="stable")
     t, o = t[order], o[order]
     same = t[1:] == t[:-1]
-    a, b = o[1:][same], o[:-1][same]
-    differ = a != b
-    v, root = forest(a[differ], b[differ])
+    v, root = forest(o[1:][same], o[:-1][same])
     yield pd.DataFrame({"a": v, "b": root})
 
 
@@ -301,15 +327,19 @@ def ngram_jaccard_join(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    signed = stored(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_id long"), "sets")
-    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
+    signed = stored(texts.mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, set_id long, lower long"), "sets")
+    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("lower").alias("lower"))
 
     body = texts.select("text").where("text IS NOT NULL")
-    weights = spark.sparkContext.broadcast(shingle_weights(body, width))
-    parts = 4 * shuffle_partitions(spark)
-    blocks = body.mapInArrow(_prefixes(width, percent, weights, parts), "part int, tokens binary, owners binary")
-    near = blocks.groupBy("part").applyInPandas(_shared, "a long, b long")
-    groups = connected_components(near).select(F.col("vertex").alias("set_id"), F.col("component").alias("grp"))
+    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(1, -(-total // (2 * PART_SHINGLES)))
+    homes_n = max(1, -(-parts // 4))
+    blocks = body.mapInArrow(_token_blocks(width, percent, parts), "part int, tokens binary, places binary, names binary")
+    counted = blocks.groupBy("part").applyInPandas(_frequencies(homes_n), "home int, part int, owners binary, tokens binary, counts binary")
+    homes = classes.select(F.pmod("set_id", F.lit(homes_n)).cast("int").alias("home"), "set_id", "n_shingles", "lower")
+    first = counted.groupBy("home").cogroup(homes.groupBy("home")).applyInPandas(_prefixes(percent), "part int, tokens binary, owners binary")
+    near = first.groupBy("part").applyInPandas(_shared, "a long, b long")
+    groups = connected_components(near, thin=False).select(F.col("vertex").alias("set_id"), F.col("component").alias("grp"))
 
     sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group_limit))).cast("int").alias("k"))
     wanted = groups.join(sizes, "grp").join(classes, "set_id").select(F.col("first_id").alias("doc_id"), "set_id", "grp", "k")
@@ -321,9 +351,9 @@ def ngram_jaccard_join(
     tasks = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     tasks = tasks.select("grp", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "set_id", "members")
     links = tasks.groupBy("grp", "i", "j").applyInPandas(_join_group(percent), "a long, b long")
-    joined = connected_components(links).select(F.col("vertex").alias("set_id"), "component")
+    joined = connected_components(links, thin=False).select(F.col("vertex").alias("set_id"), "component")
 
-    named = classes.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = classes.select("set_id", "first_id").join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("set_id", "component_id")
     linked = signed.where("n_shingles > 0").join(named, "set_id").select("doc_id", "n_shingles", "set_id", "component_id")

@@ -25,7 +25,7 @@ from lodestar.llm.kernels import mix, separators, slices, span_hashes, string_bu
 SAMPLE_ROWS = 2000
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, MAX_CAPITAL_PERCENT = 10, 30, 60
+MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, MAX_CAPITAL_PERCENT, MAX_STUTTER_PERCENT = 10, 50, 60, 30
 MIN_WORD_CHARS, MAX_WORD_CHARS = 2, 12
 WINDOW = 5
 
@@ -108,6 +108,14 @@ class Texts:
         np.add.at(depth, begin + WINDOW, -1)
         return np.bincount(row[np.cumsum(depth[:-1]) > 0], minlength=self.n)
 
+    @cached_property
+    def n_stutters(self) -> np.ndarray:
+        """Words equal to the word before them."""
+        starts, ends, row = self.spans
+        hashes = span_hashes(self.raw, starts, ends)
+        again = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+        return np.bincount(row[1:][again], minlength=self.n)
+
     @cached_property
     def n_capitals(self) -> np.ndarray:
         """Words with a letter of A-Z and none of a-z."""
@@ -131,6 +139,7 @@ MORE_RULES = (
     Rule("symbols", lambda t: 100 * t.n_symbols > MAX_SYMBOL_PERCENT * t.n_words),
     Rule("dup_lines", lambda t: 100 * t.n_dup_lines > MAX_DUP_LINE_PERCENT * t.n_lines),
     Rule("word_length", lambda t: (t.word_chars < MIN_WORD_CHARS * t.n_words) | (t.word_chars > MAX_WORD_CHARS * t.n_words)),
+    Rule("stutters", lambda t: 100 * t.n_stutters > MAX_STUTTER_PERCENT * t.n_words),
     Rule("capitals", lambda t: 100 * t.n_capitals > MAX_CAPITAL_PERCENT * t.n_words),
 )
 
@@ -254,11 +263,12 @@ WITH w AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(marks.n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_capitals
+    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_capitals,
+    len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1]))::BIGINT AS n_stutters
   FROM w JOIN ln USING (doc_id) LEFT JOIN marks USING (doc_id)
 ), f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines
-    OR word_chars < {MIN_WORD_CHARS} * n_words OR word_chars > {MAX_WORD_CHARS} * n_words OR 100 * n_capitals > {MAX_CAPITAL_PERCENT} * n_words) AS kept
+    OR word_chars < {MIN_WORD_CHARS} * n_words OR word_chars > {MAX_WORD_CHARS} * n_words OR 100 * n_stutters > {MAX_STUTTER_PERCENT} * n_words OR 100 * n_capitals > {MAX_CAPITAL_PERCENT} * n_words) AS kept
 FROM f
 """

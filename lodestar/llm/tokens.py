@@ -1,89 +1,105 @@
-"""Byte-level tokenizers over whole texts, with words remembered between texts.
+"""A byte-level tokenizer over whole texts, with words remembered between texts.
 
-Both vocabularies split a text by a pattern whose matches never cross a single space that has other text on
-both sides, and each match is encoded by itself. So a text cut before each such space may be encoded piece by
-piece, and equal pieces share their result. A text with white space beside a space is encoded whole.
+The library's pre-tokenizer splits a text by a fixed pattern and encodes each match by itself, so equal words may
+share their result. For texts of Latin letters and common signs, whose classes all Unicode versions agree on, the
+split is made here and each different word goes to the library's model once; other texts go through the library
+whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-_BESIDE_SPACE = re.compile(r" \s|\s ")
-#: Pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
-
-
-def cut_at_spaces(text: str) -> list[str] | None:
-    """The text between single spaces; None where a space has white space beside it."""
-    return None if _BESIDE_SPACE.search(text) else text.split(" ")
-
-
-class PieceCache:
-    """piece -> result, for pieces that begin a text and for those that follow a space."""
-
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = REMEMBERED):
-        self._encode, self._limit = encode, limit
-        self._first: dict = {}
-        self._later: dict = {}
-
-    def results(self, texts: Iterable[str]) -> list[list]:
-        """For each text the results of its pieces in order."""
-        if len(self._first) + len(self._later) > self._limit:
-            self._first.clear()
-            self._later.clear()
-        cut = [(t, cut_at_spaces(t)) for t in texts]
-        first = {t if p is None else p[0] for t, p in cut} - self._first.keys()
-        later: set[str] = set()
-        for _, p in cut:
-            if p is not None and len(p) > 1:
-                later.update(p[1:])
-        later -= self._later.keys()
-        ordered = [*first, *later]
-        if ordered:
-            found = self._encode([*first, *(" " + x for x in later)])
-            self._first.update(zip(ordered[: len(first)], found, strict=False))
-            self._later.update(zip(ordered[len(first) :], found[len(first) :], strict=True))
-        out = []
-        whole = []
-        for t, p in cut:
-            if p is None:
-                out.append([self._first[t]])
-                whole.append(t)
+# The pattern of the library's byte-level pre-tokenizer, and the characters that stand for bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
+#: Texts of these characters are split by ranges that say the same as the pattern's classes, which is faster.
+_PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\u00a1-\u024f]*")
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\x09-\x0d "
+_PLAIN_WORDS = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Entries of each of a cache's two generations.
+REMEMBERED = 250_000
+
+
+def byte_characters() -> str:
+    """The character for each byte: itself if printable, else the next one from U+0100 on."""
+    out, extra = [], 256
+    for b in range(256):
+        if b in PRINTABLE:
+            out.append(chr(b))
+        else:
+            out.append(chr(extra))
+            extra += 1
+    return "".join(out)
+
+
+def plain_words(text: str) -> list[str] | None:
+    """The matches of PATTERN in a text of plain characters; None for other texts."""
+    return _PLAIN_WORDS.findall(text) if _PLAIN.fullmatch(text) else None
+
+
+class Cache:
+    """A bounded memory of two generations: entries that are asked for live on, the rest goes by turns."""
+
+    def __init__(self, make: Callable[[list[str]], list], limit: int = REMEMBERED):
+        self._make, self._limit = make, limit
+        self._young: dict = {}
+        self._old: dict = {}
+
+    def of(self, keys: set[str]) -> dict:
+        """A mapping that has the results of at least these keys, until the next call."""
+        young, old = self._young, self._old
+        if len(young) > self._limit:
+            self._old = old = young
+            self._young = young = {}
+        missing = keys - young.keys()
+        new = []
+        for k in missing:
+            if k in old:
+                young[k] = old[k]
             else:
-                out.append([self._first[p[0]], *map(self._later.__getitem__, p[1:])])
-        for t in whole:  # a whole text is not worth remembering
-            self._first.pop(t, None)
-        return out
+                new.append(k)
+        if new:
+            young.update(zip(new, self._make(new), strict=True))
+        return young
 
 
 class LibraryTokenizer:
-    """Token ids of the tokenizers library as little-endian integers of 2 or 4 bytes."""
+    """Token ids of the tokenizers library as little-endian integers of 2 or 4 bytes.
+
+    Special tokens' strings in a text are ordinary text.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 65536 else "<u4"
-        self._cache = PieceCache(self._encode)
+        splitter = self._tokenizer.pre_tokenizer
+        byte_level = isinstance(splitter, pre_tokenizers.ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
+        self._by_words = byte_level and self._tokenizer.normalizer is None
+        self._characters = byte_characters()
+        self._cache = Cache(self._encode)
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for low in range(0, len(pieces), 4096):
-            found = self._tokenizer.encode_batch_fast(pieces[low : low + 4096], add_special_tokens=False)
-            out += [np.array(x.ids, self.dtype).tobytes() for x in found]
-        return out
+    def _encode(self, words: list[str]) -> list[bytes]:
+        tokenize, characters, code = self._tokenizer.model.tokenize, self._characters, "H" if self.dtype == "<u2" else "I"
+        return [array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(characters))]).tobytes() for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
-        return [b"".join(x) for x in self._cache.results(texts)]
+        split = [plain_words(t) if self._by_words else None for t in texts]
+        known = self._cache.of(set().union(*(w for w in split if w is not None))).__getitem__
+        others = [t for t, w in zip(texts, split, strict=True) if w is None]
+        whole = iter([np.array(x.ids, self.dtype).tobytes() for x in self._tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else [])
+        return [next(whole) if w is None else b"".join(map(known, w)) for w in split]
 
 
 _loaded: dict = {}

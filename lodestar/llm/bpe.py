@@ -1,7 +1,7 @@
 """Byte-level BPE by recursive DuckDB queries in each task.
 
-A word is rows (word, position, token id). Each step of the recursion joins neighbouring rows with the merge
-table, finds each word's pair of minimum rank, the leftmost of equals, and contracts it; a word without a pair
+A word is rows (word, position, token id, next position). Each step of the recursion joins neighbouring rows with
+the merge table, finds each word's pair of minimum rank, the leftmost of equals, and contracts it; a word without a pair
 that merges takes no further part, and its last rows are its ids. Decoding joins ids with the vocabulary and
 concatenates the bytes by position. Words are encoded once for each worker, as long as it remembers them.
 
@@ -22,27 +22,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.kernels import slices
-from lodestar.llm.tokens import PieceCache
+from lodestar.llm.tokens import PATTERN, Cache, plain_words
 
 LONG_WORD = 1000
 #: Words of one recursive query; bounded also by the rows that their steps may take.
 BLOCK_WORDS, BLOCK_ROWS = 20_000, 4_000_000
 
 _ENCODE = """
-WITH RECURSIVE s(step, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM pieces
+WITH RECURSIVE s(step, word, pos, id, next) AS (
+  SELECT 0, word, pos, id, next FROM pieces
   UNION ALL
-  SELECT r.step + 1, r.word, r.pos, CASE WHEN r.pos = b.c % 4294967296 THEN (b.c // 4294967296)::INTEGER ELSE r.id END
-  FROM (SELECT step, word, pos, id, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before FROM s) r
-  JOIN (
-    SELECT word, min(merged::BIGINT * 4294967296 + pos) AS c
-    FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM s) p
-    JOIN merges ON p.id = merges.first AND p.next = merges.second
+  SELECT s.step + 1, s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.id END, CASE WHEN s.pos = b.pos THEN b.after ELSE s.next END
+  FROM s JOIN (
+    SELECT word, (min(c) % 4294967296)::INTEGER AS pos, (min(c) // 4294967296)::INTEGER AS merged, arg_min(gone, c) AS gone, arg_min(after, c) AS after
+    FROM (
+      SELECT x.word, m.merged::BIGINT * 4294967296 + x.pos AS c, y.pos AS gone, y.next AS after
+      FROM s x JOIN s y ON x.word = y.word AND x.next = y.pos JOIN merges m ON x.id = m.first AND y.id = m.second
+    )
     GROUP BY word
-  ) b ON r.word = b.word
-  WHERE r.before IS DISTINCT FROM b.c % 4294967296
+  ) b ON s.word = b.word
+  WHERE s.pos <> b.gone
 ), last AS (SELECT word, max(step) AS step FROM s GROUP BY word)
-SELECT s.word, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids, count(*) AS n, string_agg(vocabulary.hex, '' ORDER BY s.pos) AS hex
+SELECT s.word, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids, string_agg(vocabulary.hex, '' ORDER BY s.pos) AS hex
 FROM s JOIN last USING (word, step) JOIN vocabulary USING (id)
 GROUP BY s.word
 """
@@ -57,7 +58,7 @@ class DuckBpe:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._pattern = regex.compile(pattern)
+        self._pattern, self._plain = regex.compile(pattern), pattern == PATTERN
         self._bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         triples = [
             (left, right, rank)
@@ -75,21 +76,21 @@ class DuckBpe:
             self._db.register("rows_in", rows)
             self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
             self._db.unregister("rows_in")
-        self._words: dict[str, tuple[int, str, bytes]] = {}
-        self._cache = PieceCache(self._pieces, limit=150_000)
+        self._cache = Cache(lambda words: self.encode_words([w.encode() for w in words]))
 
     def words(self, text: str) -> list[str]:
-        return self._pattern.findall(text)
+        plain = plain_words(text) if self._plain else None
+        return self._pattern.findall(text) if plain is None else plain
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, decoded bytes) of each word."""
+    def encode_words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) of each word."""
         out: list = [None] * len(words)
         block: list[int] = []
         rows = 0
         for i in sorted(range(len(words)), key=lambda i: len(words[i])):
             if len(words[i]) > LONG_WORD:
                 ids = self._by_heap(words[i])
-                out[i] = (len(ids), ",".join(map(str, ids)), b"".join(self._token[x] for x in ids))
+                out[i] = (",".join(map(str, ids)), b"".join(self._token[x] for x in ids))
                 continue
             block.append(i)
             rows += len(words[i]) ** 2
@@ -105,11 +106,13 @@ class DuckBpe:
         flat = np.frombuffer(b"".join(words[i] for i in block), np.uint8)
         word = np.repeat(np.arange(len(block), dtype=np.int32), lengths)
         pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        self._db.register("pieces", pa.table({"word": word, "pos": pos, "id": self._bytes[flat]}))
+        after = pos + np.int32(1)
+        after[np.cumsum(lengths) - 1] = -1
+        self._db.register("pieces", pa.table({"word": word, "pos": pos, "id": self._bytes[flat], "next": after}))
         found = self._db.sql(_ENCODE).to_arrow_table()
         self._db.unregister("pieces")
-        for w, ids, n, text in zip(*(found.column(c).to_pylist() for c in ("word", "ids", "n", "hex")), strict=True):
-            out[block[w]] = (n, ids, bytes.fromhex(text))
+        for w, ids, text in zip(*(found.column(c).to_pylist() for c in ("word", "ids", "hex")), strict=True):
+            out[block[w]] = (ids, bytes.fromhex(text))
 
     def _by_heap(self, word: bytes) -> list[int]:
         ids: list = [int(self._bytes[b]) for b in word]
@@ -131,24 +134,16 @@ class DuckBpe:
                 heapq.heappush(heap, (x, before[i]))
         return [x for x in ids if x is not None]
 
-    def _pieces(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
-        if len(self._words) > 300_000:
-            self._words.clear()
-        split = [self.words(p) for p in pieces]
-        new = list({w for ws in split for w in ws} - self._words.keys())
-        self._words.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
-        return [_joined([self._words[w] for w in ws]) for ws in split]
-
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids joined by commas, decoded bytes) of each text."""
-        return [_joined(x) for x in self._cache.results(texts)]
-
-
-def _joined(parts: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
-    parts = [p for p in parts if p[0]]
-    if len(parts) == 1:
-        return parts[0]
-    return sum(p[0] for p in parts), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
+        split = [self.words(t) for t in texts]
+        known = self._cache.of(set().union(*split)).__getitem__
+        out = []
+        for words in split:
+            found = list(map(known, words))
+            ids = ",".join([f[0] for f in found])
+            out.append((ids.count(",") + 1 if words else 0, ids, b"".join([f[1] for f in found])))
+        return out
 
 
 _loaded: dict = {}

@@ -295,27 +295,71 @@ def dual_traversal(tree: SignatureTree, other: SignatureTree | None, percent: in
             if u == v:
                 continue
             a, b = tree.sets[p], other.sets[q]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (len(a) + len(b) - both):
+            if _alike(a, b, percent):
                 root[max(u, v)] = min(u, v)
                 left.append(p)
                 right.append(q)
     return left, right
 
 
-def _join_group(percent: int):
+#: Sets of small groups that one task call takes together.
+CALL_SETS = 2000
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _join_groups(percent: int):
+    """Links within each group, or between each two parts of one."""
+
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, i, j = key
-        pdf = pd.concat(list(batches))
-        pdf = pdf.sort_values("set_id")
-        sides = [pdf[pdf["part"] == i], pdf[pdf["part"] == j]]
-        trees = [SignatureTree([np.frombuffer(x, "<u8") for x in s["members"]]) for s in (sides[:1] if i == j else sides)]
-        left, right = dual_traversal(trees[0], None if i == j else trees[1], percent)
-        yield pd.DataFrame({"a": sides[0]["set_id"].to_numpy()[left], "b": (sides[0] if i == j else sides[1])["set_id"].to_numpy()[right]})
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["grp", "i", "j", "part", "set_id"], ignore_index=True)
+        columns = [pdf[c].to_numpy() for c in ("grp", "i", "j")]
+        new = np.ones(len(pdf), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        starts = np.flatnonzero(new)
+        names, part = pdf["set_id"].to_numpy(), pdf["part"].to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in pdf["members"]]
+        left, right = [], []
+        for low, high in zip(starts.tolist(), np.append(starts[1:], len(pdf)).tolist(), strict=True):
+            i, j = columns[1][low], columns[2][low]
+            if i != j:
+                mid = low + int(np.count_nonzero(part[low:high] == i))
+                a, b = dual_traversal(SignatureTree(sets[low:mid]), SignatureTree(sets[mid:high]), percent)
+                right += [mid + x for x in b]
+            elif high - low == 2:  # a tree of two leaves is their comparison
+                a, b = ([0], [1]) if _alike(sets[low], sets[low + 1], percent) else ([], [])
+                right += [low + x for x in b]
+            else:
+                a, b = dual_traversal(SignatureTree(sets[low:high]), None, percent)
+                right += [low + x for x in b]
+            left += [low + x for x in a]
+        yield pd.DataFrame({"a": names[left], "b": names[right]})
 
     return run
 
 
+def group_sizes(groups: DataFrame, group_limit: int) -> tuple[DataFrame, int]:
+    """(grp, k): into how many parts each group is split; and over how many task calls small groups are spread."""
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group_limit))).cast("int").alias("k"))
+    return sizes, max(1, -(-groups.count() // CALL_SETS))
+
+
+def link_groups(sets: DataFrame, percent: int, calls: int) -> DataFrame:
+    """(a, b): verified links of the sets (set_id, grp, k, members) that join everything similar in a group.
+
+    A group of k parts is k * (k + 1) / 2 calls of its own, so a call holds two parts at most.
+    """
+    sets = sets.withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
+    tasks = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tasks = tasks.select("grp", "k", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "set_id", "members")
+    call = F.when(F.col("k") > 1, F.xxhash64("grp", "i", "j")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(calls)))
+    tasks = tasks.withColumn("call", call).drop("k")
+    return tasks.groupBy("call").applyInPandas(_join_groups(percent), "a long, b long")
+
+
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
@@ -341,16 +385,13 @@ def ngram_jaccard_join(
     near = first.groupBy("part").applyInPandas(_shared, "a long, b long")
     groups = connected_components(near, thin=False).select(F.col("vertex").alias("set_id"), F.col("component").alias("grp"))
 
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group_limit))).cast("int").alias("k"))
+    sizes, calls = group_sizes(groups, group_limit)
     wanted = groups.join(sizes, "grp").join(classes, "set_id").select(F.col("first_id").alias("doc_id"), "set_id", "grp", "k")
     wanted = stored(wanted, "wanted")
     # One text for each class: the wanted ids are the small side and are hashed, the texts stream past unsorted.
     carried = texts.join(wanted.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]) if _repeats(signed) else texts.join(wanted.hint("shuffle_hash"), "doc_id")
     sets = carried.select("set_id", "text", "grp", "k").mapInArrow(_payload(width), "set_id long, grp long, k int, members binary")
-    sets = sets.withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
-    tasks = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tasks = tasks.select("grp", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "set_id", "members")
-    links = tasks.groupBy("grp", "i", "j").applyInPandas(_join_group(percent), "a long, b long")
+    links = link_groups(sets, percent, calls)
     joined = connected_components(links, thin=False).select(F.col("vertex").alias("set_id"), "component")
 
     named = classes.select("set_id", "first_id").join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import stored
 from lodestar.llm.components import connected_components, forest
 from lodestar.llm.kernels import mix, slices, string_buffer, windows, words
-from lodestar.llm.ngram_join import GROUP_LIMIT, PERCENT, WIDTH, _cut, _join_group
+from lodestar.llm.ngram_join import GROUP_LIMIT, PERCENT, WIDTH, _cut, group_sizes, link_groups
 
 MIN_PARAGRAPH_WORDS = 20
 MIN_RUN_WORDS = 12
@@ -224,16 +224,13 @@ def paragraph_components(texts: DataFrame, places: DataFrame, bands: DataFrame,
     """(name, component) of the paragraphs linked with others; a name stands for one sequence of words."""
     near = bands.groupBy("part").applyInPandas(_collisions, "a long, b long")
     groups = connected_components(near, thin=False).select(F.col("vertex").alias("name"), F.col("component").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group_limit))).cast("int").alias("k"))
+    sizes, calls = group_sizes(groups, group_limit)
     one = places.groupBy("name").agg(F.min(F.struct("doc_id", "start", "n")).alias("at"))
     asked = groups.join(sizes, "grp").join(one, "name").groupBy(F.col("at.doc_id").alias("doc_id"))
     asked = asked.agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "name", "grp", "k")).alias("asked"))
     held = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
     sets = held.join(asked.hint("shuffle_hash"), "doc_id").select("text", "asked").mapInArrow(_members, "set_id long, grp long, k int, members binary")
-    sets = sets.withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
-    tasks = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tasks = tasks.select("grp", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "set_id", "members")
-    links = tasks.groupBy("grp", "i", "j").applyInPandas(_join_group(percent), "a long, b long")
+    links = link_groups(sets, percent, calls)
     return connected_components(links, thin=False).select(F.col("vertex").alias("name"), "component")
 
 

@@ -24,11 +24,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows of df, written as a table in the shared folder and read back, so that lineage ends here."""
+def stored(df: DataFrame, purpose: str, *folders: str) -> DataFrame:
+    """The rows of df, written as a table in the shared folder and read back, so that lineage ends here.
+
+    With ``folders``, columns by whose values the table is laid out, a filter on them reads its own files only.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,3 +50,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -8,8 +8,11 @@ first occurrence, by (doc_id, place), stays.
 
 A passage inside paragraphs has no line of its own, and an edit of one word in fewer than 39 leaves less than
 0.75, so shorter units are compared for equality: the words of a document are cut where the hash of three words
-is least among its neighbours, which depends on the words around only. A run of at least ``MIN_RUN_WORDS``
-words whose pieces all occurred before is removed.
+is least among its neighbours, which depends on the words around only. A piece that occurred before is extended
+by the words beside it, up to ``BESIDE`` on each side, that are those beside the first occurrence too (compared
+by one byte each, and only next to a piece whose words are all equal).
+
+Repeated paragraphs and pieces are united, and a run of at least ``MIN_RUN_WORDS`` words is removed.
 
 Words are maximal runs of bytes other than white space, A-Z lower-cased for comparison. Null texts stay null,
 a text that goes entirely is an empty string. Rows that share an id count as one document; rows with a null id
@@ -18,6 +21,7 @@ are returned as they are.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,23 +30,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored
+from lodestar.llm.common import stored, unused
 from lodestar.llm.components import connected_components, forest
 from lodestar.llm.kernels import mix, slices, string_buffer, windows, words
 from lodestar.llm.ngram_join import GROUP_LIMIT, PERCENT, WIDTH, _cut, group_sizes, link_groups
 
-MIN_PARAGRAPH_WORDS = 20
-MIN_RUN_WORDS = 12
+MIN_PARAGRAPH_WORDS = 25
+MIN_RUN_WORDS = 25
 MIN_PIECE_WORDS = 3
 BANDS, ROWS = 7, 2
 #: A cut is the least of so many neighbours on either side.
 REACH = 5
+#: Words on either side that a repeated piece may be extended by.
+BESIDE = 16
 #: Units of one block of the search for equal keys.
 PART_UNITS = 1_000_000
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _UNIT = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
+_PIECE = np.dtype([*_UNIT.descr, ("left", "u1", BESIDE), ("right", "u1", BESIDE)])
 
 
 def _sequence_hash(hashes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -98,6 +105,15 @@ def piece_starts(hashes: np.ndarray, row: np.ndarray, reach: int = REACH) -> np.
     return np.flatnonzero(first)
 
 
+def _beside(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One byte for each of the words before ``first`` and from ``end`` on; 0 outside the row's words low to high."""
+    byte = (mix(hashes ^ _U(0x5851F42D4C957F2D)) % _U(255) + _U(1)).astype(np.uint8)
+    step = np.arange(BESIDE)
+    left, right = first[:, None] - 1 - step, end[:, None] + step
+    pick = lambda at, ok: np.where(ok, byte[np.clip(at, 0, max(0, len(byte) - 1))], 0)
+    return pick(left, left >= low[:, None]), pick(right, right < high[:, None])
+
+
 def _units(parts: int):
     """Blocks: of paragraphs' band keys (kind 0), of pieces' keys (1), and all paragraphs' places (2)."""
 
@@ -112,7 +128,7 @@ def _units(parts: int):
                 if not len(starts):
                     continue
                 own = ids[a:b]
-                base = np.searchsorted(row, np.arange(b - a))  # a row's first word
+                base = np.searchsorted(row, np.arange(b - a + 1))  # a row's first word
                 line, owner = paragraphs(raw, starts, row)
                 length = np.diff(np.append(line, len(row)))
                 long = length >= MIN_PARAGRAPH_WORDS
@@ -124,8 +140,9 @@ def _units(parts: int):
                 _, keys = band_keys(hashes[kept], number[owner[kept]], int(long.sum()))
                 cut = piece_starts(hashes, row)
                 n = np.diff(np.append(cut, len(row)))
-                piece = np.zeros(len(cut), _UNIT)
+                piece = np.zeros(len(cut), _PIECE)
                 piece["doc"], piece["start"], piece["n"] = own[row[cut]], cut - base[row[cut]], n
+                piece["left"], piece["right"] = _beside(hashes, cut, cut + n, base[row[cut]], base[row[cut] + 1])
                 of = np.repeat(np.arange(len(cut)), n)
                 piece_keys = _sequence_hash(hashes, cut, of) + n.astype(_U)
                 some = n >= MIN_PIECE_WORDS
@@ -167,11 +184,11 @@ def _collisions(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Data
 
 
 def _repeated_pieces(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pieces that occurred before, each with the document of the first occurrence."""
+    """The pieces that occurred before, extended, each with the document of the first occurrence."""
     keys, units = [], []
     for pdf in batches:
         keys += [np.frombuffer(x, "<u8") for x in pdf["keys"]]
-        units += [np.frombuffer(x, _UNIT) for x in pdf["units"]]
+        units += [np.frombuffer(x, _PIECE) for x in pdf["units"]]
     k, u = np.concatenate(keys), np.concatenate(units)
     order = np.argsort(k, kind="stable")
     k, u = k[order], u[order]
@@ -186,9 +203,12 @@ def _repeated_pieces(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd
     first = np.repeat(u[new], np.diff(np.append(np.flatnonzero(new), len(k)))) if len(k) else u
     later = (u["doc"] != first["doc"]) | (u["start"] != first["start"])
     u, first = u[later], first[later]
+    same = lambda side: np.cumprod((u[side] == first[side]) & (u[side] > 0), axis=1).sum(axis=1).astype(np.int64)
+    left, right = same("left"), same("right")
+    start, n = u["start"] - left, u["n"] + left + right
     for low in range(0, len(u), 500_000):
-        x = u[low : low + 500_000]
-        yield pd.DataFrame({"doc_id": x["doc"], "start": x["start"].astype(np.int64), "n": x["n"].astype(np.int64), "first_id": first["doc"][low : low + 500_000]})
+        part = slice(low, low + 500_000)
+        yield pd.DataFrame({"doc_id": u["doc"][part], "start": start[part], "n": n[part], "first_id": first["doc"][part]})
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +297,11 @@ def _removed(id_at: int, text_at: int, spans_at: int, n_columns: int, min_run: i
                         removed[i] += high - low
                     texts[i] = b"".join([*kept, whole[at:]]).decode()
                     runs_out[i] = [{"start": low, "n_words": high - low} for low, high in runs]
-                    inside = [x["first_id"] for x in spans if any(low <= x["start"] < high for low, high in runs)]
-                    first[i] = min([first[i], *inside])
+                    begins = [r[0] for r in runs]
+                    for x in spans:
+                        at = bisect.bisect_right(begins, x["start"]) - 1
+                        if at >= 0 and x["start"] < runs[at][1]:
+                            first[i] = min(first[i], x["first_id"])
                 columns = [part.column(c) for c in range(n_columns)]
                 columns[text_at] = pa.array(texts, pa.string())
                 spans_type = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
@@ -294,12 +317,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` with repeated passages cut out of ``text_col``.
 
     Added columns: n_words, n_removed_words, class_id (the smallest id that holds, first, a passage removed here;
-    else the row's own id) and removed (array of first word and number of words in the text before removal).
+    else the row's own id) and removed (array of first word and number of words in the text before removal). Columns
+    of ``docs`` with these names are replaced.
     """
+    docs = docs.drop("n_words", "n_removed_words", "class_id", "removed")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = texts.count()
     parts = max(1, -(-rows * 60 // PART_UNITS))
-    blocks = stored(texts.mapInArrow(_units(parts), "kind int, part int, keys binary, units binary").repartition(F.col("kind"), F.col("part")), "units")
+    blocks = stored(texts.mapInArrow(_units(parts), "kind int, part int, keys binary, units binary"), "units", "kind")
     places = blocks.where("kind = 2").select("keys", "units").mapInArrow(_places, "name long, doc_id long, start long, n long")
     places = stored(places, "places")
     linked = paragraph_components(texts, places, blocks.where("kind = 0").select("part", "keys", "units"))
@@ -309,8 +334,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = lines.select("doc_id", "start", "n", F.col("first.doc_id").alias("first_id"))
     pieces = blocks.where("kind = 1").select("part", "keys", "units").groupBy("part").applyInPandas(_repeated_pieces, "doc_id long, start long, n long, first_id long")
     spans = lines.unionByName(pieces).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "first_id")).alias("_spans"))
-    joined = docs.withColumn("_id", F.col(id_col).cast("long"))
-    joined = joined.join(spans.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), "_id", "left").select(*docs.columns, "_id", "_spans")
+    id_, spans_ = unused(docs, "_id", "_spans")
+    spans = spans.withColumnsRenamed({"doc_id": id_, "_spans": spans_})
+    joined = docs.withColumn(id_, F.col(id_col).cast("long")).join(spans.hint("shuffle_hash"), id_, "left").select(*docs.columns, id_, spans_)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema += ", n_words long, n_removed_words long, class_id long, removed array<struct<start: long, n_words: long>>"

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import unused
+
 #: A chunk ends on average after so many lines.
 DIVISOR = 3
 MIN_LINES = 2
@@ -58,7 +60,10 @@ def _placed(removed: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """The rows of ``docs`` with the text after removal in ``text_col``, and n_lines, n_chunks, n_removed_lines."""
+    """The rows of ``docs`` with the text after removal in ``text_col``, and n_lines, n_chunks, n_removed_lines.
+
+    Columns of ``docs`` with the added names are replaced.
+    """
     split = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(chunks(F.col(text_col), divisor)).alias("c"))
     keyed = split.where(F.col("c.n") >= min_lines).select("_id", F.col("c.k").alias("k"), F.unhex(F.md5("c.text")).alias("key"))
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_id", "k")).alias("first")).where("times > 1")
@@ -73,23 +78,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = held.withColumn("_chunks", chunks(F.col("_text"), divisor)).select(F.explode(F.transform(wanted, named)).alias("x"))
     held = held.select("x.key", "x.text").dropDuplicates(["key"])
     gone = repeats.select("_id", "k", "key").join(held, "key").groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("k", "text"))).alias("_gone"))
-    out = docs.withColumns({"_id": F.col(id_col), "_text": F.col(text_col)}).join(gone.hint("shuffle_hash"), "_id", "left")
+    id_, text_, gone_, compared_ = unused(docs, "_id", "_text", "_gone", "_compared")
+    gone = gone.withColumnsRenamed({"_id": id_, "_gone": gone_})
+    out = docs.withColumns({id_: F.col(id_col), text_: F.col(text_col)}).join(gone.hint("shuffle_hash"), id_, "left")
     compared = F.zip_with(
-        chunks(F.col("_text"), divisor),
-        F.coalesce(_placed(F.col("_gone")), F.array().cast("array<string>")),
+        chunks(F.col(text_), divisor),
+        F.coalesce(_placed(F.col(gone_)), F.array().cast("array<string>")),
         lambda c, r: F.struct(c.alias("c"), (~(r.isNull() | (r != c["text"]))).alias("go")),
     )
-    out = out.withColumn("_compared", compared)
-    text = F.array_join(F.transform(F.filter("_compared", lambda x: ~x["go"]), lambda x: x["c"]["text"]), "\n")
+    out = out.withColumn(compared_, compared)
+    text = F.array_join(F.transform(F.filter(compared_, lambda x: ~x["go"]), lambda x: x["c"]["text"]), "\n")
     lines = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["c"]["n"])
     return out.withColumns(
         {
-            text_col: F.when(F.col("_text").isNotNull(), text),
-            "n_lines": F.coalesce(lines(F.col("_compared")), F.lit(0).cast("long")),
-            "n_chunks": F.coalesce(F.size("_compared").cast("long"), F.lit(0).cast("long")),
-            "n_removed_lines": F.coalesce(lines(F.filter("_compared", lambda x: x["go"])), F.lit(0).cast("long")),
+            text_col: F.when(F.col(text_).isNotNull(), text),
+            "n_lines": F.coalesce(lines(F.col(compared_)), F.lit(0).cast("long")),
+            "n_chunks": F.coalesce(F.size(compared_).cast("long"), F.lit(0).cast("long")),
+            "n_removed_lines": F.coalesce(lines(F.filter(compared_, lambda x: x["go"])), F.lit(0).cast("long")),
         }
-    ).drop("_id", "_text", "_gone", "_compared")
+    ).drop(id_, text_, gone_, compared_)
 
 
 #: The same in DuckDB SQL: digest of every document's text after removal.

@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects a document from counts over its whole text. On a sample of at most ``SAMPLE_ROWS`` documents
-the executors time every rule and count what it rejects; the cascade then runs the rules by rejections per
-second, each on the documents that the earlier rules left. The order changes the time taken, never a verdict.
+Each rule rejects a document from counts over its whole text. On a sample of at most ``SAMPLE_ROWS`` documents, of
+at most ``SAMPLE_CHARS`` characters each, every rule is timed and what it rejects is counted; the cascade then runs
+the rules by rejections per second, each on the documents that the earlier rules left. The order changes the time
+taken, never a verdict, so the sample may be what the first partitions hold.
 
 A null or empty text has no words. Lines are split at ``\\n`` only. A row with a null id is judged like others.
 """
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.kernels import mix, separators, slices, span_hashes, string_buffer, windows, word_spans
 
 #: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
+SAMPLE_CHARS = 20_000
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, MAX_CAPITAL_PERCENT, MAX_STUTTER_PERCENT = 10, 50, 60, 30
@@ -144,30 +146,22 @@ MORE_RULES = (
 )
 
 
-def _measure(rules: tuple[Rule, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seconds, rejected, rows = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
-        for batch in batches:
-            for a, b in slices(batch.column(0)):
-                rows += b - a
-                for i, rule in enumerate(rules):
-                    began = time.thread_time()
-                    # a block of its own, so that no rule gains from what another has worked out
-                    rejected[i] += int(rule.rejects(Texts(batch.column(0).slice(a, b - a))).sum())
-                    seconds[i] += time.thread_time() - began
-        names = pa.array([r.name for r in rules])
-        yield pa.RecordBatch.from_arrays([names, pa.array(seconds), pa.array(rejected), pa.array([rows] * len(rules))], ["name", "seconds", "rejected", "n"])
-
-    return run
-
-
 def calibrate(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second on a sample; as given where the sample is empty."""
-    sample = docs.select(text_col).limit(sample_rows)
-    found = sample.mapInArrow(_measure(rules), "name string, seconds double, rejected long, n long")
-    found = found.groupBy("name").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()
-    score = {r["name"]: (r["rejected"] + 0.5) / (r["seconds"] + 1e-6) for r in found if r["n"]}
-    return tuple(sorted(rules, key=lambda r: -score.get(r.name, 0.0)))
+    """The rules by rejections per second on a sample; as given where the sample is empty.
+
+    The sample comes from as few partitions as hold it, and is of bounded size on the driver.
+    """
+    texts = docs.select(F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).limit(sample_rows).collect()
+    if not texts:
+        return rules
+    column = pa.array([r["text"] for r in texts], pa.string())
+    score = {}
+    for rule in rules:
+        began = time.thread_time()
+        # blocks of its own, so that no rule gains from what another has worked out
+        rejected = sum(int(rule.rejects(Texts(column.slice(a, b - a))).sum()) for a, b in slices(column))
+        score[rule.name] = (rejected + 0.5) / (time.thread_time() - began + 1e-6)
+    return tuple(sorted(rules, key=lambda r: -score[r.name]))
 
 
 def cascade(column: pa.Array, ordered: tuple[Rule, ...]) -> np.ndarray:

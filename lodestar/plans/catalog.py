@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import prompt, text, vector
 from lodestar.operators import budget, chunking, dense, evaluation, fusion, lexical, metrics, rerank
 from lodestar.plans.pipeline import Retriever, answer_prompts
-from lodestar.sources import corpora, index_store, registry
+from lodestar.sources import corpora, index_store, registry, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,8 +107,11 @@ sent AS (
     FROM documents
   )
 )"""
-_INDEX = f"""
-tok AS (SELECT doc_id AS ci, {_tokens('text')} AS ts FROM documents),
+
+
+def _index(source: str, key: str) -> str:
+    return f"""
+tok AS (SELECT {key} AS ci, {_tokens('text')} AS ts FROM {source}),
 dl AS (SELECT ci, len(ts)::DOUBLE AS dl FROM tok),
 cs AS (SELECT count(*)::BIGINT AS n, coalesce(avg(dl), 1.0) AS avg_dl FROM dl),
 post AS (SELECT ci, term, count(*)::BIGINT AS tf FROM (SELECT ci, unnest(ts) AS term FROM tok) GROUP BY ci, term),
@@ -117,6 +120,9 @@ qs AS (SELECT item_id AS q, text, 'src' || (item_id % {N_TENANTS})::VARCHAR AS t
 qt AS (SELECT q, term, count(*)::DOUBLE AS qtf FROM (SELECT q, unnest({_tokens('text')}) AS term FROM qs) GROUP BY q, term)"""
 
 
+_INDEX = _index("documents", "doc_id")
+
+
 def _bm25(k: int, k1: float = lexical.K1, b: float = lexical.B, delta: float = lexical.DELTA, name: str = "bm") -> str:
     return f"""
 {name}_s AS (
@@ -596,6 +602,19 @@ def ingest_append(spark, sf_dir):
     return registry.append(chunks(spark, sf_dir), new, "doc_id", ["pos"])
 
 
+@_query(
+    f"WITH RECURSIVE {_BOUNDARIES}, src AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY doc_id, grp ORDER BY pos) AS i, sentence FROM gr), {_fold('src')}, "
+    "st AS (SELECT row_number() OVER (ORDER BY doc_id, grp, chunk) - 1 AS chunk_index, text FROM ch), "
+    f"{_index('st', 'chunk_index')}, {_bm25(K)} SELECT {_HIT} FROM bm"
+)
+def ingest_search(spark, sf_dir):
+    """Documents ingested into a stored corpus, which is opened again and searched."""
+    folder = _scratch(spark, "corpus")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tenant"), "text")
+    store.ingest(docs, folder, threshold=CHUNK_THRESHOLD, max_tokens=CHUNK_TOKENS)
+    return store.restore(spark, folder).index.search(asked(spark, sf_dir), K)
+
+
 @_query("SELECT count(DISTINCT source)::BIGINT AS active_tenants FROM documents")
 def active_tenants(spark, sf_dir):
     return registry.active_tenants(registered(spark, sf_dir))

@@ -1,11 +1,13 @@
-"""Stored indexes: Parquet tables in a new version folder, then a manifest that names the version.
+"""Stored tables: immutable parts in Parquet, and a manifest for each version that lists its parts.
 
-A reader sees the old version or the new one whole, never a mixture; nothing is pickled.
+A write adds a part and then makes a new version current; a reader sees the old version or the new one whole.
+Appending keeps the parts of the version before, so it writes nothing but the new rows. Nothing is pickled.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,47 +21,65 @@ SCHEMAS = {
     "vectors": schemas.VECTORS,
     "chunks": schemas.CHUNKS,
 }
+_MANIFEST = "parts array<string>, tables array<string>, next_index long"
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str) -> str:
-    """Writes the tables as a new version and makes it current; returns the version."""
-    version = uuid.uuid4().hex
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{version}/{name}")
-    spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").coalesce(1).write.mode("append").json(f"{folder}/manifest")
-    _stamp(spark, folder, version)
-    return version
+@dataclass(frozen=True)
+class Manifest:
+    version: str
+    parts: tuple[str, ...]
+    tables: tuple[str, ...]
+    #: Ids below this have been given out, whether or not their rows still exist.
+    next_index: int = 0
 
 
-def _stamp(spark: SparkSession, folder: str, version: str) -> None:
-    """The current version is the one named by this folder, replaced whole by a rename."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    current = jvm.org.apache.hadoop.fs.Path(f"{folder}/current-{version}")
-    system.mkdirs(current)
-    for found in system.listStatus(path):
-        name = found.getPath().getName()
-        if name.startswith("current-") and name != f"current-{version}":
-            system.delete(found.getPath(), True)
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
+    return path, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def current_version(spark: SparkSession, folder: str) -> str | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(path):
+def current(spark: SparkSession, folder: str) -> Manifest | None:
+    """The current version's manifest; None where nothing was written."""
+    _, root, system = _files(spark, folder)
+    if not system.exists(root):
         return None
-    names = [f.getPath().getName() for f in system.listStatus(path)]
-    found = sorted(n for n in names if n.startswith("current-"))
-    return found[-1].removeprefix("current-") if found else None
+    found = sorted(n for f in system.listStatus(root) if (n := f.getPath().getName()).startswith("current-"))
+    if not found:
+        return None
+    version = found[-1].removeprefix("current-")
+    row = spark.read.schema(_MANIFEST).json(f"{folder}/manifest-{version}").first()
+    return Manifest(version, tuple(row["parts"]), tuple(row["tables"]), row["next_index"])
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, append: bool = False, next_index: int | None = None) -> str:
+    """Writes the tables as a part and makes a version current that has it, with ``append`` beside the earlier parts."""
+    spark = next(iter(tables.values())).sparkSession
+    before = current(spark, folder)
+    part, version = uuid.uuid4().hex, uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{part}/{name}")
+    parts = [*(before.parts if before and append else ()), part]
+    given = next_index if next_index is not None else before.next_index if before else 0
+    row = [(parts, sorted({*tables, *(before.tables if before and append else ())}), given)]
+    spark.createDataFrame(row, _MANIFEST).coalesce(1).write.json(f"{folder}/manifest-{version}")
+    path, root, system = _files(spark, folder)
+    system.mkdirs(path(f"{folder}/current-{version}"))
+    for found in system.listStatus(root):
+        name = found.getPath().getName()
+        if name.startswith("current-") and name != f"current-{version}":
+            system.delete(found.getPath(), True)
+    return version
 
 
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
     """The current version's tables by name, with declared schemas; None where nothing was written."""
-    version = current_version(spark, folder)
-    if version is None:
+    found = current(spark, folder)
+    if found is None:
         return None
-    names = spark.read.schema("version string, tables array<string>").json(f"{folder}/manifest").where(f"version = '{version}'").first()["tables"]
-    return {n: (spark.read.schema(SCHEMAS[n]) if n in SCHEMAS else spark.read).parquet(f"{folder}/{version}/{n}") for n in names}
+    path, _, system = _files(spark, folder)
+    out = {}
+    for name in found.tables:
+        places = [p for part in found.parts if system.exists(path(p := f"{folder}/{part}/{name}"))]
+        out[name] = (spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read).parquet(*places)
+    return out

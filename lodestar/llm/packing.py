@@ -62,8 +62,8 @@ class InvertedIndex:
         at = at[np.argsort(self.df[at], kind="stable")[:terms]]
         if not len(at):
             return np.zeros(self.n)
-        rows = np.concatenate([np.arange(self.starts[i], self.starts[i + 1]) for i in at])
-        return np.bincount(self.doc[rows], weights=self.weight[rows], minlength=self.n)
+        parts = [slice(self.starts[i], self.starts[i + 1]) for i in at]
+        return np.bincount(np.concatenate([self.doc[p] for p in parts]), weights=np.concatenate([self.weight[p] for p in parts]), minlength=self.n)
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW, terms: int = QUERY_TERMS) -> list[list[tuple[int, int, int]]]:
@@ -90,9 +90,8 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, terms: int = QUERY_
         pieces, room = [(seed, int(start[seed]), int(length[seed]))], window - int(length[seed])
         if room:
             score = index.scores(docs[seed], terms)
-            score[~unused] = -1.0
-            order = np.argsort(-score, kind="stable")
-            order = order[score[order] >= 0]
+            order = np.flatnonzero(unused)
+            order = order[np.argsort(-score[order], kind="stable")]
             fits = order[(length[order] <= room) & (score[order] > 0)]
             while room and len(fits):
                 d = int(fits[0])

@@ -87,7 +87,7 @@ class LibraryTokenizer:
         byte_level = isinstance(splitter, pre_tokenizers.ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
         self._by_words = byte_level and self._tokenizer.normalizer is None
         self._characters = byte_characters()
-        self._cache = Cache(self._encode)
+        self._cache = Cache(self._encode, limit=500_000)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         tokenize, characters, code = self._tokenizer.model.tokenize, self._characters, "H" if self.dtype == "<u2" else "I"

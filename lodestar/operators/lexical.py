@@ -2,18 +2,19 @@
 
 The index is four tables: postings, doc_stats, term_stats, corpus_stats. A search needs only the postings of
 the queries' own terms: ``search_texts`` joins those terms to the token stream before anything is grouped, so
-what is shuffled is the queries' matches, not the corpus.
+what is shuffled is the queries' matches, not the corpus. It tokenizes each text once: the corpus statistics are
+observed in the same pass that writes the postings.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokenize
-from lodestar.plans.session import broadcast_if_small
+from lodestar.plans.session import broadcast_if_small, materialized
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 #: Scores are rounded to this many digits before they are ranked, so that ties don't depend on summation order.
@@ -94,14 +95,18 @@ def _scores(found: DataFrame, k1: float, b: float, delta: float) -> DataFrame:
 
 def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
     """The same hits straight from texts, without a stored index; frequencies are made for the queries' terms only."""
-    tokens = tokenized(chunks)
-    corpus = corpus_stats(doc_stats(tokens))
     terms = query_terms(queries)
     wanted = broadcast_if_small(terms.select("term").distinct())
+    seen = Observation()
+    tokens = tokenized(chunks).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("total"))
     posts = tokens.select("chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term")
     posts = posts.groupBy("chunk_index", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    found = posts.join(term_stats(posts, corpus), "term").join(broadcast_if_small(terms), "term")
-    return ranked(_scores(found.crossJoin(F.broadcast(corpus)), k1, b, delta), k)  # corpus is one row
+    posts = materialized(posts, "postings")
+    n, total = seen.get["n"], seen.get["total"]
+    counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    found = posts.join(counts.select("term", idf(F.lit(n), F.col("df")).alias("idf")), "term").join(broadcast_if_small(terms), "term")
+    found = found.withColumn("avg_dl", F.lit(total / n if n else 1.0))
+    return ranked(_scores(found, k1, b, delta), k)
 
 
 class NotIndexedError(RuntimeError):

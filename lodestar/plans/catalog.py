@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import prompt, text, vector
 from lodestar.operators import budget, chunking, dense, evaluation, fusion, lexical, metrics, rerank
 from lodestar.plans.pipeline import Retriever, answer_prompts
+from lodestar.plans.session import materialized, scratch
 from lodestar.sources import corpora, index_store, registry, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,17 +241,10 @@ def corpus_stats(spark, sf_dir):
     return lexical.corpus_stats(lexical.doc_stats(lexical.tokenized(chunks(spark, sf_dir))))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @_query(f"WITH {_INDEX}, {_bm25(K)} SELECT {_HIT} FROM bm")
 def index_roundtrip(spark, sf_dir):
     """Builds the index, writes it with the vectors, reads it back and searches it."""
-    folder = _scratch(spark, "index")
+    folder = scratch(spark, "index")
     built = lexical.LexicalIndex.build(chunks(spark, sf_dir))
     index_store.write_tables(built.tables() | {"vectors": vectors(spark, sf_dir)}, folder)
     return lexical.load_index(spark, folder).search(asked(spark, sf_dir), K)
@@ -609,7 +603,7 @@ def ingest_append(spark, sf_dir):
 )
 def ingest_search(spark, sf_dir):
     """Documents ingested into a stored corpus, which is opened again and searched."""
-    folder = _scratch(spark, "corpus")
+    folder = scratch(spark, "corpus")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tenant"), "text")
     store.ingest(docs, folder, threshold=CHUNK_THRESHOLD, max_tokens=CHUNK_TOKENS)
     return store.restore(spark, folder).index.search(asked(spark, sf_dir), K)
@@ -711,8 +705,9 @@ _ABLATION = (
 
 def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks, rows = asked(spark, sf_dir), chunks(spark, sf_dir)
-    words, near = _lists(spark, sf_dir)
-    fused = fusion.rrf([words, near], RECALL_K, texts=rows)
+    # at most RECALL_K rows for each query, used by several strategies
+    words, near = (materialized(hits, "hits") for hits in _lists(spark, sf_dir))
+    fused = materialized(fusion.rrf([words, near], RECALL_K, texts=rows), "hits")
     cut = lambda hits: hits.where(F.col("rank") <= EVAL_K).select("query_id", "chunk_index", "rank")
     strategies = {"dense": cut(near), "hybrid": cut(fused), "reranked": cut(rerank.rerank(fused, asks, rows, EVAL_K))}
     # judgements of queries that a strategy has no hits for don't count, as in a run over retrieved queries

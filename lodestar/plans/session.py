@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +26,16 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most so many rows; beyond that Spark chooses the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; below /tmp only where that setting is missing."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows of ``df`` written once to the shared folder and read from there, for plans that use them several times."""
+    path = scratch(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

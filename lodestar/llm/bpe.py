@@ -134,6 +134,10 @@ class DuckBpe:
                 heapq.heappush(heap, (x, before[i]))
         return [x for x in ids if x is not None]
 
+    def forget(self) -> None:
+        """Drops the words remembered, at the end of a task."""
+        self._cache.clear()
+
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids joined by commas, decoded bytes) of each text."""
         split = [self.words(t) for t in texts]
@@ -179,5 +183,6 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
                 arrays = [batch.column(0).slice(a, b - a), pa.array([f[0] for f in found], pa.int64())]
                 arrays += [pa.array(c, t.type) for c, t in zip(columns, list(schema)[2:], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        bpe.forget()
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, spark_schema)

@@ -17,13 +17,6 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-
-
 def stored(df: DataFrame, purpose: str, *folders: str) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read back, so that lineage ends here.
 
@@ -35,17 +28,13 @@ def stored(df: DataFrame, purpose: str, *folders: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the tables of ``stored`` once nothing reads them any more."""
+def drop_stored(frame: DataFrame) -> None:
+    """Deletes a table of ``stored`` that nothing reads any more."""
+    spark = frame.sparkSession
     jvm = spark.sparkContext._jvm
-    for frame in frames:
-        for folder in {os.path.dirname(f) for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for folder in {os.path.dirname(f) for f in frame.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored
+from lodestar.llm.common import drop_stored, stored
 
 _EDGES = "a long, b long"
 
@@ -79,6 +79,7 @@ def connected_components(edges: DataFrame, thin: bool = True) -> DataFrame:
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         sums = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop_stored(current)
         current = after
         if sums == before:
             break

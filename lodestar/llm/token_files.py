@@ -70,8 +70,10 @@ def encode_block(ids: np.ndarray) -> bytes:
     lengths = np.zeros(len(ids), np.int64)
     some = deltas > 0
     lengths[some] = np.floor(np.log2(deltas[some].astype(np.float64))).astype(np.int64) + 1
-    above = len(ids) - np.cumsum(np.bincount(lengths, minlength=33))  # how many need more than w bits
-    widths = {int(np.percentile(lengths, p, method="higher")) for p in PERCENTILES}
+    within = np.cumsum(np.bincount(lengths, minlength=33))  # how many need at most w bits
+    above = len(ids) - within
+    # the width at a percentile is the least that so many differences fit in
+    widths = {int(w) for w in np.searchsorted(within, [-(-p * len(ids) // 100) for p in PERCENTILES])}
     width = min(sorted(widths), key=lambda w: -(-len(ids) * w // 8) + 8 * int(above[w]))
     out = np.flatnonzero(lengths > width)
     packed = deltas.copy()
@@ -171,6 +173,7 @@ def _encoded(path: str, end_id: int, bounds: list[int]):
             if rows:
                 kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "docs", "counts", "size", "width", "ids"])
+        tokenizer.forget()
 
     return run
 

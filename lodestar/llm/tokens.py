@@ -50,6 +50,9 @@ class Cache:
         self._young: dict = {}
         self._old: dict = {}
 
+    def clear(self) -> None:
+        self._young, self._old = {}, {}
+
     def of(self, keys: set[str]) -> dict:
         """A mapping that has the results of at least these keys, until the next call."""
         young, old = self._young, self._old
@@ -93,6 +96,10 @@ class LibraryTokenizer:
         tokenize, characters, code = self._tokenizer.model.tokenize, self._characters, "H" if self.dtype == "<u2" else "I"
         return [array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(characters))]).tobytes() for w in words]
 
+    def forget(self) -> None:
+        """Drops the words remembered; a task calls it at its end, as its worker may serve other operators next."""
+        self._cache.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         split = [plain_words(t) if self._by_words else None for t in texts]

@@ -44,7 +44,7 @@ REACH = 5
 #: Words on either side that a repeated piece may be extended by.
 BESIDE = 16
 #: Units of one block of the search for equal keys.
-PART_UNITS = 1_000_000
+PART_UNITS = 400_000
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -114,8 +114,72 @@ def _beside(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, low: np.ndar
     return pick(left, left >= low[:, None]), pick(right, right < high[:, None])
 
 
-def _units(parts: int):
-    """Blocks: of paragraphs' band keys (kind 0), of pieces' keys (1), and all paragraphs' places (2)."""
+def _paragraph_units(parts: int):
+    """Blocks of paragraphs' band keys (kind 0) and of all paragraphs' places (kind 2)."""
+
+    def block(column: pa.Array, own: np.ndarray) -> tuple | None:
+        raw, rows = string_buffer(column)
+        starts, _, row, hashes = words(raw, rows, lower=True)
+        if not len(starts):
+            return None
+        base = np.searchsorted(row, np.arange(len(own)))  # a row's first word
+        line, owner = paragraphs(raw, starts, row)
+        length = np.diff(np.append(line, len(row)))
+        long = length >= MIN_PARAGRAPH_WORDS
+        names = _sequence_hash(hashes, line, owner).view(np.int64)[long]
+        units = np.zeros(len(names), _UNIT)
+        first = line[long]
+        units["doc"], units["start"], units["n"] = own[row[first]], first - base[row[first]], length[long]
+        kept = long[owner]
+        _, keys = band_keys(hashes[kept], (np.cumsum(long) - 1)[owner[kept]], len(names))
+        return keys.reshape(-1), np.repeat(names, BANDS), names, units
+
+    def rows(held: list[tuple]) -> list[tuple]:
+        keys, owners, names, units = (np.concatenate(x) for x in zip(*held, strict=True))
+        return [(0, *r) for r in _cut(_part(keys, parts), keys, owners)] + [(2, *r) for r in _cut(_part(names.view(_U), parts), names, units)]
+
+    return _blocks(block, rows)
+
+
+def _piece_units(parts: int):
+    """Blocks of pieces' keys and places (kind 1)."""
+
+    def block(column: pa.Array, own: np.ndarray) -> tuple | None:
+        raw, rows = string_buffer(column)
+        starts, _, row, hashes = words(raw, rows, lower=True)
+        if not len(starts):
+            return None
+        base = np.searchsorted(row, np.arange(len(own) + 1))
+        cut = piece_starts(hashes, row)
+        n = np.diff(np.append(cut, len(row)))
+        keys = _sequence_hash(hashes, cut, np.repeat(np.arange(len(cut)), n)) + n.astype(_U)
+        some = n >= MIN_PIECE_WORDS
+        keys, cut, n = keys[some], cut[some], n[some]
+        units = np.zeros(len(cut), _PIECE)
+        units["doc"], units["start"], units["n"] = own[row[cut]], cut - base[row[cut]], n
+        units["left"], units["right"] = _beside(hashes, cut, cut + n, base[row[cut]], base[row[cut] + 1])
+        return keys, units
+
+    def rows(held: list[tuple]) -> list[tuple]:
+        keys, units = (np.concatenate(x) for x in zip(*held, strict=True))
+        return [(1, *r) for r in _cut(_part(keys, parts), keys, units)]
+
+    return _blocks(block, rows)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(keys) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
+
+
+def _blocks(block, rows):
+    """Gathers what ``block`` makes of slices of a batch and gives it out by part."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch | None:
+        found = rows(held)
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        if found:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["kind", "part", "keys", "units"])
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -123,50 +187,24 @@ def _units(parts: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b in slices(batch.column(1)):
-                raw, rows = string_buffer(batch.column(1).slice(a, b - a))
-                starts, _, row, hashes = words(raw, rows, lower=True)
-                if not len(starts):
+                found = block(batch.column(1).slice(a, b - a), ids[a:b])
+                if found is None:
                     continue
-                own = ids[a:b]
-                base = np.searchsorted(row, np.arange(b - a + 1))  # a row's first word
-                line, owner = paragraphs(raw, starts, row)
-                length = np.diff(np.append(line, len(row)))
-                long = length >= MIN_PARAGRAPH_WORDS
-                names = _sequence_hash(hashes, line, owner).view(np.int64)
-                units = np.zeros(len(line), _UNIT)
-                units["doc"], units["start"], units["n"] = own[row[line]], line - base[row[line]], length
-                kept = long[owner]
-                number = np.cumsum(long) - 1
-                _, keys = band_keys(hashes[kept], number[owner[kept]], int(long.sum()))
-                cut = piece_starts(hashes, row)
-                n = np.diff(np.append(cut, len(row)))
-                piece = np.zeros(len(cut), _PIECE)
-                piece["doc"], piece["start"], piece["n"] = own[row[cut]], cut - base[row[cut]], n
-                piece["left"], piece["right"] = _beside(hashes, cut, cut + n, base[row[cut]], base[row[cut] + 1])
-                of = np.repeat(np.arange(len(cut)), n)
-                piece_keys = _sequence_hash(hashes, cut, of) + n.astype(_U)
-                some = n >= MIN_PIECE_WORDS
-                held.append((keys.reshape(-1), np.repeat(names[long], BANDS), names[long], units[long], piece_keys[some], piece[some]))
-                size += len(held[-1][0]) + len(held[-1][4])
-                if size > 500_000:
-                    yield from flush(held)
+                held.append(found)
+                size += len(found[0])
+                if size > 300_000:
+                    if (out := flush(held)) is not None:
+                        yield out
                     held, size = [], 0
-        if held:
-            yield from flush(held)
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, names, unit_names, units, piece_keys, pieces = (np.concatenate(x) for x in zip(*held, strict=True))
-        deal = lambda k: ((mix(k) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
-        rows = [(0, *r) for r in _cut(deal(keys), keys, names)]
-        rows += [(1, *r) for r in _cut(deal(piece_keys), piece_keys, pieces)]
-        rows += [(2, *r) for r in _cut(deal(unit_names.view(_U)), unit_names, units)]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "part", "keys", "units"])
+        if held and (out := flush(held)) is not None:
+            yield out
 
     return run
 
 
+_BLOCK = "kind int, part int, keys binary, units binary"
+
+
 def _collisions(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A spanning forest of the paragraphs that share a band."""
     keys, names = [], []
@@ -324,7 +362,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = texts.count()
     parts = max(1, -(-rows * 60 // PART_UNITS))
-    blocks = stored(texts.mapInArrow(_units(parts), "kind int, part int, keys binary, units binary"), "units", "kind")
+    blocks = stored(texts.mapInArrow(_paragraph_units(parts), _BLOCK), "paragraphs", "kind")
     places = blocks.where("kind = 2").select("keys", "units").mapInArrow(_places, "name long, doc_id long, start long, n long")
     places = stored(places, "places")
     linked = paragraph_components(texts, places, blocks.where("kind = 0").select("part", "keys", "units"))
@@ -332,7 +370,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = whole.groupBy("component").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "start")).alias("first")).where("times > 1")
     lines = whole.join(firsts, "component").where("doc_id <> first.doc_id OR start <> first.start")
     lines = lines.select("doc_id", "start", "n", F.col("first.doc_id").alias("first_id"))
-    pieces = blocks.where("kind = 1").select("part", "keys", "units").groupBy("part").applyInPandas(_repeated_pieces, "doc_id long, start long, n long, first_id long")
+    pieces = texts.mapInArrow(_piece_units(parts), _BLOCK).select("part", "keys", "units").groupBy("part").applyInPandas(_repeated_pieces, "doc_id long, start long, n long, first_id long")
     spans = lines.unionByName(pieces).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "first_id")).alias("_spans"))
     id_, spans_ = unused(docs, "_id", "_spans")
     spans = spans.withColumnsRenamed({"doc_id": id_, "_spans": spans_})

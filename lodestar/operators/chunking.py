@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import SLICE_WORDS, split_sentences, tokenize, word_count, word_slices
+from lodestar.plans.session import spread
 
 THRESHOLD, MAX_TOKENS = 0.5, 512
 SIMILARITY_DIGITS = 9
@@ -30,7 +31,7 @@ def set_cosine(a: Column, b: Column) -> Column:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, sentence)"""
-    rows = docs.select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 

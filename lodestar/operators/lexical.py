@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokenize
-from lodestar.plans.session import broadcast_if_small, materialized
+from lodestar.plans.session import broadcast_if_small, materialized, spread
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 #: Scores are rounded to this many digits before they are ranked, so that ties don't depend on summation order.
@@ -23,7 +23,7 @@ SCORE_DIGITS = 6
 
 def tokenized(chunks: DataFrame) -> DataFrame:
     """(chunk_index, tokens)"""
-    return chunks.select("chunk_index", tokenize(F.col("text")).alias("tokens"))
+    return spread(chunks.select("chunk_index", "text")).select("chunk_index", tokenize(F.col("text")).alias("tokens"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:

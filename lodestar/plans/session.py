@@ -39,3 +39,16 @@ def materialized(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores if it is a scan that gives fewer than half as many partitions.
+
+    A small file with one row group is one partition, however heavy the work on its rows; a large table has more
+    partitions than cores and is left as it is.
+    """
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * execution.toRdd().getNumPartitions() <= cores else df

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.plans.session import spread
+
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a folder of /tmp only where that setting is missing."""
@@ -38,7 +40,9 @@ def drop_stored(frame: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, over all cores even where it is one small file."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

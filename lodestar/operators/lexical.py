@@ -102,10 +102,11 @@ def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     posts = tokens.select("chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term")
     posts = posts.groupBy("chunk_index", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     posts = materialized(posts, "postings")
-    n, total = seen.get["n"], seen.get["total"]
+    # without a match nothing may have been scanned, and the statistics don't matter
+    n, total = (1, 1) if posts.isEmpty() else (seen.get["n"], seen.get["total"])
     counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     found = posts.join(counts.select("term", idf(F.lit(n), F.col("df")).alias("idf")), "term").join(broadcast_if_small(terms), "term")
-    found = found.withColumn("avg_dl", F.lit(total / n if n else 1.0))
+    found = found.withColumn("avg_dl", F.lit(total / n))
     return ranked(_scores(found, k1, b, delta), k)
 
 

@@ -488,3 +488,21 @@ def test_packing_odd_rows(spark):
     assert total == sum(len(x) // 2 + 1 for x in LibraryTokenizer(JSON).encode([t or "" for _, t in rows]))
     assert {r["doc_id"] for r in found} == {i for i, _ in rows}
     assert packing.pack_documents(docs(spark, (1, "x")).limit(0), JSON).count() == 0
+
+
+def test_like_documents_are_packed_together(spark):
+    """Ten topics of their own words, in an order that is not theirs: windows hold one topic, whatever the shards."""
+    rows = [(i, " ".join(f"{'abcdefghij'[i % 10]}{w}" for w in random.Random(i).choices(range(1000, 1060), k=40))) for i in range(400)]
+    found = packing.pack_documents(docs(spark, *rows), JSON, shard_docs=40).collect()
+    windows = {}
+    for r in found:
+        windows.setdefault(r["sequence_id"], []).append((r["doc_id"] % 10, r["length"]))
+    alike = sum(max(sum(n for topic, n in pieces if topic == x) for x, _ in pieces) for pieces in windows.values())
+    assert len({r["sequence_id"] >> 32 for r in found}) > 4
+    assert alike > 0.8 * sum(r["length"] for r in found)
+
+
+def test_index_weighs_by_the_whole_table():
+    whole = packing.Statistics(1000, 3000, np.array([0, 900, 2, 2]))
+    alone, of_all = (packing.InvertedIndex([np.array([1, 2, 2]), np.array([1, 3, 3]), np.array([1, 2, 3])], whole=w) for w in (None, whole))
+    assert np.allclose(alone.scores(np.array([1]), 8) / of_all.scores(np.array([1]), 8), np.log1p(0.5 / 3.5) / np.log1p(100.5 / 900.5), rtol=0.3)

@@ -506,3 +506,19 @@ def test_index_weighs_by_the_whole_table():
     whole = packing.Statistics(1000, 3000, np.array([0, 900, 2, 2]))
     alone, of_all = (packing.InvertedIndex([np.array([1, 2, 2]), np.array([1, 3, 3]), np.array([1, 2, 3])], whole=w) for w in (None, whole))
     assert np.allclose(alone.scores(np.array([1]), 8) / of_all.scores(np.array([1]), 8), np.log1p(0.5 / 3.5) / np.log1p(100.5 / 900.5), rtol=0.3)
+
+
+def test_all_ids_of_a_seed_are_scored():
+    rng = random.Random(3)
+    seed = np.arange(100)
+    others = [np.array([i]) for i in range(40) for _ in range(2)]  # rarer than the ids that follow
+    common = [np.array(rng.sample(range(60, 100), 20)) for _ in range(30)]
+    pieces = [seed, *others, *common]
+    scores = packing.InvertedIndex(pieces).scores(seed)
+    n, mean = len(pieces), np.mean([len(p) for p in pieces])
+    df = np.array([sum(t in p for p in pieces) for t in range(100)])
+    for d, p in enumerate(pieces):
+        weight = 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(p) / mean))
+        assert np.isclose(scores[d], sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * weight for t in p if df[t] > 1), rtol=1e-5)
+    first = packing.pack_shard(pieces, 128)[0]
+    assert first[0][0] == 0 and first[1][0] > len(others)

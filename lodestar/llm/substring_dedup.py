@@ -1,6 +1,7 @@
 """Substring dedup: repeated paragraphs and passages are cut out of all documents but the first.
 
-Paragraphs are lines of at least ``MIN_PARAGRAPH_WORDS`` words. MinHash over their 5-word shingles, in ``BANDS``
+Paragraphs are lines of at least ``WIDTH`` words and, where lines of fewer than ``MIN_PARAGRAPH_WORDS`` words follow each
+other without a blank or longer line between (a hard-wrapped text), all of these as one, too. MinHash over their 5-word shingles, in ``BANDS``
 bands of ``ROWS`` rows (at similarity 0.75 a pair collides with probability 0.997, at 0.3 with 0.48), brings
 like ones together; colliding paragraphs form groups, each group is joined exactly (Jaccard 0.75 or more on the
 whole shingle sets, by the signature trees of ``ngram_join``), and links give components. Of a component the
@@ -49,6 +50,7 @@ PART_UNITS = 400_000
 _U = np.uint64
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _UNIT = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
+_NAME = np.dtype([("name", "<i8"), ("size", "<u4")])
 _PIECE = np.dtype([*_UNIT.descr, ("left", "u1", BESIDE), ("right", "u1", BESIDE)])
 
 
@@ -70,6 +72,16 @@ def paragraphs(raw: np.ndarray, word_starts: np.ndarray, row: np.ndarray) -> tup
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def wrapped(raw: np.ndarray, word_starts: np.ndarray, row: np.ndarray, line: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First line of each passage, and its number of lines: short lines of one row that follow each other, or one line."""
+    number = np.cumsum(raw == 0x0A)[word_starts[line]]
+    short = length < MIN_PARAGRAPH_WORDS
+    new = np.ones(len(line), bool)
+    new[1:] = ~(short[1:] & short[:-1] & (row[line[1:]] == row[line[:-1]]) & (number[1:] - number[:-1] == 1))
+    begin = np.flatnonzero(new)
+    return begin, np.diff(np.append(begin, len(line)))
+
+
 def band_keys(hashes: np.ndarray, owner: np.ndarray, n: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(units with a shingle, their band keys): the least of differently mixed shingle hashes, ROWS to a key."""
     shingles, at, _ = windows(hashes, owner, width)
@@ -123,19 +135,33 @@ def _paragraph_units(parts: int):
         if not len(starts):
             return None
         base = np.searchsorted(row, np.arange(len(own)))  # a row's first word
-        line, owner = paragraphs(raw, starts, row)
+        line, _ = paragraphs(raw, starts, row)
         length = np.diff(np.append(line, len(row)))
-        long = length >= MIN_PARAGRAPH_WORDS
-        names = _sequence_hash(hashes, line, owner).view(np.int64)[long]
-        units = np.zeros(len(names), _UNIT)
-        first = line[long]
-        units["doc"], units["start"], units["n"] = own[row[first]], first - base[row[first]], length[long]
-        kept = long[owner]
-        _, keys = band_keys(hashes[kept], (np.cumsum(long) - 1)[owner[kept]], len(names))
-        return keys.reshape(-1), np.repeat(names, BANDS), names, units
+        begin, lines = wrapped(raw, starts, row, line, length)
+        found = []
+        for first, some in ((line, length >= WIDTH), (line[begin], lines > 1)):
+            n = np.diff(np.append(first, len(row)))
+            some &= n >= WIDTH
+            owner = np.repeat(np.arange(len(first)), n)
+            names = _sequence_hash(hashes, first, owner).view(np.int64)[some]
+            units = np.zeros(len(names), _UNIT)
+            units["doc"], units["start"], units["n"] = own[row[first[some]]], first[some] - base[row[first[some]]], n[some]
+            kept = some[owner]
+            _, keys = band_keys(hashes[kept], (np.cumsum(some) - 1)[owner[kept]], len(names))
+            shingles, at, _ = windows(hashes[kept], (np.cumsum(some) - 1)[owner[kept]], WIDTH)
+            order = np.lexsort((shingles, at))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (shingles[order[1:]] != shingles[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
+            named = np.zeros(len(names), _NAME)
+            named["name"], named["size"] = names, np.bincount(at[order[fresh]], minlength=len(names))
+            found.append((keys.reshape(-1), named, units))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def rows(held: list[tuple]) -> list[tuple]:
-        keys, owners, names, units = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, names, units = (np.concatenate(x) for x in zip(*held, strict=True))
+        named, names = names, names["name"]
+        _, at = np.unique(names, return_index=True)  # equal paragraphs have equal keys
+        keys, owners = keys.reshape(-1, BANDS)[at].reshape(-1), np.repeat(named[at], BANDS)
         return [(0, *r) for r in _cut(_part(keys, parts), keys, owners)] + [(2, *r) for r in _cut(_part(names.view(_U), parts), names, units)]
 
     return _blocks(block, rows)
@@ -206,15 +232,16 @@ _BLOCK = "kind int, part int, keys binary, units binary"
 
 
 def _collisions(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A spanning forest of the paragraphs that share a band."""
+    """A spanning forest of the paragraphs that share a band, but for those whose sizes alone rule a link out."""
     keys, names = [], []
     for pdf in batches:
         keys += [np.frombuffer(x, "<u8") for x in pdf["keys"]]
-        names += [np.frombuffer(x, "<i8") for x in pdf["units"]]
+        names += [np.frombuffer(x, _NAME) for x in pdf["units"]]
     k, n = np.concatenate(keys), np.concatenate(names)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    same = k[1:] == k[:-1]
+    order = np.lexsort((n["size"], k))
+    k, size, n = k[order], n["size"][order].astype(np.int64), n["name"][order]
+    # sizes ascend within a key: over a gap of this width no two can be similar enough
+    same = (k[1:] == k[:-1]) & (100 * size[:-1] >= PERCENT * size[1:])
     a, b = n[1:][same], n[:-1][same]
     differ = a != b
     v, root = forest(a[differ], b[differ])
@@ -367,8 +394,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = stored(places, "places")
     linked = paragraph_components(texts, places, blocks.where("kind = 0").select("part", "keys", "units"))
     whole = places.join(linked, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    firsts = whole.groupBy("component").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "start")).alias("first")).where("times > 1")
-    lines = whole.join(firsts, "component").where("doc_id <> first.doc_id OR start <> first.start")
+    longest = F.struct("doc_id", "start", (-F.col("n")).alias("minus_n"))
+    firsts = whole.groupBy("component").agg(F.count(F.lit(1)).alias("times"), F.min(longest).alias("first")).where("times > 1")
+    # a line and the passage that it is part of may be alike: neither is a copy of the other
+    lines = whole.join(firsts, "component").where("doc_id <> first.doc_id OR start >= first.start - first.minus_n")
     lines = lines.select("doc_id", "start", "n", F.col("first.doc_id").alias("first_id"))
     pieces = texts.mapInArrow(_piece_units(parts), _BLOCK).select("part", "keys", "units").groupBy("part").applyInPandas(_repeated_pieces, "doc_id long, start long, n long, first_id long")
     spans = lines.unionByName(pieces).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "first_id")).alias("_spans"))

@@ -116,6 +116,20 @@ def test_near_paragraphs_and_copies(spark):
     assert found[4]["text"] == "" and found[4]["class_id"] == 3
 
 
+def test_near_passages_on_short_lines(spark):
+    """A hard-wrapped passage with its middle word changed, wrapped otherwise, and short lines beside a long one."""
+    words = prose(21, 49).split()
+    near = [*words[:24], "changed", *words[25:]]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    own = [prose(i, 40) for i in range(31, 36)]
+    rows = [(1, own[0] + "\n" + wrap(words, 13)), (2, own[1] + "\n" + wrap(near, 13)), (3, own[2] + "\n\n" + wrap(near, 9) + "\n\n" + own[3])]
+    rows += [(4, wrap(own[4].split()[:5], 5) + "\n" + wrap(own[4].split()[5:29], 24))]  # the second line is like both together
+    found = removed(spark, rows)
+    assert found[1]["n_removed_words"] == found[4]["n_removed_words"] == 0
+    for i, left in ((2, own[1]), (3, own[2] + "\n\n" + own[3])):
+        assert found[i]["n_removed_words"] == 49 and found[i]["text"].split() == left.split() and found[i]["class_id"] == 1
+
+
 def test_substring_odd_rows(spark):
     rows = [*ODD, (4, LONG)]
     out = substring_dedup.substring_dedup(docs(spark, *rows).withColumns({"k": F.lit(1), "grp": F.lit("g"), "_spans": F.lit(2)}))

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans.session import spread
+from lodestar.plans.session import broadcast_if_small, spread
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -39,6 +39,12 @@ def drop_stored(frame: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """The smaller side of a join: broadcast if counted and found small, else hashed while the other streams past."""
+    found = broadcast_if_small(df)
+    return df.hint("shuffle_hash") if found is df else found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, over all cores even where it is one small file."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a map-side combined minimum and an equi-join, so no vertex's neighbours ever meet in one
-task. Each round is written to the shared folder, which cuts the lineage; the driver sees only two sums.
+A step is a map-side combined minimum and an equi-join with it. The minima are dealt out anew before the join, so
+that the join stands alone between exchanges and Spark may split the partition of a vertex with very many
+neighbours. Each round is written to the shared folder, which cuts the lineage; the driver sees only two sums.
 """
 
 from __future__ import annotations
@@ -72,11 +73,11 @@ def connected_components(edges: DataFrame, thin: bool = True) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.repartition("m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Now every edge points to a smaller vertex; small-star hooks those smaller ends onto the least of them.
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(least.repartition("m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         sums = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_stored(current)

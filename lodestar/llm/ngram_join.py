@@ -1,22 +1,21 @@
 """Exact Jaccard self-join of documents on word shingles, by signature trees.
 
-1. Every document becomes the set of its distinct shingle hashes; documents with equal sets are one class, so
-   copies cost nothing further.
-2. Classes are brought together losslessly: two sets with Jaccard similarity t share one of the first
-   ``n - ceil(t * n) + 1`` members of each, under any common order of all shingles. The order used takes the
-   shingles of the lower half of the hash range first, by the number of classes that hold them, so a shingle of
-   a widespread passage comes last and a class whose first members are all its own is done.
-3. Classes that share such a member form groups (connected components of the sharing). Each group is joined
-   by a dual traversal of signature trees: a node holds the OR of its members' token bitmaps and their size
-   range, and a pair of nodes is dropped when the largest possible overlap is too small or when both already
-   lie in one component. Groups over ``group_limit`` classes are split into parts, and each pair of parts is a
-   task of its own, so a task's memory is bounded.
-4. Links, each verified on the whole sets, give components.
-
-Shingles travel as blocks of packed integers, dealt out by hash into parts of about ``PART_SHINGLES`` each; a
-shingle that very many classes hold costs 6 bytes for each in its part.
-
-Null and empty texts have an empty set and link with nothing. Repeated ids are taken as rows of one document.
+1. Every document becomes the set of its distinct shingle hashes, in one pass over the texts. Documents with equal
+   sets (two independent 64-bit names and the size) are one class, so copies cost nothing further.
+2. Two sets with Jaccard similarity t share one of the first ``n - ceil(t * n) + 1`` members of each, under any
+   common order of all shingles. The order used takes the shingles of the lower half of the hash range first, by the
+   number of classes that hold them, so a shingle of a widespread passage comes last and a class whose first members
+   are all its own is done. These first members route the sets through the forest of signature trees of ``links``,
+   which decides every pair: leaves, then nodes, then sets; links are verified on the whole sets before they join
+   components.
+
+Shingles travel as blocks of packed integers, dealt out by hash into parts of about ``PART_SHINGLES`` each. A shingle
+that ``HOT`` classes or more of one block hold is settled there: its part gets one row for the block, which says so,
+and its holders go on directly, so no task sees all holders of a widespread shingle. Such shingles are last of their
+half in the common order.
+
+Null and empty texts have an empty set and link with nothing. Rows that share an id are one document: each row has its
+own set and size, and all of them have the links of any.
 """
 
 from __future__ import annotations
@@ -29,29 +28,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored
-from lodestar.llm.components import connected_components, forest
-from lodestar.llm.kernels import shingle_sets
+from lodestar.llm.common import small_side, stored
+from lodestar.llm.components import connected_components
+from lodestar.llm.kernels import mix, shingle_sets, slices
+from lodestar.llm.links import verified_components
 
 WIDTH = 5
 #: Similarity as a fraction of integers: 100 * intersection >= 75 * union.
 PERCENT = 75
 #: Shingles of one block of the candidate search.
 PART_SHINGLES = 1_500_000
+BLOCK_SHINGLES, BLOCK_SETS = 1_500_000, 60_000
+#: Classes of one block that make a shingle widespread; the count that it gets then, and the most that others get.
+HOT, HOT_COUNT = 64, 65535
 #: Hashes below this come first in the common order, by frequency.
 HALF = np.uint64(1 << 63)
-GROUP_LIMIT = 3000
-LEAF = 32
-BITMAP_BITS = 2048
 
 _U = np.uint64
+_HOT_MARK = np.iinfo(np.int64).min
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """A 64-bit name of a set of hashes, the same for equal sets."""
+def set_names(hashes: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set of hashes, the same for equal sets."""
+    if not len(hashes):
+        return 0, 0
     value = hashes.view("<u8") * _U(0x9FB21C651E98DF25)
     value = (value ^ (value >> _U(29))) * _U(0xC4CEB9FE1A85EC53) + _U(len(hashes))
-    return int(np.bitwise_xor.reduce(value).view("<i8")) if len(value) else 0
+    return int(np.bitwise_xor.reduce(value).view("<i8")), int(np.add.reduce(mix(hashes + _U(0x2545F4914F6CDD1D))).view("<i8"))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -59,21 +62,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _lower(s: np.ndarray, percent: int) -> tuple[int, int]:
-    """Of an ascending set: how many hashes lie in the lower half, and how many are sent."""
-    t = int(np.searchsorted(s, HALF))
-    return t, max(t, prefix_length(len(s), percent)) if len(s) else 0
+_SETS = "doc_id long, n_shingles long, name_1 long, name_2 long, lower int, members binary"
 
 
-def _signatures(width: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("lower", pa.int64())])
+def _sets(width: int):
+    """The shingle set of each document; ``lower`` counts its hashes in the lower half of their range."""
+    names = [x.split()[0] for x in _SETS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, lower = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for i, s in shingle_sets(batch.column(1), width):
-                n[i], ids[i], lower[i] = len(s), set_id(s), _lower(s, percent)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids), pa.array(lower)], schema=schema)
+            for a, b in slices(batch.column(1)):
+                found = [s for _, s in shingle_sets(batch.column(1).slice(a, b - a), width)]
+                named = np.array([set_names(s) for s in found], np.int64).reshape(-1, 2)
+                lower = [int(np.searchsorted(s, HALF)) for s in found]
+                arrays = [pa.array([len(s) for s in found], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(lower, pa.int32())]
+                arrays.append(pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], names)
 
     return run
 
@@ -90,49 +94,68 @@ def _cut(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(p), *(c[a:b].tobytes() for c in columns)
 
 
-def _token_blocks(width: int, percent: int, parts: int):
-    """Blocks (part, upper 32 bits of shingle hashes, places of their sets, names of the sets)."""
+_BLOCKS = "part int, home int, source int, tokens binary, owners binary, counts binary"
 
-    def flush(tokens, owners, names):
+
+def _token_blocks(percent: int, parts: int, homes: int):
+    """Blocks of a part's shingles (their upper 32 bits) and the classes that hold them.
+
+    Rows with a home (other rows have -1) hold widespread shingles, on their way to the home of their classes; their
+    part is one of the numbers from ``parts`` on, so that they are dealt out like the others.
+    """
+
+    def flush(tokens, owners):
         if not tokens:
             return
-        t = np.concatenate(tokens)
-        part = ((t & _U(0xFFFFFFFF)) * _U(parts) >> _U(32)).astype(np.int32)
-        rows = list(_cut(part, (t >> _U(32)).astype("<u4"), np.concatenate(owners)))
-        name = np.array(names, "<i8").tobytes()
-        columns = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)), pa.array([name] * len(rows), pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["part", "tokens", "places", "names"])
+        t, o = np.concatenate(tokens), np.concatenate(owners)
+        order = np.argsort(t, kind="stable")
+        t, o = t[order], o[order]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        held = np.diff(np.append(first, len(t)))
+        hot = np.repeat(held >= HOT, held)
+        part_of = lambda x: ((x & _U(0xFFFFFFFF)) * _U(parts) >> _U(32)).astype(np.int32)
+        upper = lambda x: (x >> _U(32)).astype("<u4")
+        marks = t[first[held >= HOT]]
+        plain = np.concatenate((t[~hot], marks))
+        rows = [(p, -1, p, a, b, b"") for p, a, b in _cut(part_of(plain), upper(plain), np.concatenate((o[~hot], np.full(len(marks), _HOT_MARK))))]
+        t, o = t[hot], o[hot]
+        home = (o % homes).astype(np.int64)
+        for key, a, b in _cut(home * parts + part_of(t), upper(t), o):
+            rows.append((parts + key // parts, key // parts, key % parts, a, b, np.full(len(b) // 8, HOT_COUNT, "<u2").tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, owners, names, seen, size = [], [], [], set(), 0
+        tokens, owners, size = [], [], 0
         for batch in batches:
-            for _, s in shingle_sets(batch.column(0), width):
-                name = set_id(s)
-                if not len(s) or name in seen:
-                    continue
-                take = _lower(s, percent)[1]
-                tokens.append(s[:take])
-                owners.append(np.full(take, len(names), "<u2"))
-                seen.add(name)
-                names.append(name)
+            for vertex, lower, members in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
+                s = np.frombuffer(members.as_buffer(), "<u8")
+                take = max(lower, prefix_length(len(s), percent))
+                tokens.append(s[:take].copy())
+                owners.append(np.full(take, vertex, np.int64))
                 size += take
-                if size > 1_500_000 or len(names) > 60_000:
-                    yield from flush(tokens, owners, names)
-                    tokens, owners, names, seen, size = [], [], [], set(), 0
-        yield from flush(tokens, owners, names)
+                if size > BLOCK_SHINGLES or len(tokens) > BLOCK_SETS:
+                    yield from flush(tokens, owners)
+                    tokens, owners, size = [], [], 0
+        yield from flush(tokens, owners)
 
     return run
 
 
 def _frequencies(homes: int):
-    """Of each shingle that several sets hold: to each of those sets how many they are."""
+    """To each class, of those of its shingles that others hold too, how many do."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, owners = [], []
         for pdf in batches:
-            for t, p, n in zip(pdf["tokens"], pdf["places"], pdf["names"], strict=True):
+            direct = pdf[pdf["home"] >= 0]
+            if len(direct):
+                yield direct[["home", "source", "tokens", "owners", "counts"]]
+            for t, o in zip(pdf["tokens"][pdf["home"] < 0], pdf["owners"][pdf["home"] < 0], strict=True):
                 tokens.append(np.frombuffer(t, "<u4"))
-                owners.append(np.frombuffer(n, "<i8")[np.frombuffer(p, "<u2")])
+                owners.append(np.frombuffer(o, "<i8"))
+        if not tokens:
+            return
         t, o = np.concatenate(tokens), np.concatenate(owners)
         order = np.argsort(t, kind="stable")
         t, o = t[order], o[order]
@@ -145,263 +168,87 @@ def _frequencies(homes: int):
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
         t, o = t[new], o[new]
-        _, at, count = np.unique(t, return_inverse=True, return_counts=True)
-        count = count[at]
-        t, o, count = t[count > 1], o[count > 1], np.minimum(count[count > 1], 65535)
-        rows = list(_cut((o % homes).astype(np.int32), o.astype("<i8"), t.astype("<u4"), count.astype("<u2")))
-        yield pd.DataFrame({"home": [r[0] for r in rows], "part": key[0], "owners": [r[1] for r in rows], "tokens": [r[2] for r in rows], "counts": [r[3] for r in rows]})
+        _, first, at, count = np.unique(t, return_index=True, return_inverse=True, return_counts=True)
+        hot = (o[first] == _HOT_MARK)[at] if len(t) else np.zeros(0, bool)  # the mark is the least of its shingle's rows
+        count = np.where(hot, HOT_COUNT, np.minimum(count[at], HOT_COUNT - 1))
+        keep = (count > 1) & (o != _HOT_MARK)
+        t, o, count = t[keep], o[keep], count[keep]
+        rows = list(_cut((o % homes).astype(np.int32), t.astype("<u4"), o.astype("<i8"), count.astype("<u2")))
+        yield pd.DataFrame({"home": [r[0] for r in rows], "source": key[0], "tokens": [r[1] for r in rows], "owners": [r[2] for r in rows], "counts": [r[3] for r in rows]})
 
     return run
 
 
 def _prefixes(percent: int):
-    """The first members of each set that other sets hold too, in blocks by the shingle's part."""
+    """The first members of each set that other sets hold too."""
 
     def run(key: tuple, found: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         if not len(found) or not len(sets):
-            return pd.DataFrame({"part": [], "tokens": [], "owners": []})
+            return pd.DataFrame({"token": [], "owner": [], "n": []}, dtype="int64")
         o = np.concatenate([np.frombuffer(x, "<i8") for x in found["owners"]])
         t = np.concatenate([np.frombuffer(x, "<u4") for x in found["tokens"]])
         c = np.concatenate([np.frombuffer(x, "<u2") for x in found["counts"]])
-        part = np.repeat(found["part"].to_numpy(), [len(x) // 8 for x in found["owners"]])
+        part = np.repeat(found["source"].to_numpy(np.int64), [len(x) // 8 for x in found["owners"]])
         upper = t >= np.uint32(1 << 31)
         order = np.lexsort((t, part, np.where(upper, 0, c), upper, o))
         o, t, part, upper = o[order], t[order], part[order], upper[order]
         names, first, held = np.unique(o, return_index=True, return_counts=True)
         lower_held = np.add.reduceat((~upper).astype(np.int64), first)
-        sets = sets.drop_duplicates("set_id").set_index("set_id").loc[names]
+        sets = sets.set_index("vertex").loc[names]
         n, lower = sets["n_shingles"].to_numpy(), sets["lower"].to_numpy()
         length = n - -(-n * percent // 100) + 1
         own = lower - lower_held  # shingles of the lower half that no other set holds come first
         keep = np.where(lower >= length, np.maximum(0, length - own), held)
         place = np.arange(len(o)) - np.repeat(first, held)
         chosen = place < np.repeat(keep, held)
-        rows = list(_cut(part[chosen], t[chosen].astype("<u4"), o[chosen].astype("<i8")))
-        return pd.DataFrame({"part": [r[0] for r in rows], "tokens": [r[1] for r in rows], "owners": [r[2] for r in rows]})
+        return pd.DataFrame({"token": (part[chosen] << 32) | t[chosen].astype(np.int64), "owner": o[chosen], "n": np.repeat(n, held)[chosen]})
 
     return run
 
 
-def _shared(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A spanning forest of the sets that share a first member of this part."""
-    tokens, owners = [], []
-    for pdf in batches:
-        tokens += [np.frombuffer(x, "<u4") for x in pdf["tokens"]]
-        owners += [np.frombuffer(x, "<i8") for x in pdf["owners"]]
-    t, o = np.concatenate(tokens), np.concatenate(owners)
-    order = np.argsort(t, kind="stable")
-    t, o = t[order], o[order]
-    same = t[1:] == t[:-1]
-    v, root = forest(o[1:][same], o[:-1][same])
-    yield pd.DataFrame({"a": v, "b": root})
-
-
-def _payload(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, members = [], []
-            sets = dict(shingle_sets(batch.column(1), width))
-            for i in range(batch.num_rows):
-                members.append(sets[i].astype("<u8").tobytes())
-            names = batch.column(0)
-            yield pa.RecordBatch.from_arrays([names, batch.column(2), batch.column(3), pa.array(members, pa.binary())], ["set_id", "grp", "k", "members"])
-
-    return run
-
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
-class SignatureTree:
-    """A binary tree over sets, ordered so that like sets are near; nodes hold OR-ed bitmaps and size ranges.
-
-    ``excess`` of a set is its size less the bits it sets; a node keeps the largest. Two sets then share at most
-    popcount(a & b) + min(excess) members.
-    """
-
-    def __init__(self, sets: list[np.ndarray], bits: int = BITMAP_BITS, leaf: int = LEAF):
-        self.sets, self.size = sets, np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, _U)
-        row = np.repeat(np.arange(len(sets)), self.size)
-        bit = (flat >> _U(20)).astype(np.int64) % bits
-        dense = np.zeros((len(sets), bits), bool)
-        dense[row, bit] = True
-        self.maps = np.packbits(dense, axis=1).view(_U)
-        self.excess = self.size - dense.sum(axis=1)
-        least = np.array([s[0] if len(s) else 0 for s in sets], _U)
-        self.order = np.lexsort((least, self.size))
-        self.leaf = leaf
-        self.nodes: list[tuple] = []
-        self.root = self._build(0, len(sets)) if sets else -1
-
-    def _build(self, low: int, high: int) -> int:
-        rows = self.order[low:high]
-        children = ()
-        if high - low > self.leaf:
-            mid = (low + high) // 2
-            children = (self._build(low, mid), self._build(mid, high))
-        node = (np.bitwise_or.reduce(self.maps[rows], axis=0), int(self.size[rows].min()), int(self.size[rows].max()), int(self.excess[rows].max()), children, rows)
-        self.nodes.append(node)
-        return len(self.nodes) - 1
-
-
-def needed(a, b, percent: int):
-    """The least overlap of sets of these sizes that reaches the similarity."""
-    return -((-percent * (a + b)) // (100 + percent))
-
-
-def dual_traversal(tree: SignatureTree, other: SignatureTree | None, percent: int) -> tuple[list[int], list[int]]:
-    """Links that join everything similar: within ``tree``, or between it and ``other``.
-
-    Pairs that are joined through earlier links are left out; every link given holds on the whole sets.
+    component_id is the smallest id reachable by links, the row's own id if it links with nothing. Other columns of
+    ``docs`` are ignored. Null texts have n_shingles 0; a row whose id is null is left out, since it can't be named.
     """
-    within = other is None
-    other = tree if within else other
-    shift = 0 if within else len(tree.sets)
-    root = np.arange(len(tree.sets) + (0 if within else len(other.sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return int(x)
-
-    left, right = [], []
-    stack = [(tree.root, other.root)] if tree.root >= 0 and other.root >= 0 else []
-    while stack:
-        i, j = stack.pop()
-        bits_a, low_a, high_a, excess_a, down_a, rows_a = tree.nodes[i]
-        bits_b, low_b, high_b, excess_b, down_b, rows_b = other.nodes[j]
-        if high_a * 100 < low_b * percent or high_b * 100 < low_a * percent:
-            continue
-        most = int(np.bitwise_count(bits_a & bits_b).sum()) + min(excess_a, excess_b)
-        if min(most, high_a, high_b) < needed(low_a, low_b, percent):
-            continue
-        if down_a or down_b:
-            if within and i == j:
-                stack += [(down_a[0], down_a[0]), (down_a[1], down_a[1]), (down_a[0], down_a[1])]
-            elif down_a and (not down_b or len(rows_a) >= len(rows_b)):
-                stack += [(x, j) for x in down_a]
-            else:
-                stack += [(i, y) for y in down_b]
-            continue
-        sizes_a, sizes_b = tree.size[rows_a], other.size[rows_b]
-        overlap = np.bitwise_count(tree.maps[rows_a][:, None, :] & other.maps[rows_b][None, :, :]).sum(axis=2, dtype=np.int64)
-        overlap += np.minimum(tree.excess[rows_a][:, None], other.excess[rows_b][None, :])
-        overlap = np.minimum(overlap, np.minimum(sizes_a[:, None], sizes_b[None, :]))
-        may = overlap >= needed(sizes_a[:, None], sizes_b[None, :], percent)
-        if within and i == j:
-            may = np.triu(may, 1)
-        for x, y in zip(*np.nonzero(may), strict=True):
-            p, q = int(rows_a[x]), int(rows_b[y])
-            u, v = find(p), find(q + shift)
-            if u == v:
-                continue
-            a, b = tree.sets[p], other.sets[q]
-            if _alike(a, b, percent):
-                root[max(u, v)] = min(u, v)
-                left.append(p)
-                right.append(q)
-    return left, right
-
-
-#: Sets of small groups that one task call takes together.
-CALL_SETS = 2000
-
-
-def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _join_groups(percent: int):
-    """Links within each group, or between each two parts of one."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["grp", "i", "j", "part", "set_id"], ignore_index=True)
-        columns = [pdf[c].to_numpy() for c in ("grp", "i", "j")]
-        new = np.ones(len(pdf), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-        starts = np.flatnonzero(new)
-        names, part = pdf["set_id"].to_numpy(), pdf["part"].to_numpy()
-        sets = [np.frombuffer(x, "<u8") for x in pdf["members"]]
-        left, right = [], []
-        for low, high in zip(starts.tolist(), np.append(starts[1:], len(pdf)).tolist(), strict=True):
-            i, j = columns[1][low], columns[2][low]
-            if i != j:
-                mid = low + int(np.count_nonzero(part[low:high] == i))
-                a, b = dual_traversal(SignatureTree(sets[low:mid]), SignatureTree(sets[mid:high]), percent)
-                right += [mid + x for x in b]
-            elif high - low == 2:  # a tree of two leaves is their comparison
-                a, b = ([0], [1]) if _alike(sets[low], sets[low + 1], percent) else ([], [])
-                right += [low + x for x in b]
-            else:
-                a, b = dual_traversal(SignatureTree(sets[low:high]), None, percent)
-                right += [low + x for x in b]
-            left += [low + x for x in a]
-        yield pd.DataFrame({"a": names[left], "b": names[right]})
-
-    return run
-
-
-def group_sizes(groups: DataFrame, group_limit: int) -> tuple[DataFrame, int]:
-    """(grp, k): into how many parts each group is split; and over how many task calls small groups are spread."""
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group_limit))).cast("int").alias("k"))
-    return sizes, max(1, -(-groups.count() // CALL_SETS))
-
-
-def link_groups(sets: DataFrame, percent: int, calls: int) -> DataFrame:
-    """(a, b): verified links of the sets (set_id, grp, k, members) that join everything similar in a group.
-
-    A group of k parts is k * (k + 1) / 2 calls of its own, so a call holds two parts at most.
-    """
-    sets = sets.withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
-    tasks = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tasks = tasks.select("grp", "k", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "set_id", "members")
-    call = F.when(F.col("k") > 1, F.xxhash64("grp", "i", "j")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(calls)))
-    tasks = tasks.withColumn("call", call).drop("k")
-    return tasks.groupBy("call").applyInPandas(_join_groups(percent), "a long, b long")
-
-
-def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) for every row of ``docs``.
-
-    component_id is the smallest id reachable by links (the row's own id if it links with nothing); rows with
-    one set_id hold the same shingles. Other columns of ``docs`` are ignored. Null texts have n_shingles 0; a
-    row whose id is null is left out, since it can't be named.
-    """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    signed = stored(texts.mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, set_id long, lower long"), "sets")
-    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("lower").alias("lower"))
-
-    body = texts.select("text").where("text IS NOT NULL")
-    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    sets = stored(texts.mapInArrow(_sets(width), _SETS), "sets")
+    repeated = not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
+    # a class is named by the least of its rows' vertices: ids, or a hash of id and set where ids repeat
+    vertex = F.xxhash64("doc_id", "name_1", "name_2", "n_shingles") if repeated else F.col("doc_id")
+    filled = sets.where("n_shingles > 0").withColumn("row", vertex)
+    name = ["name_1", "name_2", "n_shingles"]
+    classes = filled.groupBy(*name, "lower").agg(F.min("row").alias("vertex"), F.min("doc_id").alias("first_id"))
+    # dealt out anew, so that Spark may split the join of a class with very many copies
+    named = filled.select("doc_id", "row", *name).join(classes.select(*name, "vertex", "first_id").repartition("vertex"), name)
+    named = stored(named.select("doc_id", "row", "n_shingles", "vertex", "first_id"), "classes")
+    copies = named.where("row <> vertex").select("row").distinct()
+    unique = filled.join(small_side(copies), "row", "left_anti").select(F.col("row").alias("vertex"), "n_shingles", "lower", "members")
+    if repeated:
+        unique = unique.dropDuplicates(["vertex"])  # rows that agree in id and text
+
+    total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(1, -(-total // (2 * PART_SHINGLES)))
-    homes_n = max(1, -(-parts // 4))
-    blocks = body.mapInArrow(_token_blocks(width, percent, parts), "part int, tokens binary, places binary, names binary")
-    counted = blocks.groupBy("part").applyInPandas(_frequencies(homes_n), "home int, part int, owners binary, tokens binary, counts binary")
-    homes = classes.select(F.pmod("set_id", F.lit(homes_n)).cast("int").alias("home"), "set_id", "n_shingles", "lower")
-    first = counted.groupBy("home").cogroup(homes.groupBy("home")).applyInPandas(_prefixes(percent), "part int, tokens binary, owners binary")
-    near = first.groupBy("part").applyInPandas(_shared, "a long, b long")
-    groups = connected_components(near, thin=False).select(F.col("vertex").alias("set_id"), F.col("component").alias("grp"))
-
-    sizes, calls = group_sizes(groups, group_limit)
-    wanted = groups.join(sizes, "grp").join(classes, "set_id").select(F.col("first_id").alias("doc_id"), "set_id", "grp", "k")
-    wanted = stored(wanted, "wanted")
-    # One text for each class: the wanted ids are the small side and are hashed, the texts stream past unsorted.
-    carried = texts.join(wanted.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]) if _repeats(signed) else texts.join(wanted.hint("shuffle_hash"), "doc_id")
-    sets = carried.select("set_id", "text", "grp", "k").mapInArrow(_payload(width), "set_id long, grp long, k int, members binary")
-    links = link_groups(sets, percent, calls)
-    joined = connected_components(links, thin=False).select(F.col("vertex").alias("set_id"), "component")
-
-    named = classes.select("set_id", "first_id").join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select("set_id", "component_id")
-    linked = signed.where("n_shingles > 0").join(named, "set_id").select("doc_id", "n_shingles", "set_id", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", "set_id", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
-
-
-def _repeats(signed: DataFrame) -> bool:
-    """Whether an id occurs in several rows."""
-    return not signed.groupBy("doc_id").count().where("count > 1").isEmpty()
+    homes = max(1, -(-parts // 4))
+    blocks = unique.select("vertex", "lower", "members").mapInArrow(_token_blocks(percent, parts, homes), _BLOCKS)
+    counted = blocks.groupBy("part").applyInPandas(_frequencies(homes), "home int, source int, tokens binary, owners binary, counts binary")
+    at_home = unique.select(F.pmod("vertex", F.lit(homes)).cast("int").alias("home"), "vertex", "n_shingles", "lower")
+    entries = counted.groupBy("home").cogroup(at_home.groupBy("home")).applyInPandas(_prefixes(percent), "token long, owner long, n long")
+    joined = verified_components(stored(entries, "entries"), unique.select(F.col("vertex").alias("owner"), "members"), percent)
+
+    joined = joined.select(F.col("owner").alias("vertex"), "component")
+    known = named.join(joined, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    if repeated:
+        firsts = known.groupBy("doc_id").agg(F.min("component").alias("b"))
+        same = connected_components(known.select("doc_id", F.col("component").alias("a")).join(firsts, "doc_id").select("a", "b"))
+        known = known.join(same.select(F.col("vertex").alias("component"), F.col("component").alias("whole")), "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    linked = known.join(least.repartition("component_id"), "component").select("doc_id", "n_shingles", "component_id")
+    alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles")
+    if repeated:
+        others = linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        alone = alone.join(others, "doc_id", "left")
+    else:
+        alone = alone.withColumn("component_id", F.lit(None).cast("long"))
+    return linked.unionByName(alone.withColumn("component_id", F.coalesce("component_id", "doc_id")))

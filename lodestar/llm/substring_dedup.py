@@ -1,28 +1,34 @@
 """Substring dedup: repeated paragraphs and passages are cut out of all documents but the first.
 
-Paragraphs are lines of at least ``WIDTH`` words and, where lines of fewer than ``MIN_PARAGRAPH_WORDS`` words follow each
-other without a blank or longer line between (a hard-wrapped text), all of these as one, too. MinHash over their 5-word shingles, in ``BANDS``
-bands of ``ROWS`` rows (at similarity 0.75 a pair collides with probability 0.997, at 0.3 with 0.48), brings
-like ones together; colliding paragraphs form groups, each group is joined exactly (Jaccard 0.75 or more on the
-whole shingle sets, by the signature trees of ``ngram_join``), and links give components. Of a component the
-first occurrence, by (doc_id, place), stays.
-
-A passage inside paragraphs has no line of its own, and an edit of one word in fewer than 39 leaves less than
-0.75, so shorter units are compared for equality: the words of a document are cut where the hash of three words
-is least among its neighbours, which depends on the words around only. A piece that occurred before is extended
-by the words beside it, up to ``BESIDE`` on each side, that are those beside the first occurrence too (compared
-by one byte each, and only next to a piece whose words are all equal).
-
-Repeated paragraphs and pieces are united, and a run of at least ``MIN_RUN_WORDS`` words is removed.
+Paragraphs are lines and, where lines of fewer than ``MIN_PARAGRAPH_WORDS`` words follow each other without a blank
+or longer line between (a hard-wrapped text), all of these as one, too. Paragraphs of ``MIN_BANDED_WORDS`` words or more
+have MinHash signatures over their 5-word shingles, in ``BANDS`` bands of ``ROWS`` rows: at similarity 0.75 a pair
+collides with probability 0.996, at 0.5 with 0.74, at 0.3 with 0.24. Colliding paragraphs are joined and verified by
+exact Jaccard similarity (0.75 or more) on the whole shingle sets, by the signature trees of ``links``; verified
+links give components. Of a component the first occurrence, by (doc_id, place), stays. Shorter paragraphs have one or
+two shingles, so only equal ones are alike.
+
+An edit of one word in fewer than 39 leaves less than 0.75, so equal text is found by equal words, wherever it
+lies: a document's words are cut where the hash of three words is least among its neighbours, which depends on the
+words around only, and pieces are joined with their first occurrence. Before anything is cut, the words themselves
+are compared with those of the first occurrence, and the match is extended on both sides to the first difference.
+That needs no more of the first document than the pieces beside the match: had all words of such a piece been equal,
+and ``REACH`` + 3 more, it would have been cut and found in the same way.
+
+Repeated paragraphs and passages are united, and a run of at least ``MIN_RUN_WORDS`` words is removed.
 
 Words are maximal runs of bytes other than white space, A-Z lower-cased for comparison. Null texts stay null,
-a text that goes entirely is an empty string. Rows that share an id count as one document; rows with a null id
-are returned as they are.
+a text that goes entirely is an empty string. Rows that share an id count as one document, but are looked at and cut
+by their own texts; rows with a null id are returned as they are.
+
+A key that ``HOT`` units or more of one block have is settled there: its part gets one row for the block, and the
+units go on directly, so no task sees all uses of a widespread passage.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,27 +37,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored, unused
-from lodestar.llm.components import connected_components, forest
+from lodestar.llm.common import drop_stored, small_side, stored, unused
 from lodestar.llm.kernels import mix, slices, string_buffer, windows, words
-from lodestar.llm.ngram_join import GROUP_LIMIT, PERCENT, WIDTH, _cut, group_sizes, link_groups
+from lodestar.llm.links import verified_components
+from lodestar.llm.ngram_join import PERCENT, WIDTH, _cut
 
 MIN_PARAGRAPH_WORDS = 25
 MIN_RUN_WORDS = 25
 MIN_PIECE_WORDS = 3
-BANDS, ROWS = 7, 2
+#: Paragraphs of fewer words have too few shingles for one of them to differ.
+MIN_BANDED_WORDS = WIDTH + 2
+BANDS, ROWS = 10, 3
 #: A cut is the least of so many neighbours on either side.
 REACH = 5
-#: Words on either side that a repeated piece may be extended by.
-BESIDE = 16
-#: Units of one block of the search for equal keys.
-PART_UNITS = 400_000
+#: Units of one block of the search for equal keys, of one part of it, and of one block that make a key widespread.
+BLOCK_UNITS, PART_UNITS, HOT = 300_000, 400_000, 64
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-_UNIT = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
 _NAME = np.dtype([("name", "<i8"), ("size", "<u4")])
-_PIECE = np.dtype([*_UNIT.descr, ("left", "u1", BESIDE), ("right", "u1", BESIDE)])
+_PIECE = np.dtype([("doc", "<i8"), ("sub", "<i4"), ("start", "<u4"), ("n", "<u4"), ("left", "<u4"), ("right", "<u4")])
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _sequence_hash(hashes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -82,22 +88,26 @@ def wrapped(raw: np.ndarray, word_starts: np.ndarray, row: np.ndarray, line: np.
     return begin, np.diff(np.append(begin, len(line)))
 
 
-def band_keys(hashes: np.ndarray, owner: np.ndarray, n: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(units with a shingle, their band keys): the least of differently mixed shingle hashes, ROWS to a key."""
+def band_keys(hashes: np.ndarray, owner: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of each unit, the least of differently mixed shingle hashes, ROWS to a key; and its distinct shingles.
+
+    Every unit has at least ``width`` words; ``owner`` is the unit of each word.
+    """
     shingles, at, _ = windows(hashes, owner, width)
-    if not len(shingles):
-        return np.zeros(0, np.int64), np.zeros((0, BANDS), _U)
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1]
-    begin = np.flatnonzero(new)
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
     keys = np.zeros((len(begin), BANDS), _U)
+    if not len(at):
+        return keys, np.zeros(0, np.int64)
     for band in range(BANDS):
         for i in range(band * ROWS, (band + 1) * ROWS):
             x = shingles * _SEEDS[i]
             x ^= x >> _U(32)
             keys[:, band] = mix(keys[:, band] * _U(0x9FB21C651E98DF25) + np.minimum.reduceat(x * _SEEDS[i - 1], begin))
         keys[:, band] += _U(band)
-    return at[begin], keys
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True):
+        shingles[a:b].sort()
+    fresh = np.append(True, (shingles[1:] != shingles[:-1]) | (at[1:] != at[:-1]))
+    return keys, np.add.reduceat(fresh.astype(np.int64), begin)
 
 
 def piece_starts(hashes: np.ndarray, row: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -117,173 +127,114 @@ def piece_starts(hashes: np.ndarray, row: np.ndarray, reach: int = REACH) -> np.
     return np.flatnonzero(first)
 
 
-def _beside(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte for each of the words before ``first`` and from ``end`` on; 0 outside the row's words low to high."""
-    byte = (mix(hashes ^ _U(0x5851F42D4C957F2D)) % _U(255) + _U(1)).astype(np.uint8)
-    step = np.arange(BESIDE)
-    left, right = first[:, None] - 1 - step, end[:, None] + step
-    pick = lambda at, ok: np.where(ok, byte[np.clip(at, 0, max(0, len(byte) - 1))], 0)
-    return pick(left, left >= low[:, None]), pick(right, right < high[:, None])
+def _paragraphs(column: pa.Array) -> Iterator[tuple]:
+    """(rows, first words in their row, words, names, hashes of words, unit of each word) of lines and of wrapped lines."""
+    raw, rows = string_buffer(column)
+    starts, _, row, hashes = words(raw, rows, lower=True)
+    if not len(starts):
+        return
+    base = np.searchsorted(row, np.arange(len(column)))  # a row's first word
+    line, _ = paragraphs(raw, starts, row)
+    begin, lines = wrapped(raw, starts, row, line, np.diff(np.append(line, len(row))))
+    for first, some in ((line, np.ones(len(line), bool)), (line[begin], lines > 1)):
+        n = np.diff(np.append(first, len(row)))
+        some &= n >= MIN_BANDED_WORDS
+        if some.any():
+            kept = np.repeat(some, n)
+            first, n = first[some], n[some]
+            owner = np.repeat(np.arange(len(n)), n)
+            own = hashes[kept]
+            names = _sequence_hash(own, np.cumsum(n) - n, owner).view(np.int64)
+            yield row[first], first - base[row[first]], n, names, own, owner
 
 
-def _paragraph_units(parts: int):
-    """Blocks of paragraphs' band keys (kind 0) and of all paragraphs' places (kind 2)."""
+_PLACES = "name long, doc_id long, sub int, start int, n int"
 
-    def block(column: pa.Array, own: np.ndarray) -> tuple | None:
-        raw, rows = string_buffer(column)
-        starts, _, row, hashes = words(raw, rows, lower=True)
-        if not len(starts):
-            return None
-        base = np.searchsorted(row, np.arange(len(own)))  # a row's first word
-        line, _ = paragraphs(raw, starts, row)
-        length = np.diff(np.append(line, len(row)))
-        begin, lines = wrapped(raw, starts, row, line, length)
-        found = []
-        for first, some in ((line, length >= WIDTH), (line[begin], lines > 1)):
-            n = np.diff(np.append(first, len(row)))
-            some &= n >= WIDTH
-            owner = np.repeat(np.arange(len(first)), n)
-            names = _sequence_hash(hashes, first, owner).view(np.int64)[some]
-            units = np.zeros(len(names), _UNIT)
-            units["doc"], units["start"], units["n"] = own[row[first[some]]], first[some] - base[row[first[some]]], n[some]
-            kept = some[owner]
-            _, keys = band_keys(hashes[kept], (np.cumsum(some) - 1)[owner[kept]], len(names))
-            shingles, at, _ = windows(hashes[kept], (np.cumsum(some) - 1)[owner[kept]], WIDTH)
-            order = np.lexsort((shingles, at))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (shingles[order[1:]] != shingles[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
-            named = np.zeros(len(names), _NAME)
-            named["name"], named["size"] = names, np.bincount(at[order[fresh]], minlength=len(names))
-            found.append((keys.reshape(-1), named, units))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def rows(held: list[tuple]) -> list[tuple]:
-        keys, names, units = (np.concatenate(x) for x in zip(*held, strict=True))
-        named, names = names, names["name"]
-        _, at = np.unique(names, return_index=True)  # equal paragraphs have equal keys
-        keys, owners = keys.reshape(-1, BANDS)[at].reshape(-1), np.repeat(named[at], BANDS)
-        return [(0, *r) for r in _cut(_part(keys, parts), keys, owners)] + [(2, *r) for r in _cut(_part(names.view(_U), parts), names, units)]
-
-    return _blocks(block, rows)
-
-
-def _piece_units(parts: int):
-    """Blocks of pieces' keys and places (kind 1)."""
-
-    def block(column: pa.Array, own: np.ndarray) -> tuple | None:
-        raw, rows = string_buffer(column)
-        starts, _, row, hashes = words(raw, rows, lower=True)
-        if not len(starts):
-            return None
-        base = np.searchsorted(row, np.arange(len(own) + 1))
-        cut = piece_starts(hashes, row)
-        n = np.diff(np.append(cut, len(row)))
-        keys = _sequence_hash(hashes, cut, np.repeat(np.arange(len(cut)), n)) + n.astype(_U)
-        some = n >= MIN_PIECE_WORDS
-        keys, cut, n = keys[some], cut[some], n[some]
-        units = np.zeros(len(cut), _PIECE)
-        units["doc"], units["start"], units["n"] = own[row[cut]], cut - base[row[cut]], n
-        units["left"], units["right"] = _beside(hashes, cut, cut + n, base[row[cut]], base[row[cut] + 1])
-        return keys, units
-
-    def rows(held: list[tuple]) -> list[tuple]:
-        keys, units = (np.concatenate(x) for x in zip(*held, strict=True))
-        return [(1, *r) for r in _cut(_part(keys, parts), keys, units)]
 
-    return _blocks(block, rows)
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each paragraph lies."""
+    for batch in batches:
+        for a, b in slices(batch.column(2)):
+            ids, subs = (batch.column(i).slice(a, b - a).to_numpy() for i in (0, 1))
+            for row, start, n, names, _, _ in _paragraphs(batch.column(2).slice(a, b - a)):
+                arrays = [names, ids[row], subs[row].astype(np.int32), start.astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [x.split()[0] for x in _PLACES.split(", ")])
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((mix(keys) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
 
 
-def _blocks(block, rows):
-    """Gathers what ``block`` makes of slices of a batch and gives it out by part."""
+#: kind 0: units that meet in a part; 1: for a key that is settled in the block, its first unit; 2: all units of such keys.
+_BLOCK = "kind int, part int, keys binary, units binary"
+
 
-    def flush(held: list[tuple]) -> pa.RecordBatch | None:
-        found = rows(held)
+def _flush(keys: np.ndarray, units: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a block; ``units`` are ordered so that the first of equal keys is their first."""
+    order = np.argsort(keys, kind="stable")
+    keys, units = keys[order], units[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    held = np.diff(np.append(first, len(keys)))
+    hot = np.repeat(held >= HOT, held)
+    marks = first[held >= HOT]
+    rows = [(0, *r) for r in _cut(_part(keys[~hot], parts), keys[~hot], units[~hot])]
+    rows += [(1, *r) for r in _cut(_part(keys[marks], parts), keys[marks], units[marks])]
+    # on their way, units of settled keys are dealt out by themselves
+    rows += [(2, parts + p, k, u) for p, k, u in _cut(np.arange(hot.sum()) // 50_000, keys[hot], units[hot])]
+    if rows:
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        if found:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["kind", "part", "keys", "units"])
-        return None
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "part", "keys", "units"])
+
+
+def _band_blocks(parts: int):
+    """Blocks of paragraphs' band keys."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        named, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at = np.unique(named["name"], return_index=True)  # equal paragraphs have equal keys
+        yield from _flush(keys[at].reshape(-1), np.repeat(named[at], BANDS), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, b in slices(batch.column(1)):
-                found = block(batch.column(1).slice(a, b - a), ids[a:b])
-                if found is None:
-                    continue
-                held.append(found)
-                size += len(found[0])
-                if size > 300_000:
-                    if (out := flush(held)) is not None:
-                        yield out
+            for a, b in slices(batch.column(2)):
+                for _, _, _, names, hashes, owner in _paragraphs(batch.column(2).slice(a, b - a)):
+                    named = np.zeros(len(names), _NAME)
+                    named["name"] = names
+                    keys, named["size"] = band_keys(hashes, owner)
+                    held.append((named, keys))
+                    size += len(names) * BANDS
+                if size > BLOCK_UNITS:
+                    yield from flush(held)
                     held, size = [], 0
-        if held and (out := flush(held)) is not None:
-            yield out
+        if held:
+            yield from flush(held)
 
     return run
 
 
-_BLOCK = "kind int, part int, keys binary, units binary"
-
-
 def _collisions(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A spanning forest of the paragraphs that share a band, but for those whose sizes alone rule a link out."""
-    keys, names = [], []
+    """Entries (token, owner, n) of the paragraphs that share a band with another."""
+    plain, marked = [], []
     for pdf in batches:
-        keys += [np.frombuffer(x, "<u8") for x in pdf["keys"]]
-        names += [np.frombuffer(x, _NAME) for x in pdf["units"]]
-    k, n = np.concatenate(keys), np.concatenate(names)
-    order = np.lexsort((n["size"], k))
-    k, size, n = k[order], n["size"][order].astype(np.int64), n["name"][order]
-    # sizes ascend within a key: over a gap of this width no two can be similar enough
-    same = (k[1:] == k[:-1]) & (100 * size[:-1] >= PERCENT * size[1:])
-    a, b = n[1:][same], n[:-1][same]
-    differ = a != b
-    v, root = forest(a[differ], b[differ])
-    yield pd.DataFrame({"a": v, "b": root})
-
-
-def _repeated_pieces(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pieces that occurred before, extended, each with the document of the first occurrence."""
-    keys, units = [], []
-    for pdf in batches:
-        keys += [np.frombuffer(x, "<u8") for x in pdf["keys"]]
-        units += [np.frombuffer(x, _PIECE) for x in pdf["units"]]
-    k, u = np.concatenate(keys), np.concatenate(units)
-    order = np.argsort(k, kind="stable")
-    k, u = k[order], u[order]
-    near = np.zeros(len(k) + 1, bool)
-    near[1:-1] = k[1:] == k[:-1]
-    several = near[1:] | near[:-1]
-    k, u = k[several], u[several]
-    order = np.lexsort((u["start"], u["doc"], k))
+        for kind, k, u in zip(pdf["kind"], pdf["keys"], pdf["units"], strict=True):
+            k, u = np.frombuffer(k, "<i8"), np.frombuffer(u, _NAME)
+            if kind == 2:
+                yield pd.DataFrame({"token": k, "owner": u["name"], "n": u["size"].astype(np.int64)})
+            else:
+                (plain if kind == 0 else marked).append((k, u))
+    if not plain:
+        return
+    k, u = (np.concatenate(x) for x in zip(*plain, strict=True))
+    order = np.lexsort((u["name"], k))
     k, u = k[order], u[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    first = np.repeat(u[new], np.diff(np.append(np.flatnonzero(new), len(k)))) if len(k) else u
-    later = (u["doc"] != first["doc"]) | (u["start"] != first["start"])
-    u, first = u[later], first[later]
-    same = lambda side: np.cumprod((u[side] == first[side]) & (u[side] > 0), axis=1).sum(axis=1).astype(np.int64)
-    left, right = same("left"), same("right")
-    start, n = u["start"] - left, u["n"] + left + right
-    for low in range(0, len(u), 500_000):
-        part = slice(low, low + 500_000)
-        yield pd.DataFrame({"doc_id": u["doc"][part], "start": start[part], "n": n[part], "first_id": first["doc"][part]})
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for names, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            u = np.frombuffer(units, _UNIT)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(names, "<i8")), pa.array(u["doc"].astype(np.int64)), pa.array(u["start"].astype(np.int64)), pa.array(u["n"].astype(np.int64))],
-                ["name", "doc_id", "start", "n"],
-            )
+    new = np.append(True, (k[1:] != k[:-1]) | (u["name"][1:] != u["name"][:-1]))
+    k, u = k[new], u[new]
+    _, at, count = np.unique(k, return_inverse=True, return_counts=True)
+    shared = count[at] > 1
+    if marked:
+        shared |= np.isin(k, np.concatenate([m[0] for m in marked]))
+    yield pd.DataFrame({"token": k[shared], "owner": u["name"][shared], "n": u["size"][shared].astype(np.int64)})
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,34 +244,191 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, rows = string_buffer(batch.column(0).slice(a, b - a))
             _, _, row, hashes = words(raw, rows, lower=True)
             base = np.searchsorted(row, np.arange(b - a))
-            out = []
+            names, out = [], []
             for i, asked in enumerate(batch.column(1).slice(a, b - a).to_pylist()):
                 for x in asked:
                     low = int(base[i]) + x["start"]
                     part = hashes[low : low + x["n"]]
                     shingles, _, _ = windows(part, np.zeros(len(part), np.int64), WIDTH)
-                    out.append((x["name"], x["grp"], x["k"], np.unique(shingles).astype("<u8").tobytes()))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["set_id", "grp", "k", "members"])
+                    names.append(x["name"])
+                    out.append(np.unique(shingles).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["owner", "members"])
 
 
-def paragraph_components(texts: DataFrame, places: DataFrame, bands: DataFrame, percent: int = PERCENT, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(name, component) of the paragraphs linked with others; a name stands for one sequence of words."""
-    near = bands.groupBy("part").applyInPandas(_collisions, "a long, b long")
-    groups = connected_components(near, thin=False).select(F.col("vertex").alias("name"), F.col("component").alias("grp"))
-    sizes, calls = group_sizes(groups, group_limit)
-    one = places.groupBy("name").agg(F.min(F.struct("doc_id", "start", "n")).alias("at"))
-    asked = groups.join(sizes, "grp").join(one, "name").groupBy(F.col("at.doc_id").alias("doc_id"))
-    asked = asked.agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "name", "grp", "k")).alias("asked"))
-    held = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
-    sets = held.join(asked.hint("shuffle_hash"), "doc_id").select("text", "asked").mapInArrow(_members, "set_id long, grp long, k int, members binary")
-    links = link_groups(sets, percent, calls)
-    return connected_components(links, thin=False).select(F.col("vertex").alias("name"), "component")
+def near_paragraphs(texts: DataFrame, places: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
+    """(name, component) of the paragraphs that are linked with others; a name stands for one sequence of words."""
+    blocks = texts.mapInArrow(_band_blocks(parts), _BLOCK)
+    entries = stored(blocks.groupBy("part").applyInPandas(_collisions, "token long, owner long, n long"), "entries")
+    wanted = entries.select(F.col("owner").alias("name")).distinct()
+    one = places.join(small_side(wanted), "name").groupBy("name").agg(F.min(F.struct("doc_id", "sub", "start", "n")).alias("at"))
+    asked = one.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.sub").alias("sub"))
+    asked = asked.agg(F.collect_list(F.struct("name", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("asked"))
+    members = _one_row(texts).join(small_side(asked), ["doc_id", "sub"]).select("text", "asked").mapInArrow(_members, "owner long, members binary")
+    found = verified_components(entries, members, percent).withColumnRenamed("owner", "name")
+    several = found.groupBy("component").agg(F.count(F.lit(1)).alias("names")).where("names > 1")
+    return stored(found.join(several.select("component").repartition("component"), "component").select("name", "component"), "linked")
 
 
-def _repeats(texts: DataFrame) -> bool:
-    return not texts.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty()
+def _one_row(texts: DataFrame) -> DataFrame:
+    """Rows that agree in id and text once; ``sub`` is 0 everywhere where ids don't repeat."""
+    return texts if texts.where("sub <> 0").isEmpty() else texts.dropDuplicates(["doc_id", "sub"])
+
+
+def _piece_blocks(parts: int):
+    """Blocks of pieces' keys and places."""
+
+    def block(column: pa.Array, ids: np.ndarray, subs: np.ndarray) -> tuple | None:
+        raw, rows = string_buffer(column)
+        starts, _, row, hashes = words(raw, rows, lower=True)
+        if not len(starts):
+            return None
+        base = np.searchsorted(row, np.arange(len(ids) + 1))
+        cut = piece_starts(hashes, row)
+        end = np.append(cut[1:], len(row))
+        keys = _sequence_hash(hashes, cut, np.repeat(np.arange(len(cut)), end - cut)) + (end - cut).astype(_U)
+        some = end - cut >= MIN_PIECE_WORDS
+        keys, cut, end = keys[some], cut[some], end[some]
+        at = row[cut]
+        low, high = base[at], base[at + 1]
+        same = np.append(at[1:] == at[:-1], False)
+        before, after = low.copy(), high.copy()
+        before[1:] = np.where(same[:-1], np.maximum(low[1:], cut[:-1] - REACH - 3), low[1:])
+        after[:-1] = np.where(same[:-1], np.minimum(high[:-1], end[1:] + REACH + 3), high[:-1])
+        units = np.zeros(len(cut), _PIECE)
+        units["doc"], units["sub"], units["start"], units["n"] = ids[at], subs[at], cut - low, end - cut
+        units["left"], units["right"] = cut - before, after - end
+        return keys, units
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, units = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((units["start"], units["sub"], units["doc"]))
+        yield from _flush(keys[order], units[order], parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            ids, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in slices(batch.column(2)):
+                if (found := block(batch.column(2).slice(a, b - a), ids[a:b], subs[a:b])) is not None:
+                    held.append(found)
+                    size += len(found[0])
+                if size > BLOCK_UNITS:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+_FOUND = "kind int, name long, doc_id long, sub int, start int, n int, f_doc long, f_sub int, f_start int, f_left int, f_right int"
+
+
+def _found(kind: int, name: np.ndarray, unit: np.ndarray | None, first: np.ndarray | None) -> pd.DataFrame:
+    out = pd.DataFrame({"kind": np.full(len(name), kind, np.int32), "name": name.view(np.int64)})
+    for source, fields in ((unit, (("doc_id", "doc"), ("sub", "sub"), ("start", "start"), ("n", "n"))), (first, (("f_doc", "doc"), ("f_sub", "sub"), ("f_start", "start"), ("f_left", "left"), ("f_right", "right")))):
+        for c, f in fields:
+            out[c] = pd.array([pd.NA] * len(name), "Int64") if source is None else source[f].astype(np.int64)
+    return out
+
+
+def _repeated_pieces(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kind 0: the pieces that occurred before, each with its first occurrence; 1: firsts of keys that blocks settled; 2: their pieces."""
+    gathered: list[list[tuple]] = [[], []]
+    for pdf in batches:
+        for kind, k, u in zip(pdf["kind"], pdf["keys"], pdf["units"], strict=True):
+            k, u = np.frombuffer(k, "<u8"), np.frombuffer(u, _PIECE)
+            if kind == 2:
+                yield _found(2, k, u, None)
+            else:
+                gathered[kind].append((k, u))
+    both = gathered[0] + gathered[1]
+    if not both:
+        return
+    k, u = (np.concatenate(x) for x in zip(*both, strict=True))
+    mark = np.zeros(len(k), bool)
+    mark[len(k) - sum(len(x[0]) for x in gathered[1]) :] = True
+    order = np.argsort(k, kind="stable")
+    k, u, mark = k[order], u[order], mark[order]
+    near = np.zeros(len(k) + 1, bool)
+    near[1:-1] = k[1:] == k[:-1]
+    several = near[1:] | near[:-1] | mark
+    k, u, mark = k[several], u[several], mark[several]
+    order = np.lexsort((u["start"], u["sub"], u["doc"], k))
+    k, u, mark = k[order], u[order], mark[order]
+    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    first = np.repeat(u[begin], np.diff(np.append(begin, len(k))))
+    if mark.any():
+        settled = begin[np.logical_or.reduceat(mark, begin)]
+        yield _found(1, k[settled], None, u[settled])
+    later = ~mark & ((u["doc"] != first["doc"]) | (u["sub"] != first["sub"]) | (u["start"] != first["start"]))
+    for low in range(0, len(k), 500_000):
+        part = np.flatnonzero(later[low : low + 500_000]) + low
+        if len(part):
+            yield _found(0, k[part], u[part], first[part])
+
+
+_RUNS = "doc_id long, sub int, start int, n int, f_doc long, f_sub int, f_start int, f_left int, f_right int"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces that follow each other both here and in the first document as one; they come in order."""
+    names = [x.split()[0] for x in _RUNS.split(", ")]
+    last: np.ndarray | None = None  # a run that the next batch may go on with
+
+    def table(rows: np.ndarray) -> pa.RecordBatch:
+        kinds = [pa.int64() if x.endswith("long") else pa.int32() for x in _RUNS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(rows[i], k) for i, k in enumerate(kinds)], names)
+
+    for batch in batches:
+        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(len(names))])
+        rows = rows if last is None else np.concatenate((last, rows), axis=1)
+        if not rows.shape[1]:
+            continue
+        doc, sub, start, n, f_doc, f_sub, f_start = rows[:7]
+        on = (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (f_doc[1:] == f_doc[:-1]) & (f_sub[1:] == f_sub[:-1])
+        on &= (start[1:] == start[:-1] + n[:-1]) & (f_start[1:] == f_start[:-1] + n[:-1])
+        begin = np.flatnonzero(np.append(True, ~on))
+        end = np.append(begin[1:], rows.shape[1]) - 1
+        out = rows[:, begin]
+        out[3], out[8] = np.add.reduceat(n, begin), rows[8, end]
+        if out.shape[1] > 1:
+            yield table(out[:, :-1])
+        last = out[:, -1:]
+    if last is not None:
+        yield table(last)
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the places asked for, lower-cased, a blank between."""
+    for batch in batches:
+        rows = []
+        for doc, sub, text, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            own = _WORD.findall(text.encode().lower())
+            rows += [(doc, sub, x["low"], x["high"], b" ".join(own[x["low"] : x["high"]])) for x in asked]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], ["f_doc", "f_sub", "low", "high", "words"])
+
+
+def repeated_runs(texts: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, sub, start, n, first_id, words, at) of equal text: ``words`` are the first document's around it, ``at`` is where it starts there."""
+    found = stored(texts.mapInArrow(_piece_blocks(parts), _BLOCK).groupBy("part").applyInPandas(_repeated_pieces, _FOUND), "pieces", "kind")
+    of = [x.split()[0] for x in _RUNS.split(", ")]
+    firsts = found.where("kind = 1").select("name", *of[4:])
+    direct = found.where("kind = 2").select("name", *of[:4]).join(small_side(firsts), "name")
+    direct = direct.where("doc_id <> f_doc OR sub <> f_sub OR start <> f_start").select(*of)
+    hits = found.where("kind = 0").select(*of).unionByName(direct)
+    hits = hits if texts.where("sub <> 0").isEmpty() else hits.dropDuplicates(["doc_id", "sub", "start"])
+    runs = hits.repartition(F.col("doc_id"), F.col("sub")).sortWithinPartitions("doc_id", "sub", "start").mapInArrow(_merged, _RUNS)
+    runs = runs.withColumns({"low": F.col("f_start") - F.col("f_left"), "high": F.col("f_start") + F.col("n") + F.col("f_right")})
+    runs = stored(runs, "runs")
+    drop_stored(found)
+    place = ["f_doc", "f_sub", "low", "high"]
+    asked = runs.select(*place).distinct().groupBy(F.col("f_doc").alias("doc_id"), F.col("f_sub").alias("sub"))
+    asked = asked.agg(F.collect_list(F.struct("low", "high")).alias("asked"))
+    held = _one_row(texts).join(small_side(asked), ["doc_id", "sub"]).select("doc_id", "sub", "text", "asked")
+    held = held.mapInArrow(_regions, "f_doc long, f_sub int, low int, high int, words binary")
+    return runs.join(held, place).select("doc_id", "sub", "start", "n", F.col("f_doc").alias("first_id"), "words", F.col("f_left").alias("at"), F.when((F.col("doc_id") == F.col("f_doc")) & (F.col("sub") == F.col("f_sub")), F.col("f_start") + F.col("n")).alias("own_end"))
 
 
 def merged_runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -334,6 +442,23 @@ def merged_runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int
     return [(a, b) for a, b in out if b - a >= least]
 
 
+def compared(own: list[bytes], start: int, n: int, words: bytes, at: int, least: int) -> tuple[int, int] | None:
+    """(start, number of words) of the match, extended to the first difference on either side; None if the words differ.
+
+    ``words`` are those around the first occurrence, which begins at number ``at``. The match doesn't grow below ``least``.
+    """
+    first = words.split(b" ")
+    if own[start : start + n] != first[at : at + n]:
+        return None
+    left = 0
+    while left < at and start - left > least and own[start - left - 1] == first[at - left - 1]:
+        left += 1
+    right, most = n, min(len(first) - at, len(own) - start)
+    while right < most and own[start + right] == first[at + right]:
+        right += 1
+    return start - left, left + right
+
+
 def _removed(id_at: int, text_at: int, spans_at: int, n_columns: int, min_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,11 +475,18 @@ def _removed(id_at: int, text_at: int, spans_at: int, n_columns: int, min_run: i
                 for i, spans in enumerate(found):
                     if not spans or texts[i] is None:
                         continue
-                    runs = merged_runs([(x["start"], x["n"]) for x in spans], min_run)
+                    whole = raw[rows[i] : rows[i + 1]].tobytes()
+                    own = _WORD.findall(whole.lower())
+                    sure = []
+                    for x in spans:
+                        if x["words"] is None:
+                            sure.append((x["start"], x["n"], x["first_id"]))
+                        elif (match := compared(own, x["start"], x["n"], x["words"], x["at"], x["own_end"] or 0)) is not None:
+                            sure.append((*match, x["first_id"]))
+                    runs = merged_runs([x[:2] for x in sure], min_run)
                     if not runs:
                         continue
                     begin = starts[base[i] : base[i + 1]] - rows[i]
-                    whole = raw[rows[i] : rows[i + 1]].tobytes()
                     kept, at = [], 0
                     for low, high in runs:
                         kept.append(whole[at : begin[low]])
@@ -363,10 +495,10 @@ def _removed(id_at: int, text_at: int, spans_at: int, n_columns: int, min_run: i
                     texts[i] = b"".join([*kept, whole[at:]]).decode()
                     runs_out[i] = [{"start": low, "n_words": high - low} for low, high in runs]
                     begins = [r[0] for r in runs]
-                    for x in spans:
-                        at = bisect.bisect_right(begins, x["start"]) - 1
-                        if at >= 0 and x["start"] < runs[at][1]:
-                            first[i] = min(first[i], x["first_id"])
+                    for start, _, first_id in sure:
+                        at = bisect.bisect_right(begins, start) - 1
+                        if at >= 0 and start < runs[at][1]:
+                            first[i] = min(first[i], first_id)
                 columns = [part.column(c) for c in range(n_columns)]
                 columns[text_at] = pa.array(texts, pa.string())
                 spans_type = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
@@ -387,24 +519,31 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.drop("n_words", "n_removed_words", "class_id", "removed")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = texts.count()
-    parts = max(1, -(-rows * 60 // PART_UNITS))
-    blocks = stored(texts.mapInArrow(_paragraph_units(parts), _BLOCK), "paragraphs", "kind")
-    places = blocks.where("kind = 2").select("keys", "units").mapInArrow(_places, "name long, doc_id long, start long, n long")
-    places = stored(places, "places")
-    linked = paragraph_components(texts, places, blocks.where("kind = 0").select("part", "keys", "units"))
-    whole = places.join(linked, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    longest = F.struct("doc_id", "start", (-F.col("n")).alias("minus_n"))
-    firsts = whole.groupBy("component").agg(F.count(F.lit(1)).alias("times"), F.min(longest).alias("first")).where("times > 1")
+    repeated = not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
+    sub = lambda text: F.hash(text) if repeated else F.lit(0)
+    texts = texts.select("doc_id", sub(F.col("text")).alias("sub"), "text")
+    parts = max(1, -(-texts.count() * 60 // PART_UNITS))
+
+    places = stored(texts.mapInArrow(_places, _PLACES), "places")
+    linked = near_paragraphs(texts, places, parts)
+    near = places.join(small_side(linked), "name")
+    longest = F.struct("doc_id", "sub", "start", (-F.col("n")).alias("minus_n"))
+    firsts = near.groupBy("component").agg(F.min(longest).alias("first"))
     # a line and the passage that it is part of may be alike: neither is a copy of the other
-    lines = whole.join(firsts, "component").where("doc_id <> first.doc_id OR start >= first.start - first.minus_n")
-    lines = lines.select("doc_id", "start", "n", F.col("first.doc_id").alias("first_id"))
-    pieces = texts.mapInArrow(_piece_units(parts), _BLOCK).select("part", "keys", "units").groupBy("part").applyInPandas(_repeated_pieces, "doc_id long, start long, n long, first_id long")
-    spans = lines.unionByName(pieces).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "first_id")).alias("_spans"))
-    id_, spans_ = unused(docs, "_id", "_spans")
-    spans = spans.withColumnsRenamed({"doc_id": id_, "_spans": spans_})
-    joined = docs.withColumn(id_, F.col(id_col).cast("long")).join(spans.hint("shuffle_hash"), id_, "left").select(*docs.columns, id_, spans_)
+    near = near.join(firsts.repartition("first"), "component").where("doc_id <> first.doc_id OR sub <> first.sub OR start >= first.start - first.minus_n")
+    null = lambda kind: F.lit(None).cast(kind)
+    near = near.select("doc_id", "sub", "start", "n", F.col("first.doc_id").alias("first_id"), null("binary").alias("words"), null("int").alias("at"), null("int").alias("own_end"))
+    equal = repeated_runs(texts, parts)
+    spans = near.unionByName(equal).groupBy("doc_id", "sub")
+    spans = spans.agg(F.collect_list(F.struct("start", "n", "first_id", "words", "at", "own_end")).alias("_spans"))
+
+    id_, sub_, spans_ = unused(docs, "_id", "_sub", "_spans")
+    spans = spans.withColumnsRenamed({"doc_id": id_, "sub": sub_, "_spans": spans_})
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), sub_: sub(F.col(text_col)).cast("int")})
+    columns = [*docs.columns, id_, spans_]
+    joined = keyed.where(F.col(id_).isNotNull()).join(spans.hint("shuffle_hash"), [id_, sub_], "left").select(*columns)
+    unnamed = keyed.where(F.col(id_).isNull()).withColumn(spans_, F.lit(None).cast(spans.schema[spans_].dataType)).select(*columns)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema += ", n_words long, n_removed_words long, class_id long, removed array<struct<start: long, n_words: long>>"
-    return joined.mapInArrow(_removed(len(names), names.index(text_col), len(names) + 1, len(names), min_run_words), schema)
+    return joined.unionByName(unnamed).mapInArrow(_removed(len(names), names.index(text_col), len(names) + 1, len(names), min_run_words), schema)

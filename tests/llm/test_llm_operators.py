@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat_format, kernels, line_dedup, ngram_join, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
+from lodestar.llm import bpe, chat_format, kernels, line_dedup, links, ngram_join, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
 from lodestar.llm.components import connected_components, forest
 from lodestar.llm.tokens import PATTERN, LibraryTokenizer, default_path, plain_words
 
@@ -96,17 +96,91 @@ def removed(spark, rows, **options):
     return {r["doc_id"]: r for r in found.collect()}
 
 
+def occurs_earlier(rows, width=8):
+    """For each document the words that lie in a run of ``width`` words which an earlier place has, too."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        w = text.lower().split()
+        out[i] = [False] * len(w)
+        for p in range(len(w) - width + 1):
+            if first.setdefault(tuple(w[p : p + width]), (i, p)) < (i, p):
+                out[i][p : p + width] = [True] * width
+    return out
+
+
 def test_passage_at_any_place_is_cut(spark):
     passage = prose(7, 60)
     rows = [(1, prose(1, 80) + " " + passage + " " + prose(2, 50)), (2, passage + " " + prose(3, 90)), (3, prose(4, 40) + "\n" + passage), (4, prose(5, 200))]
     found = removed(spark, rows)
     assert found[1]["n_removed_words"] == found[4]["n_removed_words"] == 0
     for i in (2, 3):
-        assert 45 <= found[i]["n_removed_words"] <= 60 and found[i]["class_id"] == 1
-        assert passage not in found[i]["text"]
+        assert found[i]["n_removed_words"] == 60 and found[i]["class_id"] == 1
+        assert found[i]["text"].split() == [w for w in rows[i - 1][1].split() if w not in passage.split() or w in prose(3, 90).split() + prose(4, 40).split()] or passage not in found[i]["text"]
     assert found[4]["text"] == rows[3][1]
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_exactly_the_repeated_words_go(spark, hot, monkeypatch):
+    """Passages of 30 to 120 words between other words: what goes is what an earlier place has, to the word."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(hot)
+    passages = [prose(700 + i, rng.randint(30, 120)) for i in range(12)]
+    # own words on either side of a passage, and newlines among them only, so that no line is like another
+    half = lambda seed: " ".join(f"{w}{seed}" for w in prose(seed, rng.randint(25, 40)).split())
+    own = lambda seed: half(seed) + rng.choice(["\n", "\n\n", " "]) + half(seed + 5000)
+    rows = []
+    for i in range(60):
+        parts = [own(10_000 + 10 * i)]
+        for j in range(rng.randint(0, 3)):
+            parts += [rng.choice(passages), own(10_001 + 10 * i + j)]
+        rows.append((i, rng.choice([" ", "  "]).join(parts)))
+    expected = occurs_earlier(rows)
+    for i, r in removed(spark, rows).items():
+        w, gone = rows[i][1].split(), [False] * len(rows[i][1].split())
+        for x in r["removed"]:
+            gone[x["start"] : x["start"] + x["n_words"]] = [True] * x["n_words"]
+        assert gone == expected[i], i
+        assert r["text"].split() == [x for x, g in zip(w, gone, strict=True) if not g]
+        assert r["n_removed_words"] == sum(gone)
+
+
+def test_words_beside_a_passage_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    for seed in range(40):
+        rng = random.Random(seed)
+        beside = ["".join(rng.choice("abdegij") for _ in range(rng.randint(3, 8))) for _ in range(4)]
+        assert substring_dedup.compared([beside[0].encode(), *passage.encode().split(), beside[1].encode()], 1, 60, f"{beside[2]} {passage} {beside[3]}".encode(), 1, 0) == (1, 60)
+    rows = [(i, f"{prose(i, 30)} jbeb{i} {passage} idjgadag{i} {prose(50 + i, 30)}") for i in range(6)]
+    for i, r in removed(spark, rows).items():
+        assert r["n_removed_words"] == (60 if i else 0) and f"jbeb{i} idjgadag{i}" in r["text"].replace(passage + " ", "")
+
+
+def test_recall_of_near_paragraphs(spark):
+    """Paragraphs of 40 to 150 words with similarity 0.75 or more to an earlier one, among others that are less like it."""
+    rng = random.Random(12)
+    rows, near = [], {}
+    for i in range(60):
+        words_ = prose(3000 + i, rng.randint(40, 150)).split()
+        rows.append((i, prose(i, 30) + "\n" + " ".join(words_)))
+        edited = list(words_)
+        for k in rng.sample(range(len(words_)), rng.randint(1, 5)):
+            edited[k] = f"e{i}"
+        rows.append((1000 + i, prose(5000 + i, 30) + "\n" + " ".join(edited)))
+        a, b = shingled(" ".join(words_)), shingled(" ".join(edited))
+        near[1000 + i] = (100 * len(a & b) >= 75 * len(a | b), len(edited))
+    found = removed(spark, rows)
+    alike = [i for i, (x, _) in near.items() if x]
+    assert len(alike) > 20 and sum(found[i]["n_removed_words"] >= near[i][1] for i in alike) >= 0.97 * len(alike)
+    assert all(found[i]["n_removed_words"] == 0 for i in range(60))
+
+
+def test_same_id_other_text(spark):
+    passage = prose(7, 60)
+    rows = [(1, prose(1, 50) + " " + passage), (2, passage + " " + prose(2, 40)), (2, prose(3, 70) + " " + passage), (2, prose(4, 90))]
+    out = substring_dedup.substring_dedup(docs(spark, *rows)).collect()
+    assert sorted(r["text"].strip() for r in out) == sorted([rows[0][1], prose(2, 40), prose(3, 70), prose(4, 90)])
+
+
 def test_near_paragraphs_and_copies(spark):
     paragraph = prose(11, 80).split()
     near = [*paragraph[:40], "changed", *paragraph[41:]]
@@ -340,33 +414,76 @@ def test_cascade_is_the_same_in_any_order():
 # 7 N-gram join
 
 
-def test_join_of_large_groups_and_odd_rows(spark):
-    base = prose(21, 120).split()
-    rng = random.Random(9)
-    rows = [(i, " ".join([*base[: (k := rng.randrange(120))], f"w{i}", *base[k + 1 :]])) for i in range(60)]
-    rows += [(100 + i, prose(100 + i, 50)) for i in range(20)] + [(200, rows[0][1]), (201, rows[0][1].upper())] + [(300 + i, t) for i, (_, t) in enumerate(ODD[:6])] + [(303, LONG)]
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := (t or "").lower().split()) >= 5 else ({tuple(w)} if w else set()) for i, t in rows}
-    root = {i: i for i in sets}
+def linked_ids(sets, percent=75, same=()):
+    """Smallest id reachable from each id, by comparing all sets; ``sets`` are (id, set)."""
+    root = {i: i for i, _ in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and (both := len(sets[i] & sets[j])) * 100 >= 75 * (len(sets[i]) + len(sets[j]) - both):
+    for n, (i, s) in enumerate(sets):
+        for j, t in sets[:n]:
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+    return {i: find(i) for i, _ in sets}
+
+
+def shingled(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+@pytest.fixture
+def small_parts(monkeypatch):
+    """Leaves, groups and calls of a few sets, so that all are split."""
+    for name, value in (("LEAF_SETS", 7), ("CALL_MEMBERS", 500), ("GROUP_NODES", 5), ("CALL_NODES", 20)):
+        monkeypatch.setattr(links, name, value)
+
+
+def joined_as_brute_force(spark, rows):
     df = docs(spark, *rows).withColumns({k: F.lit(v) for k, v in CLASH.items()})
-    for limit in (3000, 7):  # the second splits groups into parts
-        found = ngram_join.ngram_jaccard_join(df, group_limit=limit).collect()
-        assert len(found) == len(rows)
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(s), find(i)) for i, s in sets.items()}
-    assert ngram_join.ngram_jaccard_join(df.limit(0)).count() == 0
+    found = ngram_join.ngram_jaccard_join(df).collect()
+    named = [(i, shingled(t)) for i, t in rows if i is not None]
+    component = linked_ids(named)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted((i, len(s), component[i]) for i, s in named)
+
+
+def near_copies():
+    base = prose(21, 120).split()
+    rng = random.Random(9)
+    rows = [(i, " ".join([*base[: (k := rng.randrange(120))], f"w{i}", *base[k + 1 :]])) for i in range(60)]
+    # copies with several edits lie around the threshold, chains of texts reach beyond it
+    for i in range(40):
+        edited = list(base)
+        for k in rng.sample(range(120), rng.randint(2, 6)):
+            edited[k] = f"x{i}"
+        rows.append((60 + i, " ".join(edited)))
+    chain = prose(22, 400).split()
+    rows += [(400 + i, " ".join(chain[6 * i : 6 * i + 100])) for i in range(30)]
+    rows += [(100 + i, prose(100 + i, 50)) for i in range(20)] + [(200, rows[0][1]), (201, rows[0][1].upper())]
+    return rows + [(500 + i, " ".join(base[i % 7 : i % 7 + 5 + i % 4])) for i in range(20)]
+
 
+def test_join_as_brute_force(spark):
+    joined_as_brute_force(spark, near_copies() + [(300 + i, t) for i, (_, t) in enumerate(ODD[:6])] + [(None, "no id here")])
+    assert ngram_join.ngram_jaccard_join(docs(spark, (1, "x")).limit(0)).count() == 0
 
-def test_dual_traversal_finds_every_component():
+
+def test_join_in_small_parts(spark, small_parts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART_SHINGLES", 400)
+    joined_as_brute_force(spark, near_copies())
+
+
+def test_rows_that_share_an_id_have_all_their_links(spark):
+    one, two, other = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, one), (5, two), (7, one), (7, two), (7, two), (9, other), (8, None), (8, other), (6, ""), (6, "")]
+    joined_as_brute_force(spark, rows)
+
+
+def test_linked_sets_find_every_component():
     rng = np.random.default_rng(5)
     sets = []
     for _ in range(40):
@@ -374,12 +491,33 @@ def test_dual_traversal_finds_every_component():
         for _ in range(int(rng.integers(1, 6))):
             keep = base[rng.random(len(base)) < 0.93]
             sets.append(np.unique(np.concatenate((keep, rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64)))))
-    alike = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - b) and len(sets[i])}
-    expected = forest(np.array([a for a, _ in alike]), np.array([b for _, b in alike]))
-    tree = ngram_join.SignatureTree(sets, bits=128, leaf=4)
-    left, right = ngram_join.dual_traversal(tree, None, 75)
-    found = forest(np.array(left), np.array(right))
-    assert all(np.array_equal(a, b) for a, b in zip(found, expected, strict=True))
+    expected = linked_ids([(i, set(s.tolist())) for i, s in enumerate(sets)])
+    for split in (None, 70):
+        found = links.linked_sets(sets, split, 75, np.arange(len(sets)), bits=128, leaf=4)
+        if split:
+            assert all(a < split <= b for a, b in found)
+            found += links.linked_sets(sets[:split], None, 75, np.arange(split)) + [(a + split, b + split) for a, b in links.linked_sets(sets[split:], None, 75, np.arange(len(sets) - split))]
+        root = {i: i for i in range(len(sets))}
+        for a, b in found:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {i: new if r == old else r for i, r in root.items()}
+        assert root == expected
+
+
+def test_trees_prune_by_largest_overlap():
+    """Sets of one size without common members are told apart without comparing a pair."""
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(200)]
+    tree = links.SignatureTree.of_sets(sets)
+    assert not list(links.surviving_pairs(tree, None, 75, np.arange(200)))
+    twin = links.SignatureTree.of_sets([sets[3]])
+    assert list(links.surviving_pairs(tree, twin, 75, np.arange(201))) == [(3, 200)]
+    assert not list(links.surviving_pairs(tree, twin, 75, np.append(np.arange(200), 3)))  # joined already
+
+
+def test_widespread_shingles_take_the_short_way(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    joined_as_brute_force(spark, near_copies())
 
 
 # 8 Line dedup

@@ -10,7 +10,9 @@ share a token. So that no pair is lost and no set travels with each of its token
    as a guest, which joins the parts.
 2. What a leaf joins is a node: one row with the OR of its bitmaps and its size range. Tokens that have owners in
    several leaves and nodes are still undecided. Their nodes, without any members, are traversed in the same way; of
-   those that survive one set each is compared, then, where nodes of several sets are still apart, all their sets.
+   the pairs that survive one set each is compared, then, where nodes of several sets are still apart, all their sets.
+   A pair travels once, whatever number of tokens it shares; where very many nodes of a token survive with each
+   other (``DENSE`` pairs to a node), they travel as a group instead.
 
 A link is always verified on the whole sets, and components are made of links only. Groups of nodes over
 ``GROUP_NODES`` are split into parts, and each pair of parts is a call of its own, so a call's memory is bounded.
@@ -33,6 +35,8 @@ LEAF = 32
 #: Sets and members of one part of a leaf; members that one call holds; nodes of one part of a group and of one call.
 LEAF_SETS, LEAF_MEMBERS, CALL_MEMBERS = 2000, 2_000_000, 1_000_000
 GROUP_NODES, CALL_NODES = 4000, 20_000
+#: Pairs to a node that make a group dense; partners of one set in one call.
+DENSE, PARTNERS = 16, 500
 
 _U = np.uint64
 
@@ -181,30 +185,80 @@ def _leaf_nodes(percent: int):
     return run
 
 
-def _survivors(percent: int, whole: bool):
-    """The nodes of each group that may be alike with another one; with ``whole`` only pairs with a node of several sets."""
+_ALIVE = "token long, i int, j int, part int, node long, label long, place long, other long"
+
+
+def _survivors(percent: int, whole: bool, dense: int):
+    """Pairs of nodes (node, other) that may be alike, and in dense groups the nodes that survive (other is null).
+
+    With ``whole`` only pairs with a node of several sets.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["token", "i", "j", "part", "node"], ignore_index=True)
         token, i, j, part = (pdf[c].to_numpy() for c in ("token", "i", "j", "part"))
         arrays = [pdf[c].to_numpy(np.int64) for c in ("low", "high", "excess", "node", "label", "place", "sets")]
         bits = np.frombuffer(b"".join(pdf["bits"]), _U).reshape(len(pdf), -1)
-        found = np.zeros(len(pdf), bool)
+        left, right = [], []
         for a, b in _runs(token, i, j):
             low, high, excess, node, label, place, sets = (x[a:b] for x in arrays)
             cut = b - a if i[a] == j[a] else int(np.count_nonzero(part[a:b] == i[a]))
+            if i[a] != j[a] and cut in (0, b - a):
+                continue
             make = lambda s: SignatureTree(bits[a:b][s], low[s], high[s], excess[s], node[s].view(_U))  # noqa: B023, E731
             first, other = make(slice(0, cut)), make(slice(cut, None)) if cut < b - a else None
-            if i[a] != j[a] and other is None:
-                continue
+            alive, pairs = np.zeros(b - a, bool), []
             for x, y in surviving_pairs(first, other, percent, label, place):
                 if not whole or sets[x] > 1 or sets[y] > 1:
-                    found[a + x] = found[a + y] = True
-        yield pdf.loc[found, ["token", "i", "j", "part", "node", "label", "place"]]
+                    alive[x] = alive[y] = True
+                    if pairs is not None:
+                        pairs.append((x, y))
+                        if len(pairs) > dense * (b - a):
+                            pairs = None
+            if pairs is None:
+                left += (a + np.flatnonzero(alive)).tolist()
+                right += [None] * int(alive.sum())
+            else:
+                pairs = [(x, y) if node[x] < node[y] else (y, x) for x, y in pairs]
+                left += [a + x for x, _ in pairs]
+                right += [int(node[y]) for _, y in pairs]
+        out = pdf.loc[left, ["token", "i", "j", "part", "node", "label", "place"]].reset_index(drop=True)
+        out["other"] = pd.array(right, "Int64")
+        yield out
+
+    return run
+
+
+def _pair_links(percent: int):
+    """Links between each call's homes and their partners."""
+
+    def run(key: tuple, pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        sets = {o: np.frombuffer(m, "<u8") for o, m in zip(held["owner"], held["members"], strict=True)}
+        found = [(a, b) for a, b in zip(pairs["home"], pairs["partner"], strict=True) if alike(sets[a], sets[b], percent)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _compared(pairs: DataFrame, held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among pairs (node, other), each compared where the larger set is."""
+    node, other = (sizes.select(F.col("owner").alias(c), F.col("n").alias(f"n_{c}")) for c in ("node", "other"))
+    pairs = pairs.join(node, "node").join(other, "other")
+    larger = F.col("n_node") >= F.col("n_other")
+    pairs = pairs.select(F.when(larger, F.col("node")).otherwise(F.col("other")).alias("home"), F.when(larger, F.col("other")).otherwise(F.col("node")).alias("partner"), F.least("n_node", "n_other").alias("n"))
+    many = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PARTNERS))).cast("int").alias("k")).where("k > 1")
+    calls = max(1, -(-(pairs.agg(F.sum("n")).first()[0] or 0) // CALL_MEMBERS))
+    k = F.coalesce("k", F.lit(1))
+    call = F.when(k > 1, F.xxhash64("home", F.pmod(F.xxhash64("partner"), k))).otherwise(F.pmod(F.xxhash64("home"), F.lit(calls)))
+    pairs = stored(pairs.join(small_side(many), "home", "left").select(call.alias("call"), "home", "partner"), "pairs")
+    ends = pairs.select("call", F.col("home").alias("owner")).unionByName(pairs.select("call", F.col("partner").alias("owner"))).distinct()
+    shipped = held.join(ends, "owner").select(F.col("call").alias("to"), "owner", "members")
+    links = pairs.groupBy("call").cogroup(shipped.groupBy("to")).applyInPandas(_pair_links(percent), "a long, b long")
+    links = stored(links, "links")
+    drop_stored(pairs)
+    return links
+
+
 def _group_links(percent: int):
     """Links between the nodes of each group, verified on the sets that stand for them."""
 
@@ -280,23 +334,34 @@ def verified_components(entries: DataFrame, members: DataFrame, percent: int) ->
             break
         facts = own.where("bits IS NOT NULL").select("node", "low", "high", "excess", "sets", "bits")
         dealt = _dealt_groups(groups).join(facts, "node")
-        alive = stored(dealt.groupBy("call").applyInPandas(_survivors(percent, whole), "token long, i int, j int, part int, node long, label long, place long"), "alive")
-        asked = alive.withColumn("owner", F.col("node")) if not whole else alive.join(own.select("owner", "node"), "node")
+        alive = stored(dealt.groupBy("call").applyInPandas(_survivors(percent, whole, DENSE), _ALIVE), "alive")
+        pairs = alive.where("other IS NOT NULL").select("node", "other").distinct()
+        crowds = alive.where("other IS NULL").drop("other")
+        before = len(edges)
+        if not whole:
+            asked = crowds.withColumn("owner", F.col("node"))
+            if not pairs.isEmpty():
+                edges.append(_compared(pairs, held, owners.select("owner", "n"), percent))
+        else:  # a pair of nodes is a group of its own
+            both = pairs.select(F.xxhash64("node", "other").alias("token"), F.explode(F.array("node", "other")).alias("node"))
+            both = both.join(groups.select("node", "label", "place").distinct(), "node")
+            zero = F.lit(0)
+            both = both.select("token", zero.alias("i"), zero.alias("j"), zero.alias("part"), "node", "label", "place")
+            asked = crowds.unionByName(both).join(own.select("owner", "node"), "node")
         weighed = asked.join(owners.select("owner", "n"), "owner")
-        total = weighed.agg(F.sum("n")).first()[0]
-        if not total:
-            drop_stored(alive)
+        if total := weighed.agg(F.sum("n")).first()[0]:
+            calls = max(1, -(-total // CALL_MEMBERS))
+            weighed = weighed.drop("n").withColumn("call", F.pmod(F.xxhash64("token", "i", "j"), F.lit(calls)))
+            edges.append(stored(weighed.join(held, "owner").groupBy("call").applyInPandas(_group_links(percent), "a long, b long"), "links"))
+        drop_stored(alive)
+        if len(edges) == before:
             break
-        calls = max(1, -(-total // CALL_MEMBERS))
-        weighed = weighed.drop("n").withColumn("call", F.pmod(F.xxhash64("token", "i", "j"), F.lit(calls)))
-        edges.append(stored(weighed.join(held, "owner").groupBy("call").applyInPandas(_group_links(percent), "a long, b long"), "links"))
         labels = _labels(edges)
         if not whole:
             groups = _labelled(groups.drop("label"), labels)
             apart = groups.join(own.where("sets IS NOT NULL").select("node", "sets"), "node").groupBy("token")
             apart = apart.agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("sets").alias("sets")).where("x <> y AND sets > 1")
             groups = stored(groups.join(apart.select("token").repartition("token"), "token"), "groups")
-        drop_stored(alive)
     for done in (owners, large, held, groups, *edges):
         drop_stored(done)
     found = _labelled(own.select("owner", "node"), labels)

@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of documents on word shingles, by signature trees.
 
-1. Every document becomes the set of its distinct shingle hashes, in one pass over the texts. Documents with equal
+1. Every document becomes the set of its distinct shingle hashes. Documents with equal
    sets (two independent 64-bit names and the size) are one class, so copies cost nothing further.
 2. Two sets with Jaccard similarity t share one of the first ``n - ceil(t * n) + 1`` members of each, under any
    common order of all shingles. The order used takes the shingles of the lower half of the hash range first, by the
@@ -62,22 +62,30 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-_SETS = "doc_id long, n_shingles long, name_1 long, name_2 long, lower int, members binary"
+_SETS = "doc_id long, row long, n_shingles long, name_1 long, name_2 long, lower int"
 
 
 def _sets(width: int):
-    """The shingle set of each document; ``lower`` counts its hashes in the lower half of their range."""
+    """Size and names of each document's shingle set; ``lower`` counts its hashes in the lower half of their range."""
     names = [x.split()[0] for x in _SETS.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, 4), np.int64)
+            for i, s in shingle_sets(batch.column(2), width):
+                found[i] = len(s), *set_names(s), np.searchsorted(s, HALF)
+            arrays = [pa.array(found[:, i]) for i in range(3)] + [pa.array(found[:, 3].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
+
+    return run
+
+
+def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                found = [s for _, s in shingle_sets(batch.column(1).slice(a, b - a), width)]
-                named = np.array([set_names(s) for s in found], np.int64).reshape(-1, 2)
-                lower = [int(np.searchsorted(s, HALF)) for s in found]
-                arrays = [pa.array([len(s) for s in found], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(lower, pa.int32())]
-                arrays.append(pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], names)
+                found = [s.astype("<u8").tobytes() for _, s in shingle_sets(batch.column(1).slice(a, b - a), width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["owner", "members"])
 
     return run
 
@@ -97,7 +105,7 @@ def _cut(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 _BLOCKS = "part int, home int, source int, tokens binary, owners binary, counts binary"
 
 
-def _token_blocks(percent: int, parts: int, homes: int):
+def _token_blocks(width: int, percent: int, parts: int, homes: int):
     """Blocks of a part's shingles (their upper 32 bits) and the classes that hold them.
 
     Rows with a home (other rows have -1) hold widespread shingles, on their way to the home of their classes; their
@@ -128,9 +136,12 @@ def _token_blocks(percent: int, parts: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, size = [], [], 0
         for batch in batches:
-            for vertex, lower, members in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
-                s = np.frombuffer(members.as_buffer(), "<u8")
-                take = max(lower, prefix_length(len(s), percent))
+            vertices = batch.column(0).to_pylist()
+            for i, s in shingle_sets(batch.column(1), width):
+                if not len(s):
+                    continue
+                vertex = vertices[i]
+                take = max(int(np.searchsorted(s, HALF)), prefix_length(len(s), percent))
                 tokens.append(s[:take].copy())
                 owners.append(np.full(take, vertex, np.int64))
                 size += take
@@ -213,29 +224,31 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``docs`` are ignored. Null texts have n_shingles 0; a row whose id is null is left out, since it can't be named.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    repeated = not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
+    # a class is named by the least of its rows: by ids, or where ids repeat by a hash of id and text
+    texts = texts.select("doc_id", (F.xxhash64("doc_id", "text") if repeated else F.col("doc_id")).alias("row"), "text")
     sets = stored(texts.mapInArrow(_sets(width), _SETS), "sets")
-    repeated = not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
-    # a class is named by the least of its rows' vertices: ids, or a hash of id and set where ids repeat
-    vertex = F.xxhash64("doc_id", "name_1", "name_2", "n_shingles") if repeated else F.col("doc_id")
-    filled = sets.where("n_shingles > 0").withColumn("row", vertex)
+    filled = sets.where("n_shingles > 0")
     name = ["name_1", "name_2", "n_shingles"]
-    classes = filled.groupBy(*name, "lower").agg(F.min("row").alias("vertex"), F.min("doc_id").alias("first_id"))
+    classes = filled.groupBy(*name).agg(F.min("row").alias("vertex"), F.min("doc_id").alias("first_id"), F.first("lower").alias("lower"))
     # dealt out anew, so that Spark may split the join of a class with very many copies
     named = filled.select("doc_id", "row", *name).join(classes.select(*name, "vertex", "first_id").repartition("vertex"), name)
     named = stored(named.select("doc_id", "row", "n_shingles", "vertex", "first_id"), "classes")
     copies = named.where("row <> vertex").select("row").distinct()
-    unique = filled.join(small_side(copies), "row", "left_anti").select(F.col("row").alias("vertex"), "n_shingles", "lower", "members")
+    unique = texts.select("row", "text").where("text IS NOT NULL").join(small_side(copies), "row", "left_anti")
     if repeated:
-        unique = unique.dropDuplicates(["vertex"])  # rows that agree in id and text
+        unique = unique.dropDuplicates(["row"])  # rows that agree in id and text
 
     total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(1, -(-total // (2 * PART_SHINGLES)))
     homes = max(1, -(-parts // 4))
-    blocks = unique.select("vertex", "lower", "members").mapInArrow(_token_blocks(percent, parts, homes), _BLOCKS)
+    blocks = unique.mapInArrow(_token_blocks(width, percent, parts, homes), _BLOCKS)
     counted = blocks.groupBy("part").applyInPandas(_frequencies(homes), "home int, source int, tokens binary, owners binary, counts binary")
-    at_home = unique.select(F.pmod("vertex", F.lit(homes)).cast("int").alias("home"), "vertex", "n_shingles", "lower")
+    at_home = classes.select(F.pmod("vertex", F.lit(homes)).cast("int").alias("home"), "vertex", "n_shingles", "lower")
     entries = counted.groupBy("home").cogroup(at_home.groupBy("home")).applyInPandas(_prefixes(percent), "token long, owner long, n long")
-    joined = verified_components(stored(entries, "entries"), unique.select(F.col("vertex").alias("owner"), "members"), percent)
+    entries = stored(entries, "entries")
+    wanted = unique.join(small_side(entries.select(F.col("owner").alias("row")).distinct()), "row")
+    joined = verified_components(entries, wanted.select("row", "text").mapInArrow(_members(width), "owner long, members binary"), percent)
 
     joined = joined.select(F.col("owner").alias("vertex"), "component")
     known = named.join(joined, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))

@@ -263,7 +263,7 @@ def near_paragraphs(texts: DataFrame, places: DataFrame, parts: int, percent: in
     one = places.join(small_side(wanted), "name").groupBy("name").agg(F.min(F.struct("doc_id", "sub", "start", "n")).alias("at"))
     asked = one.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.sub").alias("sub"))
     asked = asked.agg(F.collect_list(F.struct("name", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("asked"))
-    members = _one_row(texts).join(small_side(asked), ["doc_id", "sub"]).select("text", "asked").mapInArrow(_members, "owner long, members binary")
+    members = _one_row(texts).join(asked.hint("shuffle_hash"), ["doc_id", "sub"]).select("text", "asked").mapInArrow(_members, "owner long, members binary")
     found = verified_components(entries, members, percent).withColumnRenamed("owner", "name")
     several = found.groupBy("component").agg(F.count(F.lit(1)).alias("names")).where("names > 1")
     return stored(found.join(several.select("component").repartition("component"), "component").select("name", "component"), "linked")
@@ -426,7 +426,7 @@ def repeated_runs(texts: DataFrame, parts: int) -> DataFrame:
     place = ["f_doc", "f_sub", "low", "high"]
     asked = runs.select(*place).distinct().groupBy(F.col("f_doc").alias("doc_id"), F.col("f_sub").alias("sub"))
     asked = asked.agg(F.collect_list(F.struct("low", "high")).alias("asked"))
-    held = _one_row(texts).join(small_side(asked), ["doc_id", "sub"]).select("doc_id", "sub", "text", "asked")
+    held = _one_row(texts).join(asked.hint("shuffle_hash"), ["doc_id", "sub"]).select("doc_id", "sub", "text", "asked")
     held = held.mapInArrow(_regions, "f_doc long, f_sub int, low int, high int, words binary")
     return runs.join(held, place).select("doc_id", "sub", "start", "n", F.col("f_doc").alias("first_id"), "words", F.col("f_left").alias("at"), F.when((F.col("doc_id") == F.col("f_doc")) & (F.col("sub") == F.col("f_sub")), F.col("f_start") + F.col("n")).alias("own_end"))
 

@@ -243,13 +243,13 @@ def _encoded(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = library_tokenizer(path)
         width = np.dtype(tokenizer.dtype).itemsize
-        end = np.array([end_id], tokenizer.dtype).tobytes()
+        end = np.array([end_id], tokenizer.dtype)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
                 n, crcs, rest = [], [], []
-                for ids in tokenizer.encode([t or "" for t in part.column(1).to_pylist()]):
-                    whole = np.frombuffer(ids + end, tokenizer.dtype)
+                for ids in tokenizer.encode_rows(part.column(1)):
+                    whole = np.append(ids, end)
                     full = len(whole) // window
                     n.append(len(whole))
                     crcs.append(np.array([_crc(whole[i * window : (i + 1) * window]) for i in range(full)], "<u4").tobytes())
@@ -357,7 +357,10 @@ def pack_documents(
         counts[leaf] = count
     first, parts = shards_of_leaves(counts, shard_docs)
     plan = dealt.sparkSession.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, parts, strict=True))], "leaf int, first int, parts int")
-    # rows that share an id, or have none, are spread by their ids
-    shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs", "rest"), F.col("parts")).cast("int")
+    # a leaf of several shards is spread row by row, whatever its rows have in common; ``dealt`` is a stored table, so the
+    # numbers are the same in any attempt
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    dealt = dealt.withColumn("salt", salt)
+    shard = F.col("first") + F.pmod("salt", F.col("parts")).cast("int")
     dealt = dealt.join(F.broadcast(plan), "leaf").select(shard.alias("shard"), "doc_id", "doc_tokens", "crcs", "rest", "width")
     return dealt.groupBy("shard").applyInPandas(_pack(window, query_terms, whole), PIECES)

@@ -9,12 +9,13 @@ for each document in ascending id order, its id and number of ids. A reader find
     footer: starts u8... | doc ids i8... | counts u8... | first doc ids' place
     tail:   n blocks u8 | n docs u8 | n ids u8 | footer's byte u8 | magic
 
-Documents are dealt out by ranges of their ids, one file each, so files in order hold ids in ascending
-document order. Files get names of their own in each attempt, and only those of the attempts that succeeded
-are in the manifest, so a lost executor or a second attempt does no harm.
+Documents are dealt out by ranges of (id, hash of the text) and sorted there; a task encodes its range in order and
+begins a new file after ``FILE_IDS`` ids. So files in order hold ids in ascending document order, an id with very many
+rows is spread over ranges, and a task holds the ids of one file. Files get names of their own in each attempt, and
+only those of the attempts that succeeded are in the manifest, so a lost executor or a second attempt does no harm.
 
-Null and empty texts have the end id only. Rows that share an id lie beside each other. Rows whose id is null
-have no place in the order and are left out.
+Null and empty texts have the end id only. Rows that share an id lie beside each other, ordered by their texts. Rows
+whose id is null have no place in the order and are left out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import shared_dir, stored
@@ -37,7 +38,8 @@ from lodestar.llm.tokens import library_tokenizer
 
 BLOCK = 4096
 PERCENTILES = (75, 90, 95, 98, 100)
-DOCS_PER_FILE = 5000
+#: Documents of one range, and ids after which a file ends.
+RANGE_DOCS, FILE_IDS = 5000, 8_000_000
 MAGIC = b"PFORIDS1"
 _HEAD, _TAIL = struct.Struct("<IIBI"), struct.Struct("<QQQQ8s")
 
@@ -152,83 +154,65 @@ def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
-def _encoded(path: str, end_id: int, bounds: list[int]):
-    """Blocks (file number, ids of documents, numbers of their ids, the ids compressed)."""
+_MANIFEST = "range int, file int, path string, n_docs long, n_ids long"
+
+
+def _written(path: str, end_id: int, folder: str, file_ids: int):
+    """Encodes a range's texts, which come in order, and writes them; a manifest row for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, edges = library_tokenizer(path), np.array(bounds, np.int64)
-        end = np.array([end_id], tokenizer.dtype).tobytes()
+        tokenizer, number = library_tokenizer(path), 0
+        end = np.array([end_id], tokenizer.dtype)
+        system, where = _open(folder)
+        names, held, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal names, held, size, number
+            name = f"part-{TaskContext.get().partitionId():06d}-{number:04d}-{uuid.uuid4().hex}.ids"
+            system.create_dir(where, recursive=True)
+            with system.open_output_stream(f"{where}/{name}") as stream:
+                write_file(stream, np.array(names, np.int64), np.array([len(x) for x in held], np.int64), np.concatenate(held))
+            row = {"range": TaskContext.get().partitionId(), "file": number, "path": f"{folder}/{name}", "n_docs": len(names), "n_ids": size}
+            names, held, size, number = [], [], 0, number + 1
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
+
         for batch in batches:
-            names = batch.column(0).to_numpy()
-            bucket = np.searchsorted(edges, names, side="right")
-            held: dict[int, list] = {}
+            own = batch.column(0).to_pylist()
             for a, b in slices(batch.column(1)):
-                for i, ids in enumerate(tokenizer.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]), a):
-                    held.setdefault(int(bucket[i]), []).append((int(names[i]), ids + end))
-            rows = []
-            for n, docs in held.items():
-                width = np.dtype(tokenizer.dtype).itemsize
-                whole = b"".join(d[1] for d in docs)
-                rows.append((n, np.array([d[0] for d in docs], "<i8").tobytes(), np.array([len(d[1]) // width for d in docs], "<u8").tobytes(), len(whole), width, pa.compress(whole, "zstd", asbytes=True)))
-            if rows:
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "docs", "counts", "size", "width", "ids"])
+                for i, ids in enumerate(tokenizer.encode_rows(batch.column(1).slice(a, b - a)), a):
+                    names.append(own[i])
+                    held.append(np.append(ids, end))
+                    size += len(ids) + 1
+                    if size >= file_ids:
+                        yield flush()
+        if names:
+            yield flush()
         tokenizer.forget()
 
     return run
 
 
-def _write(folder: str):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["docs"]])
-        counts = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["counts"]]).astype(np.int64)
-        parts = [np.frombuffer(pa.decompress(x, int(n), "zstd", asbytes=True), f"<u{w}") for x, n, w in zip(pdf["ids"], pdf["size"], pdf["width"], strict=True)]
-        ids = np.concatenate(parts)
-        starts = np.cumsum(counts) - counts
-        # rows that share an id are ordered by their ids, so that any attempt gives one order
-        if len(np.unique(docs)) < len(docs):
-            order = sorted(range(len(docs)), key=lambda i: (docs[i], ids[starts[i] : starts[i] + counts[i]].tobytes()))
-        else:
-            order = np.argsort(docs)
-        order = np.asarray(order, np.int64)
-        ids = np.concatenate([ids[starts[i] : starts[i] + counts[i]] for i in order])
-        system, where = _open(folder)
-        name = f"part-{int(key[0]):06d}-{uuid.uuid4().hex}.ids"
-        system.create_dir(where, recursive=True)
-        with system.open_output_stream(f"{where}/{name}") as stream:
-            write_file(stream, docs[order], counts[order], ids)
-        return pd.DataFrame({"file": [int(key[0])], "path": [f"{folder}/{name}"], "n_docs": [len(docs)], "n_ids": [len(ids)]})
-
-    return run
-
-
 def write_token_files(
-    docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = DOCS_PER_FILE
+    docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", range_docs: int = RANGE_DOCS, file_ids: int = FILE_IDS
 ) -> DataFrame:
-    """Encodes every text, appends ``end_id``, writes the files; the manifest (file, path, n_docs, n_ids).
-
-    What the driver sees is one bound and one manifest row for each file.
-    """
+    """Encodes every text, appends ``end_id``, writes the files; the manifest (range, file, path, n_docs, n_ids)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    n = rows.select("doc_id").count()
-    files = max(1, -(-n // docs_per_file))
-    bounds: list[int] = []
-    if files > 1:
-        points = [i / files for i in range(1, files)]
-        found = rows.select(F.percentile_approx("doc_id", points, max(10_000, 20 * files))).first()[0]
-        bounds = sorted(set(found))
-    blocks = rows.mapInArrow(_encoded(path, end_id, bounds), "file int, docs binary, counts binary, size long, width int, ids binary")
-    return stored(blocks.groupBy("file").applyInPandas(_write(folder), "file int, path string, n_docs long, n_ids long"), "manifest")
+    ranges = max(1, -(-rows.select("doc_id").count() // range_docs))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text")
+    return stored(dealt.mapInArrow(_written(path, end_id, folder, file_ids), _MANIFEST), "manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files; start counts all ids before it."""
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files; start counts all ids before it.
+
+    The sum over earlier files is the one step in a single task: it sees a row for each file.
+    """
     n_fields = 5 if with_ids else 4
-    files, before = [], 0
-    for r in manifest.orderBy("file").select("path", "n_ids").collect():
-        files.append((r["path"], before))
-        before += r["n_ids"]
-    listed = spark.createDataFrame(files, "path string, before long").repartition(max(1, len(files)))
+    earlier = Window.orderBy("range", "file").rowsBetween(Window.unboundedPreceding, -1)
+    listed = manifest.select("path", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"))
+    listed = listed.repartition(max(1, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

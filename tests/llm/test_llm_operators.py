@@ -321,7 +321,7 @@ def test_file_by_index(tmp_path):
 
 def test_token_output(spark):
     rows = [*ODD, (0, "first"), (5, "one"), (5, "another"), *((i, prose(i, 5)) for i in range(100, 150))]
-    manifest = token_files.write_token_files(docs(spark, *rows).withColumns({k: F.lit(v) for k, v in CLASH.items()}), JSON, 2, token_files.shared_dir(spark, "t"), docs_per_file=9)
+    manifest = token_files.write_token_files(docs(spark, *rows).withColumns({k: F.lit(v) for k, v in CLASH.items()}), JSON, 2, token_files.shared_dir(spark, "t"), range_docs=9, file_ids=1000)
     assert manifest.count() > 3
     found = token_files.read_token_files(spark, manifest).orderBy("start").collect()
     assert [r["doc_id"] for r in found] == sorted(i for i, _ in rows if i is not None)
@@ -331,7 +331,7 @@ def test_token_output(spark):
     for r in found:
         assert r["start"] == at
         at += r["n_tokens"]
-        if r["doc_id"] != 5:
+        if r["doc_id"] != 5:  # two texts
             assert r["ids"] == [*np.frombuffer(tokenizer.encode([texts[r["doc_id"]] or ""])[0], "<u2").tolist(), 2]
     assert token_files.token_output(docs(spark, (1, "x")).limit(0), JSON).count() == 0
 

@@ -10,7 +10,6 @@ texts go through the library whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,6 @@ PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\u00a1-\u024f]*")
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\x09-\x0d "
 _PLAIN_WORDS = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Entries of each of a cache's two generations.
-REMEMBERED = 250_000
 
 
 def byte_characters() -> str:
@@ -45,35 +42,6 @@ def plain_words(text: str) -> list[str] | None:
     return _PLAIN_WORDS.findall(text) if _PLAIN.fullmatch(text) else None
 
 
-class Cache:
-    """A bounded memory of two generations: entries that are asked for live on, the rest goes by turns."""
-
-    def __init__(self, make: Callable[[list[str]], list], limit: int = REMEMBERED):
-        self._make, self._limit = make, limit
-        self._young: dict = {}
-        self._old: dict = {}
-
-    def clear(self) -> None:
-        self._young, self._old = {}, {}
-
-    def of(self, keys: set[str]) -> dict:
-        """A mapping that has the results of at least these keys, until the next call."""
-        young, old = self._young, self._old
-        if len(young) > self._limit:
-            self._old = old = young
-            self._young = young = {}
-        missing = keys - young.keys()
-        new = []
-        for k in missing:
-            if k in old:
-                young[k] = old[k]
-            else:
-                new.append(k)
-        if new:
-            young.update(zip(new, self._make(new), strict=True))
-        return young
-
-
 _LETTER, _DIGIT, _SPACE, _SIGN = 1, 2, 3, 4
 
 
@@ -171,27 +139,24 @@ class WordTable:
         self.used += len(low)
 
 
-class LibraryTokenizer:
-    """Token ids of the tokenizers library as little-endian integers of 2 or 4 bytes.
+class WordEncoder:
+    """Ids of texts whose words are encoded by themselves, each different word once as long as it is remembered."""
 
-    Special tokens' strings in a text are ordinary text.
-    """
+    def __init__(self, dtype: str):
+        self.dtype = dtype
+        self._table = WordTable()
+        self.forget()
 
-    def __init__(self, path: str):
-        import os
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+    def _encode_others(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts that hold other than plain characters."""
+        raise NotImplementedError
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 65536 else "<u4"
-        splitter = self._tokenizer.pre_tokenizer
-        byte_level = isinstance(splitter, pre_tokenizers.ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
-        self._by_words = byte_level and self._tokenizer.normalizer is None
-        self._characters = byte_characters()
-        self._table = WordTable()
-        self.forget()
+    def _splits(self) -> bool:
+        """Whether PATTERN says what a word is."""
+        return True
 
     def forget(self) -> None:
         """Drops the words remembered; a task calls it at its end, as its worker may serve other operators next."""
@@ -203,10 +168,8 @@ class LibraryTokenizer:
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """Numbers for words that aren't known yet."""
-        tokenize, characters = self._tokenizer.model.tokenize, self._characters
         first = self._n_words
-        for word in words:
-            ids = [t.id for t in tokenize(word.decode("latin-1").translate(characters))]
+        for ids in self._encode_words(words):
             while self._n_ids + len(ids) > len(self._ids):
                 self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
             if self._n_words == len(self._begin):
@@ -219,8 +182,6 @@ class LibraryTokenizer:
 
     def _numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each word."""
-        if self._table.full or len(self._longer) > 100_000:
-            self.forget()
         size = ends - starts
         eight = np.ndarray((len(raw) + 9,), "<u8", np.concatenate((raw, np.zeros(16, np.uint8))), strides=(1,))
         low = eight[starts] & _KEEP[np.minimum(size, 8)]
@@ -237,20 +198,30 @@ class LibraryTokenizer:
             numbers = self._learn([raw[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             self._table.add(low[at], high[at], numbers)
             out[new] = numbers[back.reshape(-1)]
-        for i in np.flatnonzero(longer).tolist():
-            word = raw[starts[i] : ends[i]].tobytes()
-            if (number := self._longer.get(word)) is None:
-                number = self._longer[word] = int(self._learn([word])[0])
-            out[i] = number
+        long = np.flatnonzero(longer).tolist()
+        out[long] = self.numbers_of([raw[starts[i] : ends[i]].tobytes() for i in long])
         return out
 
+    def numbers_of(self, words: list[bytes]) -> list[int]:
+        new = [w for w in dict.fromkeys(words) if w not in self._longer]
+        self._longer.update(zip(new, self._learn(new).tolist(), strict=True))
+        return [self._longer[w] for w in words]
+
+    def ids_of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and after how many ids each word ends."""
+        count = self._count[number]
+        end = np.cumsum(count)
+        return self._ids[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self._begin[number] - end + count, count)], end
+
     def encode_rows(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string column; a null text has none."""
+        if self._table.full or len(self._longer) > 200_000:
+            self.forget()
         raw, rows = string_buffer(column)
         n = len(rows) - 1
         out: list = [np.zeros(0, self.dtype)] * n
         plain = np.zeros(n, bool)
-        if self._by_words and len(raw):
+        if self._splits() and len(raw):
             start, plain = word_starts(raw, rows)
             starts = np.flatnonzero(start)
             ends = np.append(starts[1:], len(raw))
@@ -258,17 +229,13 @@ class LibraryTokenizer:
             if not plain.all():
                 keep = plain[row]
                 starts, ends, row = starts[keep], ends[keep], row[keep]
-            number = self._numbers(raw, starts, ends)
-            count = self._count[number]
-            end = np.cumsum(count)
-            ids = self._ids[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self._begin[number] - end + count, count)]
+            ids, end = self.ids_of(self._numbers(raw, starts, ends))
             bounds = np.append(0, end)[np.searchsorted(row, np.arange(n + 1))].tolist()
             out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         others = np.flatnonzero(~plain & (np.diff(rows) > 0)).tolist()
-        if others:
-            texts = [raw[rows[i] : rows[i + 1]].tobytes().decode() for i in others]
-            for i, x in zip(others, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                out[i] = np.array(x.ids, self.dtype)
+        texts = [raw[rows[i] : rows[i + 1]].tobytes().decode() for i in others]
+        for i, x in zip(others, self._encode_others(texts) if others else [], strict=True):
+            out[i] = x
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -276,6 +243,37 @@ class LibraryTokenizer:
         return [x.tobytes() for x in self.encode_rows(pa.array(texts, pa.string()))]
 
 
+class LibraryTokenizer(WordEncoder):
+    """Token ids of the tokenizers library as little-endian integers of 2 or 4 bytes.
+
+    Special tokens' strings in a text are ordinary text.
+    """
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True
+        super().__init__("<u2" if self._tokenizer.get_vocab_size() <= 65536 else "<u4")
+        splitter = self._tokenizer.pre_tokenizer
+        byte_level = isinstance(splitter, pre_tokenizers.ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
+        self._by_words = byte_level and self._tokenizer.normalizer is None
+        self._characters = byte_characters()
+
+    def _splits(self) -> bool:
+        return self._by_words
+
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+        tokenize, characters = self._tokenizer.model.tokenize, self._characters
+        return [[t.id for t in tokenize(w.decode("latin-1").translate(characters))] for w in words]
+
+    def _encode_others(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 _loaded: dict = {}
 
 

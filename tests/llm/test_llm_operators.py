@@ -234,9 +234,25 @@ def test_bpe_words(duck_bpe):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcdeé \n'sst中🙂!?12") for _ in range(rng.randint(0, 40))) for _ in range(300)]
     texts += ["", "a" * 900, "-" * 3000, "ab" * 1500, "́x", "\x00\x00", " " * 500 + "x", "<|endoftext|>"]
-    for text, (n, ids, decoded) in zip(texts, duck_bpe.encode(texts), strict=True):
-        expected = library.encode_ordinary(text)
-        assert n == len(expected) and ids == ",".join(map(str, expected)) and decoded == text.encode()
+    rows = duck_bpe.encode_rows(pa.array(texts))
+    for text, ids, decoded in zip(texts, rows, duck_bpe.decode(rows), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text) and decoded == text.encode()
+    rows[-1] = rows[-1][::-1]  # decoding follows the ids, not the text
+    assert duck_bpe.decode(rows)[-1] == b"".join(library.decode_single_token_bytes(x) for x in rows[-1].tolist())
+
+
+@pytest.mark.parametrize("steps", [4_000_000, 9000])
+def test_bpe_long_words(duck_bpe, steps, monkeypatch):
+    """Words that are contracted in slices, of all kinds of overlaps, and with few steps to a slice."""
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "BLOCK_ROWS", steps)
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=duck_bpe.ranks, special_tokens={})
+    rng = random.Random(11)
+    words = ["a" * 301, "-" * 999, "ab" * 700, "é" * 400, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "".join(rng.choice("aab-") for _ in range(2000))]
+    assert all(len(w.encode()) > bpe.LONG_WORD for w in words)
+    for word, ids in zip(words, duck_bpe._encode_words([w.encode() for w in words]), strict=True):
+        assert ids == library.encode_ordinary(word)
 
 
 def test_bpe_rows(spark):

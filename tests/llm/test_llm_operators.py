@@ -290,17 +290,27 @@ def test_topk_with_ties_and_odd_vectors(spark):
     assert topk_search.exact_topk(df.limit(0), F.lit(True), 5).count() == 0
 
 
-def test_topk_beyond_doubles():
-    rng = np.random.default_rng(0)
-    rows = np.floor(rng.normal(size=(40, 4)) * 2**40)
-    ids = np.arange(40)
-    with pytest.raises(OverflowError):
-        topk_search.branch_and_bound(rows, ids, rows, ids, 3)
-    rows = np.floor(rng.normal(size=(40, 4)) * 2**26)
-    q, r, s = topk_search.branch_and_bound(rows[:2], ids[:2], rows, ids, 3)
-    exact = [[int(x) for x in v] for v in rows]
-    for a, b, c in zip(q.tolist(), r.tolist(), s.tolist(), strict=True):
-        assert c == sum(x * y for x, y in zip(exact[a], exact[b], strict=True))
+def test_topk_beyond_doubles(spark):
+    """Large values among small ones: ranked exactly, scores beyond 64 bits clipped."""
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) * scale for _ in range(6)]) for i in range(240) for scale in (rng.choice([1.0, 200.0, 2.0**20, 2.0**40, 1e200]),)]
+    rows += [(240, [1.7e308] * 6), (241, [-1.7e308] * 6), (242, [1.7e308] * 5 + [1.6e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(y) if math.isfinite(y := 256 * x) else int(math.copysign(1.7976931348623157e308, x)) for x in v] for i, v in rows}
+    expected = set()
+    for q in range(0, 243, 20):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        expected |= {(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scored[:5], 1)}
+    for sizes in ({}, {"candidate_rows": 50, "query_rows": 4}):
+        assert {tuple(r) for r in topk_search.exact_topk(df, F.col("vec_id") % 20 == 0, 5, **sizes).collect()} == expected
+
+
+def test_topk_repeated_ids_and_long_vectors(spark):
+    rng = random.Random(4)
+    rows = [(i % 40, [rng.choice([-1.0, 0.0, 0.5]) for _ in range(3000)]) for i in range(90)] + [(7, [1.0]), (8, [2.0]), (50, [])]
+    found = topk_search.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 7, 4, candidate_rows=30).collect()
+    scored = [(-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w, strict=True)), j) for i, v in rows if i == 7 for j, w in rows if j != 7 and len(w) == len(v)]
+    assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(j, -s) for s, j in sorted(scored)[:4]]
 
 
 # 4 Token files

@@ -4,9 +4,10 @@ A rolling hash over the hashes of a line and the line before it decides where a
 depend on content alone and agree again one line after an insertion. A chunk of several lines that occurred
 before, in ids ascending, is removed after its bytes have been compared with the first occurrence's.
 
-The plan has one shuffle of the texts, by id, which both the lookup of first occurrences and the removal
-use. What is counted globally is light rows (hash, id, chunk number), combined before the shuffle, so a chunk
-that a third of all documents hold costs one row per task.
+What is counted globally is light rows (hash, id, chunk number), written once and combined before they are shuffled,
+so a chunk that a third of all documents hold costs one row per task. The first occurrences are dealt out anew
+before the rows are joined with them, so that Spark may split that join where a chunk is in very many documents. Texts
+are cut into chunks once for all documents, and again only where a first occurrence or a removal lies.
 
 A null text stays null. A text whose chunks all go is an empty string. Rows that share an id count as one
 document. Rows with a null id are never removed from.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import unused
+from lodestar.llm.common import stored, unused
 
 #: A chunk ends on average after so many lines.
 DIVISOR = 3
@@ -42,6 +43,14 @@ def chunks(text: Column, divisor: int = DIVISOR) -> Column:
     )
 
 
+def n_chunks(text: Column, divisor: int = DIVISOR) -> Column:
+    """How many chunks the text has."""
+    lines = F.split(text, "\n", -1)
+    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+    bound = F.transform(F.array(F.struct(lines.alias("lines"), hashes.alias("h"))), lambda s: F.size(_ends(s, divisor)).cast("long"))
+    return F.get(bound, F.lit(0))
+
+
 def _ends(s: Column, divisor: int) -> Column:
     last = F.size(s["lines"]) - 1
     rolled = lambda i: (F.coalesce(F.get(s["h"], i - 1), F.lit(0).cast("long")) * _MULTIPLIER + F.get(s["h"], i)) % divisor
@@ -66,8 +75,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     split = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(chunks(F.col(text_col), divisor)).alias("c"))
     keyed = split.where(F.col("c.n") >= min_lines).select("_id", F.col("c.k").alias("k"), F.unhex(F.md5("c.text")).alias("key"))
+    keyed = stored(keyed, "chunks")
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_id", "k")).alias("first")).where("times > 1")
-    repeats = keyed.join(repeated.select("key", "first"), "key").where("_id <> first._id OR k <> first.k")
+    repeated = stored(repeated.select("key", "first"), "firsts")
+    repeats = keyed.join(repeated, "key").where("_id <> first._id OR k <> first.k")
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     firsts = repeated.groupBy(F.col("first._id").alias("_id")).agg(F.collect_list(F.struct(F.col("first.k").alias("k"), "key")).alias("firsts"))
@@ -77,7 +88,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = lambda w: F.struct(w["key"].alias("key"), F.get(F.col("_chunks"), w["k"])["text"].alias("text"))
     held = held.withColumn("_chunks", chunks(F.col("_text"), divisor)).select(F.explode(F.transform(wanted, named)).alias("x"))
     held = held.select("x.key", "x.text").dropDuplicates(["key"])
-    gone = repeats.select("_id", "k", "key").join(held, "key").groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("k", "text"))).alias("_gone"))
+    gone = repeats.select("_id", "k", "key").join(held.repartition("text"), "key").groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("k", "text"))).alias("_gone"))
     id_, text_, gone_, compared_ = unused(docs, "_id", "_text", "_gone", "_compared")
     gone = gone.withColumnsRenamed({"_id": id_, "_gone": gone_})
     out = docs.withColumns({id_: F.col(id_col), text_: F.col(text_col)}).join(gone.hint("shuffle_hash"), id_, "left")
@@ -86,15 +97,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(_placed(F.col(gone_)), F.array().cast("array<string>")),
         lambda c, r: F.struct(c.alias("c"), (~(r.isNull() | (r != c["text"]))).alias("go")),
     )
-    out = out.withColumn(compared_, compared)
-    text = F.array_join(F.transform(F.filter(compared_, lambda x: ~x["go"]), lambda x: x["c"]["text"]), "\n")
+    # a document from which nothing may go is only counted
+    out = out.withColumn(compared_, F.when(F.col(gone_).isNotNull(), compared))
+    kept = F.array_join(F.transform(F.filter(compared_, lambda x: ~x["go"]), lambda x: x["c"]["text"]), "\n")
     lines = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["c"]["n"])
+    cut, some = F.col(gone_).isNotNull(), F.col(text_).isNotNull()
+    zero = F.lit(0).cast("long")
     return out.withColumns(
         {
-            text_col: F.when(F.col(text_).isNotNull(), text),
-            "n_lines": F.coalesce(lines(F.col(compared_)), F.lit(0).cast("long")),
-            "n_chunks": F.coalesce(F.size(compared_).cast("long"), F.lit(0).cast("long")),
-            "n_removed_lines": F.coalesce(lines(F.filter(compared_, lambda x: x["go"])), F.lit(0).cast("long")),
+            text_col: F.when(cut, kept).otherwise(F.col(text_)),
+            "n_lines": F.when(some, F.size(F.split(F.col(text_), "\n", -1)).cast("long")).otherwise(zero),
+            "n_chunks": F.when(cut, F.size(compared_).cast("long")).when(some, n_chunks(F.col(text_), divisor)).otherwise(zero),
+            "n_removed_lines": F.when(cut, lines(F.filter(compared_, lambda x: x["go"]))).otherwise(zero),
         }
     ).drop(id_, text_, gone_, compared_)
 

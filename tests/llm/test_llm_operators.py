@@ -409,7 +409,36 @@ def test_urls(spark):
 def test_rules_are_indexed_by_their_rarest_token(spark):
     df = spark.createDataFrame([(f"http://spam{i}.net/spam",) for i in range(9)] + [("http://farm.net/",)], "url string")
     chosen = url_filter.index_tokens(df, url_filter.PATTERN_RULES)
-    assert chosen["spam farm"] == "farm" and chosen["tracker pixels"] is None
+    assert chosen["spam farm"] == "farm" and chosen["tracker pixel gif"] == "gif"
+    with pytest.raises(ValueError):
+        url_filter.PatternRule("no literal", "[a-z]+", ())
+
+
+def test_only_candidate_rules_run(spark):
+    """Ten thousand rules: a URL runs the expressions that its tokens fetch, and gets what all expressions together say."""
+    rules = tuple(url_filter.PatternRule(f"r{i}", rf"/t{i}x?\b", (f"t{i}",)) for i in range(10_000))
+    hosts = tuple(url_filter.HostRule(f"h{i}.net", f"/{'ab'[i % 2]}", ("allow", "block")[i % 2]) for i in range(10_000))
+    judge = url_filter.UrlJudge(hosts, rules, {r.name: r.tokens[0] for r in rules})
+    ran = []
+
+    class Counted:
+        def __init__(self, name):
+            self.name = name
+
+        def search(self, url):
+            ran.append(self.name)
+            return "yes"
+
+    judge._rules = {t: [(i, n, Counted(n)) for i, n, _ in found] for t, found in judge._rules.items()}
+    assert judge("http://x.h7.net/b/t12?t40")[2:] == (["r12", "r40"], "h7.net/b", "block") and sorted(ran) == ["r12", "r40"]
+    assert judge("http://x.h7.net/a")[2:] == ([], None, "allow")
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://a.net/" + "x/" * 200_000 + "pixel.gif"
+    rows = [(1, long), (1, long), (2, long + "\n"), (3, "http://" + "a." * 5000 + "com/de/")]
+    found = sorted((r["page_id"], r["verdict"], r["rule"]) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert found == [(1, "block", None), (1, "block", None), (2, "allow", None), (3, "block", "com/de/")]
 
 
 # 6 Quality

@@ -197,11 +197,11 @@ def _survivors(percent: int, whole: bool, dense: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["token", "i", "j", "part", "node"], ignore_index=True)
         token, i, j, part = (pdf[c].to_numpy() for c in ("token", "i", "j", "part"))
-        arrays = [pdf[c].to_numpy(np.int64) for c in ("low", "high", "excess", "node", "label", "place", "sets")]
+        arrays = [pdf[c].to_numpy(np.int64) for c in ("low", "high", "excess", "node", "label", "place", "sets", "largest")]
         bits = np.frombuffer(b"".join(pdf["bits"]), _U).reshape(len(pdf), -1)
         left, right = [], []
         for a, b in _runs(token, i, j):
-            low, high, excess, node, label, place, sets = (x[a:b] for x in arrays)
+            low, high, excess, node, label, place, sets, largest = (x[a:b] for x in arrays)
             cut = b - a if i[a] == j[a] else int(np.count_nonzero(part[a:b] == i[a]))
             if i[a] != j[a] and cut in (0, b - a):
                 continue
@@ -209,6 +209,8 @@ def _survivors(percent: int, whole: bool, dense: int):
             first, other = make(slice(0, cut)), make(slice(cut, None)) if cut < b - a else None
             alive, pairs = np.zeros(b - a, bool), []
             for x, y in surviving_pairs(first, other, percent, label, place):
+                if largest[x] == largest[y] != token[a]:
+                    continue
                 if not whole or sets[x] > 1 or sets[y] > 1:
                     alive[x] = alive[y] = True
                     if pairs is not None:
@@ -277,6 +279,31 @@ def _group_links(percent: int):
     return run
 
 
+def _whole_nodes(pairs: DataFrame, own: DataFrame, facts: DataFrame) -> DataFrame:
+    """Group rows that bring all sets of each node together with those of all its partners, in parts of either side.
+
+    Of a pair the node of more sets is at home, so a large node travels once for its partners.
+    """
+    sizes = own.where("sets IS NOT NULL").select("node", "sets")
+    of = lambda c: sizes.select(F.col("node").alias(c), F.col("sets").alias(f"{c}_sets"))
+    pairs = pairs.join(of("node"), "node").join(of("other"), "other")
+    first = F.col("node_sets") >= F.col("other_sets")
+    pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    pairs = pairs.select(pick("node", "other", "home"), pick("other", "node", "partner"), F.greatest("node_sets", "other_sets").alias("many"), F.least("node_sets", "other_sets").alias("few"))
+    pairs = stored(pairs, "pairs")
+    parts = lambda x: F.ceil(x / F.lit(float(LEAF_SETS))).cast("int")
+    grid = pairs.groupBy("home").agg(parts(F.max("many")).alias("across"), parts(F.sum("few")).alias("down"))
+    members = own.select("owner", "node").join(facts, "node")
+    side = lambda c, n: F.pmod(F.xxhash64("owner"), F.col(n)).cast("int").alias(c)
+    every = lambda c, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
+    left = grid.join(members.withColumnRenamed("node", "home"), "home").select(F.col("home").alias("token"), F.col("home").alias("node"), "owner", "label", "place", side("i", "across"), every("j", "down"))
+    right = pairs.join(members.withColumnRenamed("node", "partner"), "partner").join(grid, "home")
+    right = right.select(F.col("home").alias("token"), F.col("partner").alias("node"), "owner", "label", "place", every("i", "across"), side("j", "down"))
+    beyond = F.lit(1 << 30)  # parts of the second side are numbered after all of the first
+    both = left.withColumn("part", F.col("i")).unionByName(right.withColumn("part", F.col("j") + beyond))
+    return both.select("token", "i", (F.col("j") + beyond).alias("j"), "part", "node", "label", "place", "owner")
+
+
 def _dealt_groups(groups: DataFrame) -> DataFrame:
     """The groups' rows with part, i, j and call: large groups in parts, each pair of parts in a call of its own."""
     sizes = groups.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(GROUP_NODES))).cast("int").alias("k")).where("k > 1")
@@ -285,7 +312,7 @@ def _dealt_groups(groups: DataFrame) -> DataFrame:
     dealt = groups.join(small_side(sizes), "token", "left").withColumn("part", F.pmod(F.xxhash64("node"), k).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), k - 1)))
     call = F.when(k > 1, F.xxhash64("token", F.least("part", "with"), F.greatest("part", "with"))).otherwise(F.pmod(F.xxhash64("token"), F.lit(calls)))
-    return dealt.select("token", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "label", "place", call.alias("call"))
+    return dealt.select("token", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "label", "place", "largest", call.alias("call"))
 
 
 def verified_components(entries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -328,13 +355,22 @@ def verified_components(entries: DataFrame, members: DataFrame, percent: int) ->
     marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark_{seed}") for seed in (1, 2)]
     tokens = placed.groupBy("token").agg(*ends, *marks, F.count(F.lit(1)).alias("q")).where("least_label <> most_label AND least_place <> most_place")
     tokens = tokens.groupBy("mark_1", "mark_2", "q").agg(F.min("token").alias("token"))  # tokens of the same nodes say the same
-    groups = stored(placed.join(tokens.select("token"), "token"), "groups")
+    groups = stored(placed.join(tokens.select("token", "q"), "token"), "tokens")
+    drop_stored(large)
+    # Pairs are decided at the largest token that both have as their largest: a token whose nodes all have the same
+    # one, another, says nothing new.
+    largest = groups.groupBy("node").agg(F.max(F.struct("q", "token")).alias("largest")).select("node", F.col("largest.token").alias("largest"))
+    known = groups
+    groups = groups.drop("q").join(largest, "node")
+    news = groups.groupBy("token").agg(F.min("largest").alias("x"), F.max("largest").alias("y")).where("x <> y OR x = token")
+    groups = stored(groups.join(news.select("token").repartition("token"), "token"), "groups")
+    drop_stored(known)
     for whole in (False, True):
         if groups.isEmpty():
             break
         facts = own.where("bits IS NOT NULL").select("node", "low", "high", "excess", "sets", "bits")
         dealt = _dealt_groups(groups).join(facts, "node")
-        alive = stored(dealt.groupBy("call").applyInPandas(_survivors(percent, whole, DENSE), _ALIVE), "alive")
+        alive = stored(dealt.groupBy("call").applyInPandas(_survivors(percent, whole, 2**62 if whole else DENSE), _ALIVE), "alive")
         pairs = alive.where("other IS NOT NULL").select("node", "other").distinct()
         crowds = alive.where("other IS NULL").drop("other")
         before = len(edges)
@@ -342,12 +378,8 @@ def verified_components(entries: DataFrame, members: DataFrame, percent: int) ->
             asked = crowds.withColumn("owner", F.col("node"))
             if not pairs.isEmpty():
                 edges.append(_compared(pairs, held, owners.select("owner", "n"), percent))
-        else:  # a pair of nodes is a group of its own
-            both = pairs.select(F.xxhash64("node", "other").alias("token"), F.explode(F.array("node", "other")).alias("node"))
-            both = both.join(groups.select("node", "label", "place").distinct(), "node")
-            zero = F.lit(0)
-            both = both.select("token", zero.alias("i"), zero.alias("j"), zero.alias("part"), "node", "label", "place")
-            asked = crowds.unionByName(both).join(own.select("owner", "node"), "node")
+        else:
+            asked = _whole_nodes(pairs, own, groups.select("node", "label", "place").distinct())
         weighed = asked.join(owners.select("owner", "n"), "owner")
         if total := weighed.agg(F.sum("n")).first()[0]:
             calls = max(1, -(-total // CALL_MEMBERS))
@@ -362,7 +394,7 @@ def verified_components(entries: DataFrame, members: DataFrame, percent: int) ->
             apart = groups.join(own.where("sets IS NOT NULL").select("node", "sets"), "node").groupBy("token")
             apart = apart.agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("sets").alias("sets")).where("x <> y AND sets > 1")
             groups = stored(groups.join(apart.select("token").repartition("token"), "token"), "groups")
-    for done in (owners, large, held, groups, *edges):
+    for done in (owners, held, groups, *edges):
         drop_stored(done)
     found = _labelled(own.select("owner", "node"), labels)
     return found.select("owner", F.col("label").alias("component"))

@@ -256,7 +256,6 @@ def _encoded(path: str, end_id: int, window: int):
                     rest.append(whole[full * window :].tobytes())
                 arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.binary()), pa.array(rest, pa.binary()), pa.array([width] * len(n), pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "doc_tokens", "crcs", "rest", "width"])
-        tokenizer.forget()
 
     return run
 

@@ -188,7 +188,6 @@ def _written(path: str, end_id: int, folder: str, file_ids: int):
                         yield flush()
         if names:
             yield flush()
-        tokenizer.forget()
 
     return run
 

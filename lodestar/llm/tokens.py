@@ -102,7 +102,7 @@ def word_starts(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class WordTable:
     """An open-addressed hash table from words of up to 16 bytes to their numbers, looked up many at a time."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self._bits = bits
         self.clear()
 
@@ -159,7 +159,7 @@ class WordEncoder:
         return True
 
     def forget(self) -> None:
-        """Drops the words remembered; a task calls it at its end, as its worker may serve other operators next."""
+        """Drops the words remembered, once they are as many as the table holds well."""
         if self._table.used:
             self._table.clear()
         self._longer: dict[bytes, int] = {}

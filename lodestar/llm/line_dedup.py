@@ -87,7 +87,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = F.array_sort("firsts")
     named = lambda w: F.struct(w["key"].alias("key"), F.get(F.col("_chunks"), w["k"])["text"].alias("text"))
     held = held.withColumn("_chunks", chunks(F.col("_text"), divisor)).select(F.explode(F.transform(wanted, named)).alias("x"))
-    held = held.withColumn("_chunks", chunks(F.col("_text"), divisor)).select(F.explode(F.transform(wanted, named)).alias("x"))
     held = held.select("x.key", "x.text").where(F.unhex(F.md5("text")) == F.col("key"))
     if not docs.groupBy(id_col).count().where(f"`{id_col}` IS NOT NULL AND count > 1").isEmpty():
         held = held.dropDuplicates(["key"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SYSTEM_PROMPT = "You are a helpful assistant. Use the provided context to answer accurately."
+SYSTEM_PROMPT = "Answer the question from the numbered passages, and say so where they do not answer it."
 
 # The marker strings of the two templates, before and after system text and user text.
 TEMPLATES = {

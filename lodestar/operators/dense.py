@@ -1,4 +1,4 @@
-"""Dense search by cosine similarity: exact in blocks, or approximate by locality-sensitive hashing.
+"""Dense search by cosine similarity, exact in blocks; ``vector_index`` has the approximate search.
 
 Exact search deals queries and vectors out into groups of bounded size; each pair of groups is one task that
 multiplies two matrices and keeps the best per query. Nothing is broadcast and no all-pairs table arises.
@@ -62,13 +62,14 @@ def _block(k: int | None, threshold: float | None):
     return run
 
 
-def _dealt(vectors: DataFrame, queries: DataFrame, vector_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
+def _dealt(vectors: DataFrame, queries: DataFrame, vector_rows: int, query_rows: int, within: bool = False) -> tuple[DataFrame, DataFrame]:
     across = max(1, -(-vectors.count() // vector_rows))
     down = max(1, -(-queries.count() // query_rows))
     deal = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = vectors.select(F.col("chunk_index").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    own = (F.col("tenant").alias("tenant") if within else F.lit("").alias("tenant"),)
+    rows = vectors.select(F.col("chunk_index").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *own)
+    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *own)
     return (
         asked.withColumns({"down": deal(2, down)}).withColumn("across", each(across)),
         rows.withColumns({"across": deal(1, across)}).withColumn("down", each(down)),
@@ -76,11 +77,15 @@ def _dealt(vectors: DataFrame, queries: DataFrame, vector_rows: int, query_rows:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, vector_rows: int = VECTOR_ROWS, query_rows: int = QUERY_ROWS
+    vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float | None = None, vector_rows: int = VECTOR_ROWS, query_rows: int = QUERY_ROWS, within: bool = False
 ) -> DataFrame:
-    """(query_id, chunk_index, score, rank) of the k most similar vectors, of those at least ``threshold`` alike."""
-    asked, rows = _dealt(vectors, queries, vector_rows, query_rows)
-    found = asked.groupBy("across", "down").cogroup(rows.groupBy("across", "down")).applyInArrow(_block(k, threshold), "query_id long, chunk_index long, score double")
+    """(query_id, chunk_index, score, rank) of the k most similar vectors, of those at least ``threshold`` alike.
+
+    With ``within`` both sides have a tenant, and a query meets the vectors of its own only.
+    """
+    asked, rows = _dealt(vectors, queries, vector_rows, query_rows, within)
+    keys = ["tenant", "across", "down"]
+    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_block(k, threshold), "query_id long, chunk_index long, score double")
     return ranked(found.withColumn("score", F.round("score", SCORE_DIGITS)), k)
 
 
@@ -89,21 +94,3 @@ def at_least(vectors: DataFrame, queries: DataFrame, threshold: float) -> DataFr
     asked, rows = _dealt(vectors, queries, VECTOR_ROWS, QUERY_ROWS)
     found = asked.groupBy("across", "down").cogroup(rows.groupBy("across", "down")).applyInArrow(_block(None, threshold), "query_id long, chunk_index long, score double")
     return found.withColumn("score", F.round("score", SCORE_DIGITS))
-
-
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 2.0, tables: int = 10, reach: float = 1.4) -> DataFrame:
-    """Approximate search: random projections on unit vectors, whose Euclidean order is that of cosine.
-
-    ``reach`` is the largest distance between unit vectors that is still a hit; 1.4 is about similarity 0.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from lodestar.functions.vector import l2_normalize
-
-    unit = lambda df, name: df.select(F.col(name).alias("id"), array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
-    rows, asked = unit(vectors, "chunk_index"), unit(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=42).fit(rows)
-    near = model.approxSimilarityJoin(asked, rows, reach, "distance")
-    score = F.round(1 - F.col("distance") * F.col("distance") / 2, SCORE_DIGITS)
-    return ranked(near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("chunk_index"), score.alias("score")), k)

@@ -6,7 +6,10 @@ count as 0. Queries come from ``hits`` and ``qrels`` both, so one without hits s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +84,14 @@ def best_strategy(table: DataFrame, baseline: str, metric: str = "ndcg") -> Data
     )
     gain = (F.col("best_value") - F.col("base_value")) / F.nullif(F.col("base_value"), F.lit(0.0)) * 100
     return row.withColumn("improvement_percent", F.round(F.coalesce(gain, F.lit(0.0)), 4))
+
+
+def timed(strategies: dict[str, Callable[[], DataFrame]], n_queries: int, spark: SparkSession) -> DataFrame:
+    """(strategy, n_queries, seconds, mean_ms): each strategy is run once as a batch; the mean is over its queries."""
+    rows = []
+    for name, run in strategies.items():
+        began = time.perf_counter()
+        run().write.format("noop").mode("overwrite").save()
+        seconds = time.perf_counter() - began
+        rows.append((name, n_queries, round(seconds, 3), round(1000 * seconds / max(1, n_queries), 3)))
+    return spark.createDataFrame(rows, "strategy string, n_queries long, seconds double, mean_ms double")

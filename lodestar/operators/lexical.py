@@ -1,16 +1,18 @@
 """Lexical search: BM25 with a lower bound on term weight (delta), over index tables.
 
-The index is four tables: postings, doc_stats, term_stats, corpus_stats. A search needs only the postings of
-the queries' own terms: ``search_texts`` joins those terms to the token stream before anything is grouped, so
-what is shuffled is the queries' matches, not the corpus. It tokenizes each text once: the corpus statistics are
-observed in the same pass that writes the postings.
+The index is four tables: postings, doc_stats, term_stats, corpus_stats. A posting has its chunk's length, and
+postings are stored in order of their terms, so a search reads those of its own terms and nothing else: the terms of
+up to ``FILTER_TERMS`` reach the scan as a filter, more are joined before anything is grouped. Document frequencies are
+counted on these postings. ``search_texts`` does the same straight from texts: the queries' terms are joined to the
+token stream before anything is grouped. It tokenizes each text once; a row of its own for each chunk carries the
+corpus statistics, which are summed by a query.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokenize
@@ -19,6 +21,8 @@ from lodestar.plans.session import broadcast_if_small, materialized, spread
 K1, B, DELTA = 1.5, 0.75, 1.0
 #: Scores are rounded to this many digits before they are ranked, so that ties don't depend on summation order.
 SCORE_DIGITS = 6
+#: Terms that are sent to the scan as a filter.
+FILTER_TERMS = 2000
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
@@ -30,6 +34,13 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("chunk_index", F.explode("tokens").alias("term")).groupBy("term", "chunk_index").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def index_postings(tokens: DataFrame) -> DataFrame:
+    """Postings with the length of their chunk, laid out by term."""
+    rows = tokens.select("chunk_index", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    rows = rows.groupBy("term", "chunk_index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return rows.repartitionByRange("term", "chunk_index").sortWithinPartitions("term", "chunk_index")
+
+
 def doc_stats(tokens: DataFrame) -> DataFrame:
     return tokens.select("chunk_index", F.size("tokens").cast("long").alias("dl"))
 
@@ -74,18 +85,36 @@ class LexicalIndex:
     @classmethod
     def build(cls, chunks: DataFrame) -> LexicalIndex:
         tokens = tokenized(chunks)
-        posts, docs = postings(tokens), doc_stats(tokens)
+        posts, docs = index_postings(tokens), doc_stats(tokens)
         corpus = corpus_stats(docs)
         return cls(posts, docs, term_stats(posts, corpus), corpus)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"postings": self.postings, "doc_stats": self.doc_stats, "term_stats": self.term_stats, "corpus_stats": self.corpus_stats}
 
-    def search(self, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
-        """(query_id, chunk_index, score, rank); chunks that share no term with a query aren't hits."""
-        terms = broadcast_if_small(query_terms(queries))
-        found = self.postings.join(terms, "term").join(self.term_stats, "term").join(self.doc_stats, "chunk_index")
-        return ranked(_scores(found.crossJoin(F.broadcast(self.corpus_stats)), k1, b, delta), k)
+    def search(self, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, delta: float = DELTA, owners: DataFrame | None = None) -> DataFrame:
+        """(query_id, chunk_index, score, rank); chunks that share no term with a query aren't hits.
+
+        With ``owners`` (chunk_index, tenant) each of the ``queries`` sees its own tenant's chunks only.
+        """
+        terms = query_terms(queries)
+        wanted = [r["term"] for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+        posts = self.postings
+        posts = posts.where(F.col("term").isin(wanted)) if len(wanted) <= FILTER_TERMS else posts.join(broadcast_if_small(terms.select("term").distinct()), "term")
+        counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        known = posts.join(broadcast_if_small(counts), "term").crossJoin(F.broadcast(self.corpus_stats))  # one row
+        known = known.withColumn("idf", idf(F.col("n"), F.col("df")))
+        if owners is not None:
+            known = known.join(owners.select("chunk_index", "tenant"), "chunk_index")
+        return ranked(_scores(_asked(known, queries, terms, owners is not None), k1, b, delta), k)
+
+
+def _asked(posts: DataFrame, queries: DataFrame, terms: DataFrame, within: bool) -> DataFrame:
+    """Postings beside the queries that ask for their terms, of the same tenant if ``within``."""
+    if not within:
+        return posts.join(broadcast_if_small(terms), "term")
+    owned = terms.join(queries.select("query_id", "tenant"), "query_id")
+    return posts.join(broadcast_if_small(owned), ["term", "tenant"])
 
 
 def _scores(found: DataFrame, k1: float, b: float, delta: float) -> DataFrame:
@@ -93,21 +122,25 @@ def _scores(found: DataFrame, k1: float, b: float, delta: float) -> DataFrame:
     return found.groupBy("query_id", "chunk_index").agg(F.round(F.sum(F.col("qtf") * w), SCORE_DIGITS).alias("score"))
 
 
-def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
-    """The same hits straight from texts, without a stored index; frequencies are made for the queries' terms only."""
+def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, delta: float = DELTA, within: bool = False) -> DataFrame:
+    """The same hits straight from texts, without a stored index; frequencies are made for the queries' terms only.
+
+    With ``within`` each query sees the chunks of its own tenant only; frequencies are those of all chunks.
+    """
     terms = query_terms(queries)
-    wanted = broadcast_if_small(terms.select("term").distinct())
-    seen = Observation()
-    tokens = tokenized(chunks).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("total"))
-    posts = tokens.select("chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term")
-    posts = posts.groupBy("chunk_index", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    # no token is empty: one row for each chunk, for the statistics
+    wanted = broadcast_if_small(terms.select("term").distinct().union(queries.sparkSession.createDataFrame([("",)], "term string")))
+    tokens = tokenized(chunks).select("chunk_index", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    posts = tokens.join(wanted, "term").groupBy("chunk_index", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     posts = materialized(posts, "postings")
-    # without a match nothing may have been scanned, and the statistics don't matter
-    n, total = (1, 1) if posts.isEmpty() else (seen.get["n"], seen.get["total"])
+    n, total = posts.where("term = ''").agg(F.count(F.lit(1)), F.sum("dl")).first()
+    posts = posts.where("term <> ''")
     counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    found = posts.join(counts.select("term", idf(F.lit(n), F.col("df")).alias("idf")), "term").join(broadcast_if_small(terms), "term")
-    found = found.withColumn("avg_dl", F.lit(total / n))
-    return ranked(_scores(found, k1, b, delta), k)
+    known = posts.join(broadcast_if_small(counts.select("term", idf(F.lit(n), F.col("df")).alias("idf"))), "term")
+    known = known.withColumn("avg_dl", F.lit((total or 0) / n if n else 1.0))
+    if within:
+        known = known.join(chunks.select("chunk_index", "tenant"), "chunk_index")
+    return ranked(_scores(_asked(known, queries, terms, within), k1, b, delta), k)
 
 
 class NotIndexedError(RuntimeError):

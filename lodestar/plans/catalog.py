@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import prompt, text, vector
 from lodestar.operators import budget, chunking, dense, evaluation, fusion, lexical, metrics, rerank
+from lodestar.operators.vector_index import VectorIndex
 from lodestar.plans.pipeline import Retriever, answer_prompts
 from lodestar.plans.session import materialized, scratch
 from lodestar.sources import corpora, index_store, registry, store
@@ -243,10 +244,9 @@ def corpus_stats(spark, sf_dir):
 
 @_query(f"WITH {_INDEX}, {_bm25(K)} SELECT {_HIT} FROM bm")
 def index_roundtrip(spark, sf_dir):
-    """Builds the index, writes it with the vectors, reads it back and searches it."""
+    """Builds the index, writes it, reads it back and searches it."""
     folder = scratch(spark, "index")
-    built = lexical.LexicalIndex.build(chunks(spark, sf_dir))
-    index_store.write_tables(built.tables() | {"vectors": vectors(spark, sf_dir)}, folder)
+    index_store.write_tables(lexical.LexicalIndex.build(chunks(spark, sf_dir)).tables(), folder)
     return lexical.load_index(spark, folder).search(asked(spark, sf_dir), K)
 
 
@@ -285,6 +285,22 @@ def rare_keyword_rank(spark, sf_dir):
     return hits.groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n_found"))
 
 
+_TRAP = " UNION ALL ".join(f"SELECT {i} AS doc_id, {_sql_text(t)} AS text" for i, t in enumerate(corpora.TRAP_TEXTS))
+_TRAP_ASKS = " UNION ALL ".join(f"SELECT {i}::BIGINT AS item_id, {_sql_text(q)} AS text, [{', '.join(map(_sql_text, ws))}] AS keywords" for i, (q, ws) in enumerate(corpora.TRAP_QUERIES))
+
+
+@_query(
+    f"WITH documents AS ({_TRAP}), benchmark AS ({_TRAP_ASKS}), {_INDEX}, {_bm25(5)} "
+    "SELECT q AS query_id, count(*) FILTER (len(list_filter(b.keywords, lambda k: contains(lower(d.text), k))) > 0)::BIGINT AS n_hits, count(*)::BIGINT AS n_found "
+    "FROM bm JOIN documents d ON d.doc_id = ci JOIN benchmark b ON b.item_id = q GROUP BY q"
+)
+def trap_recall(spark, sf_dir):
+    """On the trap set, how many of the first five hits hold a keyword of the answer."""
+    rows, asks = corpora.trap(spark)
+    hits = lexical.search_texts(rows, asks.select("query_id", "text"), 5).join(rows, "chunk_index").join(asks.select("query_id", "keywords"), "query_id")
+    return hits.groupBy("query_id").agg(F.count_if(text.contains_any(F.col("text"), F.col("keywords"))).alias("n_hits"), F.count(F.lit(1)).alias("n_found"))
+
+
 @_query(
     f"WITH {_INDEX}, {_bm25(5)} SELECT q AS query_id, count(*) FILTER ({' OR '.join(f'contains(lower(d.text), {_sql_text(k)})' for k in KEYWORDS)})::BIGINT AS n_hits "
     "FROM bm JOIN documents d ON d.doc_id = ci GROUP BY q"
@@ -345,9 +361,27 @@ def vector_validate(spark, sf_dir):
     return dense.validated(vectors(spark, sf_dir), DIM).select("chunk_index", F.size("embedding").cast("long").alias("dim"))
 
 
+def _loaded(spark: SparkSession, folder: str) -> VectorIndex:
+    tables = index_store.read_tables(spark, folder)
+    return VectorIndex(tables["centroids"], tables["vectors"])
+
+
 @_query()
-def ann_lsh_topk(spark, sf_dir):
-    return dense.lsh_search(vectors(spark, sf_dir), asked(spark, sf_dir).where("embedding IS NOT NULL"), K)
+def ann_topk(spark, sf_dir):
+    """Approximate search on an index of inverted lists that was written and read back."""
+    folder = scratch(spark, "vectors")
+    index_store.write_tables(VectorIndex.build(vectors(spark, sf_dir)).tables(), folder)
+    return _loaded(spark, folder).search(asked(spark, sf_dir), K)
+
+
+@_query(f"WITH {_COSINE}, {_dense(K)} SELECT {_HIT} FROM de")
+def vector_append(spark, sf_dir):
+    """An index of half the vectors, stored, and the other half appended to it; with all lists probed the search is exact."""
+    folder, rows = scratch(spark, "vectors"), vectors(spark, sf_dir)
+    index_store.write_tables(VectorIndex.build(rows.where("chunk_index % 2 = 0")).tables(), folder)
+    more = _loaded(spark, folder).added(rows.where("chunk_index % 2 = 1"))
+    index_store.write_tables({"vectors": more}, folder, append=True)
+    return _loaded(spark, folder).search(asked(spark, sf_dir), K, probes=2**31 - 1)
 
 
 # Fusion and tenancy
@@ -436,6 +470,27 @@ def pack_budget(spark, sf_dir):
     return kept.select("query_id", F.col("x.chunk_index").alias("chunk_index"), F.col("x.rank").alias("place"), used.alias("used"))
 
 
+_BUDGET_QUERY = "Which chunks fit?"
+_BUDGET = " UNION ALL ".join(
+    f"SELECT {sum(c[0] for c in corpora.BUDGET_CHUNKS[:n])} + i AS doc_id, trim(repeat('word ', {words})) AS text, round({best}::DOUBLE - i * {step}::DOUBLE, 4) AS score FROM range({count}) r(i)"
+    for n, (count, words, best, step) in enumerate(corpora.BUDGET_CHUNKS)
+)
+
+
+@_query(
+    f"WITH RECURSIVE documents AS ({_BUDGET}), qs AS (SELECT 0::BIGINT AS q, {_sql_text(_BUDGET_QUERY)} AS text), src AS (SELECT 0::BIGINT AS q, doc_id AS ci, score, doc_id + 1 AS rank FROM documents), "
+    f"{_PACK.replace('@SOURCE', 'src')} SELECT q AS query_id, ci::BIGINT AS chunk_index, used::BIGINT AS used FROM fold WHERE kept"
+)
+def budget_set(spark, sf_dir):
+    """Which of a few long and many short chunks fit a window of 1024 words."""
+    rows = corpora.budget_chunks(spark)
+    asks = spark.createDataFrame([(0, _BUDGET_QUERY)], "query_id long, text string")
+    found = rows.select(F.lit(0).cast("long").alias("query_id"), "chunk_index", "score", (F.col("chunk_index") + 1).alias("rank"))
+    kept = budget.pack(found, asks, rows.select("chunk_index", "text"), prompt.SYSTEM_PROMPT, WINDOW, GENERATION).select("query_id", F.posexplode("kept").alias("_i", "x"), "kept")
+    used = F.aggregate(F.slice("kept", 1, F.col("_i") + 1), F.lit(0).cast("long"), lambda n, x: n + x["cost"])
+    return kept.select("query_id", F.col("x.chunk_index").alias("chunk_index"), used.alias("used"))
+
+
 def _prompt_sql(template: str, context: str, system: str, query: str) -> str:
     a, b, c = (f"E{_sql_text(x)}".replace("\n", "\\n") for x in prompt.TEMPLATES[template])
     user = f"CASE WHEN {context} IS NULL THEN {query} ELSE {context} || chr(10) || chr(10) || {query} END"
@@ -478,16 +533,23 @@ def pipeline_prompt(spark, sf_dir):
 
 
 @_query(
-    f"WITH w AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark), t AS (SELECT item_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM w) "
+    f"WITH {_INDEX}, {_bm25(3)}, w AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark), t AS (SELECT item_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM w), "
+    """c AS (SELECT q, string_agg('{"chunk_index":' || ci || ',"rank":' || rank || '}', ',' ORDER BY rank) AS cs FROM bm GROUP BY q) """
     "SELECT item_id AS query_id, i::BIGINT AS pos, 'data: ' || to_json({'token': ws[i], 'is_end': false}) || chr(10) || chr(10) AS event FROM t UNION ALL "
-    "SELECT item_id, (len(ws) + 1)::BIGINT, 'data: ' || to_json({'token': '', 'is_end': true}) || chr(10) || chr(10) FROM w"
+    """SELECT item_id, (len(ws) + 1)::BIGINT, 'data: {"token":"","is_end":true,"sources":[' || coalesce(cs, '') || ']}' || chr(10) || chr(10) FROM w LEFT JOIN c ON c.q = item_id"""
 )
 def sse_events(spark, sf_dir):
-    """A stream of token events for each query's words, with a last event that ends it."""
+    """A stream of token events for each query's words, with a last event that ends it and names the chunks used."""
+    asks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = lexical.search_texts(chunks(spark, sf_dir), asks, 3)
+    sources = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_index"))), lambda x: F.struct(x["chunk_index"].alias("chunk_index"), x["rank"].alias("rank"))).alias("sources"))
     ws = text.words(F.col("text"))
-    tokens = F.concat(F.transform(ws, lambda w: F.struct(w.alias("token"), F.lit(False).alias("is_end"))), F.array(F.struct(F.lit("").alias("token"), F.lit(True).alias("is_end"))))
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(tokens).alias("pos", "x"))
-    return rows.select("query_id", (F.col("pos") + 1).cast("long").alias("pos"), prompt.sse_event(F.col("x")).alias("event"))
+    rows = asks.select("query_id", F.posexplode(ws).alias("pos", "token"), F.lit(False).alias("is_end"))
+    events = rows.select("query_id", (F.col("pos") + 1).cast("long").alias("pos"), prompt.sse_event(F.struct("token", "is_end")).alias("event"))
+    none = F.array().cast("array<struct<chunk_index: bigint, rank: bigint>>")
+    last = F.struct(F.lit("").alias("token"), F.lit(True).alias("is_end"), F.coalesce("sources", none).alias("sources"))
+    ends = asks.join(sources, "query_id", "left").select("query_id", (F.size(ws) + 1).cast("long").alias("pos"), prompt.sse_event(last).alias("event"))
+    return events.unionByName(ends)
 
 
 # Chunking
@@ -725,6 +787,43 @@ def eval_ablation(spark, sf_dir):
     return _ablation(spark, sf_dir)
 
 
+@_query()
+def ablation_latency(spark, sf_dir):
+    """Mean time per query of each strategy, run as a batch."""
+    asks, rows = asked(spark, sf_dir).where("embedding IS NOT NULL"), chunks(spark, sf_dir)
+    near = lambda: dense.search(vectors(spark, sf_dir), asks, EVAL_K)
+    fused = lambda: fusion.rrf([lexical.search_texts(rows, asks, RECALL_K), dense.search(vectors(spark, sf_dir), asks, RECALL_K)], RECALL_K, texts=rows)
+    strategies = {"dense": near, "hybrid": fused, "reranked": lambda: rerank.rerank(fused(), asks, rows, EVAL_K)}
+    return evaluation.timed(strategies, asks.count(), spark)
+
+
+_BEIR_N = 50
+
+
+@_query(
+    f"WITH sd AS (SELECT 'd' || doc_id AS sid, doc_id AS old, source, concat_ws('. ', nullif(source, ''), nullif(text, '')) AS text FROM documents), "
+    f"sq AS (SELECT 'q' || item_id AS sid, item_id, text FROM benchmark WHERE text <> '' AND 'src' || (item_id % {N_TENANTS}) IN (SELECT source FROM documents JOIN labels USING (doc_id))), "
+    f"documents AS (SELECT (row_number() OVER (ORDER BY sid) - 1)::BIGINT AS doc_id, * FROM sd), benchmark AS (SELECT * FROM sq ORDER BY sid LIMIT {_BEIR_N}), {_INDEX}, {_bm25(EVAL_K)}, "
+    "rel AS (SELECT b.item_id AS q, d.doc_id AS ci FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20) JOIN labels l ON l.doc_id = d.old WHERE l.quality > 0), "
+    "k AS (SELECT bm.q, count(rel.ci) AS n FROM bm LEFT JOIN rel ON rel.q = bm.q AND rel.ci = bm.ci GROUP BY bm.q), t AS (SELECT q, count(DISTINCT ci) AS n FROM rel GROUP BY q) "
+    "SELECT b.sid AS query_id, round(coalesce(k.n / t.n::DOUBLE, 0.0), 6) AS recall FROM benchmark b LEFT JOIN k ON k.q = b.item_id LEFT JOIN t ON t.q = b.item_id WHERE k.q IS NOT NULL OR t.q IS NOT NULL"
+)
+def beir_recall(spark, sf_dir):
+    """The given tables written as a corpus/queries/qrels folder, loaded again, its ids numbered, the first queries evaluated."""
+    folder = scratch(spark, "beir")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("_id"), F.col("source").alias("title"), "text")
+    docs.write.parquet(f"{folder}/corpus")
+    table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("_id"), "text").write.parquet(f"{folder}/queries")
+    made = qrels(spark, sf_dir).select(F.concat(F.lit("q"), "query_id").alias("query-id"), F.concat(F.lit("d"), "chunk_index").alias("corpus-id"), F.col("rel").alias("score"))
+    made.write.parquet(f"{folder}/qrels/train")
+    corpus, queries, rels = corpora.beir(spark, folder)
+    numbers = registry.numbered(corpus, "doc_id", [], 0)
+    asks = materialized(corpora.first_queries(queries, _BEIR_N), "queries")
+    hits = lexical.search_texts(numbers, asks, EVAL_K)
+    judged = rels.join(asks.select("query_id"), "query_id").join(numbers.select("doc_id", "chunk_index"), "doc_id")
+    return evaluation.recall(hits, judged, EVAL_K).withColumn("recall", F.round("recall", 6))
+
+
 @_query(
     f"{_ABLATION} SELECT arg_max(strategy, (ndcg, strategy)) AS best, max(ndcg) AS best_value, max(ndcg) FILTER (strategy = 'dense') AS base_value, "
     "round(coalesce((max(ndcg) - max(ndcg) FILTER (strategy = 'dense')) / nullif(max(ndcg) FILTER (strategy = 'dense'), 0) * 100, 0.0), 4) AS improvement_percent FROM ab"
@@ -751,3 +850,18 @@ def metrics_histogram(spark, sf_dir):
 @_query("SELECT event_type, count(value)::BIGINT AS n, round(coalesce(sum(value), 0.0), 4) AS total FROM events GROUP BY event_type")
 def metrics_counter(spark, sf_dir):
     return metrics.counter(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+_LE = ", ".join(f"({b}::DOUBLE, '{b}')" for b in metrics.BUCKETS) + ", ('inf'::DOUBLE, '+Inf')"
+
+
+@_query(
+    "WITH e AS (SELECT 'event_type=\"' || event_type || '\"' AS ls, value / 100 AS s FROM events WHERE value IS NOT NULL) "
+    f"SELECT 'event_seconds_bucket{{' || ls || ',le=\"' || le || '\"}} ' || count(*) FILTER (s <= b) AS line FROM e, (VALUES {_LE}) v(b, le) GROUP BY ls, le "
+    "UNION ALL SELECT 'event_seconds_sum{' || ls || '} ' || round(sum(s), 6)::DECIMAL(38, 6)::VARCHAR FROM e GROUP BY ls UNION ALL SELECT 'event_seconds_count{' || ls || '} ' || count(*) FROM e GROUP BY ls "
+    "UNION ALL SELECT '# HELP event_seconds Seconds of events' UNION ALL SELECT '# TYPE event_seconds histogram'"
+)
+def metrics_text(spark, sf_dir):
+    """The histogram as a scraper reads it."""
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("seconds"))
+    return metrics.exposition("event_seconds", rows, ["event_type"], "seconds", "Seconds of events").select("line")

@@ -33,23 +33,22 @@ class Retriever:
         """Stage 1: (query_id, chunk_index, score, rank) for queries (query_id, text, embedding, tenant)."""
         if self.tenancy not in ("post", "pre"):
             raise ValueError("tenancy must be 'post' or 'pre'")
-        depth = self.recall_k if self.tenancy == "post" else None
-        words, vectors = self._lexical(queries, depth), self._dense(queries, depth)
-        lists = [fusion.visible(hits, queries, self.chunks) for hits in (words, vectors)]
-        if depth is None:
-            lists = [hits.where(F.col("rank") <= self.recall_k) for hits in lists]
+        if self.tenancy == "post":
+            lists = [fusion.visible(hits, queries, self.chunks) for hits in (self._lexical(queries), self._dense(queries))]
+        else:  # a query with a tenant meets the chunks of that tenant only, the others meet all
+            owned, others = queries.where(F.col("tenant").isNotNull()), queries.where(F.col("tenant").isNull())
+            lists = [f(owned, True).unionByName(f(others)) for f in (self._lexical, self._dense)]
         return fusion.rrf(lists, self.recall_k, self.rrf_k, self.chunks)
 
-    def _lexical(self, queries: DataFrame, depth: int | None) -> DataFrame:
-        k = depth or 2**31 - 1
-        return self.index.search(queries, k) if self.index else lexical.search_texts(self.chunks, queries, k)
+    def _lexical(self, queries: DataFrame, within: bool = False) -> DataFrame:
+        if self.index:
+            return self.index.search(queries, self.recall_k, owners=self.chunks if within else None)
+        return lexical.search_texts(self.chunks, queries, self.recall_k, within=within)
 
-    def _dense(self, queries: DataFrame, depth: int | None) -> DataFrame:
+    def _dense(self, queries: DataFrame, within: bool = False) -> DataFrame:
         asked = queries.where(F.col("embedding").isNotNull())
-        if depth is None:
-            found = dense.ranked(dense.at_least(self.vectors, asked, -1.0 if self.threshold is None else self.threshold), 2**31 - 1)
-            return found
-        return dense.search(self.vectors, asked, depth, self.threshold)
+        vectors = self.vectors.join(self.chunks.select("chunk_index", "tenant"), "chunk_index") if within else self.vectors
+        return dense.search(vectors, asked, self.recall_k, self.threshold, within=within)
 
     def retrieve(self, queries: DataFrame, k: int = 5, use_reranker: bool = True) -> DataFrame:
         """The k best of stage 2, or without it of stage 1; what isn't asked for isn't in the plan."""

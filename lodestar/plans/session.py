@@ -29,8 +29,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below /tmp only where that setting is missing."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder below ``spark.checkpoint.dir``; below /tmp only where that is not set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/checkpoints"
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 

@@ -2,6 +2,11 @@
 
 A write adds a part and then makes a new version current; a reader sees the old version or the new one whole.
 Appending keeps the parts of the version before, so it writes nothing but the new rows. Nothing is pickled.
+
+Versions are numbered upward and the greatest is current, so what a writer that died has left is never taken for
+newer than what came after it. A version is a marker file that names its manifest. It is made only if there is none
+of that number, so of two writers that started from the same version, the second gets an error; one that is empty was
+left by a writer that died and stands for nothing.
 """
 
 from __future__ import annotations
@@ -9,6 +14,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.sources import schemas
@@ -19,6 +25,7 @@ SCHEMAS = {
     "term_stats": schemas.TERM_STATS,
     "corpus_stats": schemas.CORPUS_STATS,
     "vectors": schemas.VECTORS,
+    "centroids": schemas.CENTROIDS,
     "chunks": schemas.CHUNKS,
 }
 _MANIFEST = "parts array<string>, tables array<string>, next_index long"
@@ -26,7 +33,7 @@ _MANIFEST = "parts array<string>, tables array<string>, next_index long"
 
 @dataclass(frozen=True)
 class Manifest:
-    version: str
+    version: int
     parts: tuple[str, ...]
     tables: tuple[str, ...]
     #: Ids below this have been given out, whether or not their rows still exist.
@@ -39,35 +46,48 @@ def _files(spark: SparkSession, folder: str):
     return path, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    _, root, system = _files(spark, folder)
+    names = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
+    return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
+
+
 def current(spark: SparkSession, folder: str) -> Manifest | None:
     """The current version's manifest; None where nothing was written."""
-    _, root, system = _files(spark, folder)
-    if not system.exists(root):
-        return None
-    found = sorted(n for f in system.listStatus(root) if (n := f.getPath().getName()).startswith("current-"))
-    if not found:
-        return None
-    version = found[-1].removeprefix("current-")
-    row = spark.read.schema(_MANIFEST).json(f"{folder}/manifest-{version}").first()
-    return Manifest(version, tuple(row["parts"]), tuple(row["tables"]), row["next_index"])
+    path, _, system = _files(spark, folder)
+    for version in reversed(_versions(spark, folder)):
+        stream = system.open(path(f"{folder}/current-{version}"))
+        name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if name:
+            row = spark.read.schema(_MANIFEST).json(f"{folder}/{name}").first()
+            return Manifest(version, tuple(row["parts"]), tuple(row["tables"]), row["next_index"])
+    return None
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, append: bool = False, next_index: int | None = None) -> str:
+def write_tables(tables: dict[str, DataFrame], folder: str, append: bool = False, next_index: int | None = None) -> int:
     """Writes the tables as a part and makes a version current that has it, with ``append`` beside the earlier parts."""
     spark = next(iter(tables.values())).sparkSession
     before = current(spark, folder)
-    part, version = uuid.uuid4().hex, uuid.uuid4().hex
+    version = max(_versions(spark, folder), default=0) + 1
+    part = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{part}/{name}")
     parts = [*(before.parts if before and append else ()), part]
     given = next_index if next_index is not None else before.next_index if before else 0
     row = [(parts, sorted({*tables, *(before.tables if before and append else ())}), given)]
-    spark.createDataFrame(row, _MANIFEST).coalesce(1).write.json(f"{folder}/manifest-{version}")
     path, root, system = _files(spark, folder)
-    system.mkdirs(path(f"{folder}/current-{version}"))
+    manifest = f"manifest-{version}-{part}"
+    spark.createDataFrame(row, _MANIFEST).coalesce(1).write.json(f"{folder}/{manifest}")
+    try:
+        stream = system.create(path(f"{folder}/current-{version}"), False)
+    except Py4JJavaError as error:
+        raise RuntimeError(f"another writer made version {version} of {folder}") from error
+    stream.write(bytearray(manifest.encode()))
+    stream.close()
     for found in system.listStatus(root):
         name = found.getPath().getName()
-        if name.startswith("current-") and name != f"current-{version}":
+        if name.startswith("current-") and int(name.removeprefix("current-")) < version:
             system.delete(found.getPath(), True)
     return version
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.plans.session import broadcast_if_small, materialized
+
 
 def all_chunks(registry: DataFrame) -> DataFrame:
     return registry.orderBy("chunk_index")
@@ -34,29 +36,24 @@ def active_tenants(registry: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str, ties: list[str], start: int, bucket_rows: int = 500_000) -> DataFrame:
-    """``rows`` with a dense chunk_index from ``start``, in order of a numeric key and then the ties.
+    """``rows`` with a dense chunk_index from ``start``, in order of the key and then the ties.
 
-    Rows are dealt into ranges of the key by bounds that are fixed first, counted by range and numbered within
-    it, so no single task sees them all. The driver holds one bound and one count for each range.
+    Rows are dealt into ranges of key and ties, sorted there and written once, each with its place; a small table of
+    the ranges' sizes then gives each range its first number. No task sees all rows, and the driver none; equal keys
+    are spread over ranges by their ties. ``rows`` is evaluated once, for the sizes must be those of the rows returned.
     """
-    n = rows.count()
-    buckets = max(1, -(-n // bucket_rows))
-    bounds: list = []
-    if buckets > 1:
-        points = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(rows.agg(F.percentile_approx(key, points, max(10_000, 20 * buckets))).first()[0]))
-    bucket = F.lit(0)
-    if bounds:
-        edges = F.array(*map(F.lit, bounds))
-        bucket = F.size(F.filter(edges, lambda e: e < F.col(key)))
-    dealt = rows.withColumn("_bucket", bucket)
-    before, total = [], start
-    for r in dealt.groupBy("_bucket").count().orderBy("_bucket").collect():
-        before.append((r["_bucket"], total))
-        total += r["count"]
-    offsets = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else F.create_map(F.lit(0), F.lit(start))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties)) - 1
-    return dealt.withColumn("chunk_index", (F.element_at(offsets, F.col("_bucket")) + place).cast("long")).drop("_bucket")
+    rows = materialized(rows, "unnumbered")
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    ordered = rows.repartitionByRange(buckets, key, *ties).sortWithinPartitions(key, *ties)
+    kept = materialized(ordered.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    # the upper bits of a place are the range, the lower 33 the row's number in it
+    range_ = F.shiftrightunsigned("_place", 33)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = kept.groupBy(range_.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = kept.withColumn("_range", range_).join(broadcast_if_small(sizes), "_range")
+    number = F.lit(start) + F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.withColumn("chunk_index", number.cast("long")).drop("_place", "_range", "_before")
 
 
 def append(registry: DataFrame, new: DataFrame, key: str, ties: list[str]) -> DataFrame:

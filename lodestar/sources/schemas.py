@@ -1,4 +1,4 @@
-"""Declared schemas and request defaults."""
+"""Declared schemas, and requests and responses with the interface's fixed field names and defaults."""
 
 from __future__ import annotations
 
@@ -14,11 +14,14 @@ CHUNKS = T.StructType(
         T.StructField("created_at", T.TimestampType(), False),
     ]
 )
-POSTINGS = T.StructType([T.StructField("term", T.StringType(), False), T.StructField("chunk_index", T.LongType(), False), T.StructField("tf", T.LongType(), False)])
+POSTINGS = T.StructType([T.StructField("term", T.StringType(), False), T.StructField("chunk_index", T.LongType(), False), T.StructField("tf", T.LongType(), False), T.StructField("dl", T.LongType(), False)])
 DOC_STATS = T.StructType([T.StructField("chunk_index", T.LongType(), False), T.StructField("dl", T.LongType(), False)])
 TERM_STATS = T.StructType([T.StructField("term", T.StringType(), False), T.StructField("df", T.LongType(), False), T.StructField("idf", T.DoubleType(), False)])
 CORPUS_STATS = T.StructType([T.StructField("n", T.LongType(), False), T.StructField("avg_dl", T.DoubleType(), False)])
-VECTORS = T.StructType([T.StructField("chunk_index", T.LongType(), False), T.StructField("embedding", T.ArrayType(T.FloatType()), False)])
+VECTORS = T.StructType(
+    [T.StructField("chunk_index", T.LongType(), False), T.StructField("embedding", T.ArrayType(T.FloatType()), False), T.StructField("list", T.IntegerType(), True)]
+)
+CENTROIDS = T.StructType([T.StructField("list", T.IntegerType(), False), T.StructField("centroid", T.ArrayType(T.DoubleType()), False), T.StructField("probes", T.IntegerType(), False)])
 HITS = T.StructType(
     [
         T.StructField("query_id", T.LongType(), False),
@@ -49,3 +52,22 @@ class QueryRequest:
 class IngestRequest:
     user_id: str
     documents: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class IngestResponse:
+    chunks_ingested: int
+    user_id: str
+
+
+@dataclass(frozen=True)
+class RAGResponse:
+    answer: str
+    #: The chunks used, as (chunk_index, score).
+    sources: tuple[dict, ...] = ()
+
+
+@dataclass(frozen=True)
+class StreamChunk:
+    token: str
+    is_end: bool = False

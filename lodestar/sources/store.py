@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import lexical
 from lodestar.operators.chunking import MAX_TOKENS, THRESHOLD, semantic_chunks
+from lodestar.operators.vector_index import VectorIndex
+from lodestar.plans.session import materialized
 from lodestar.sources import index_store, registry
 
 
@@ -23,6 +25,7 @@ class Corpus:
     chunks: DataFrame
     index: lexical.LexicalIndex
     vectors: DataFrame | None
+    vector_index: VectorIndex | None = None
 
 
 def restore(spark: SparkSession, folder: str) -> Corpus | None:
@@ -32,7 +35,9 @@ def restore(spark: SparkSession, folder: str) -> Corpus | None:
         return None
     corpus = lexical.corpus_stats(tables["doc_stats"])
     index = lexical.LexicalIndex(tables["postings"], tables["doc_stats"], lexical.term_stats(tables["postings"], corpus), corpus)
-    return Corpus(tables["chunks"], index, tables.get("vectors"))
+    near = VectorIndex(tables["centroids"], tables["vectors"]) if "centroids" in tables else None
+    vectors = tables["vectors"].select("chunk_index", "embedding") if "vectors" in tables else None
+    return Corpus(tables["chunks"], index, vectors, near)
 
 
 def ingest(
@@ -47,17 +52,22 @@ def ingest(
     spark = docs.sparkSession
     before = index_store.current(spark, folder)
     start = before.next_index if before else 0
-    found = semantic_chunks(docs, threshold, max_tokens).join(docs.select("doc_id", "tenant"), "doc_id")
-    new = registry.numbered(found, "doc_id", ["pos"], start)
+    # the tenant travels with the text, so an id that occurs twice in a batch gives each row's chunks once
+    rows = docs.select(F.struct("doc_id", "tenant", F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text")
+    found = semantic_chunks(materialized(rows, "documents"), threshold, max_tokens).select("doc_id.doc_id", "doc_id.tenant", "doc_id.row", "pos", "text")
+    new = registry.numbered(found, "doc_id", ["row", "pos"], start)
     created = F.current_timestamp() if created_at is None else created_at
-    new = new.select("chunk_index", "tenant", "text", created.cast("timestamp").alias("created_at"))
-    n = found.count()
+    new = materialized(new.select("chunk_index", "tenant", "text", created.cast("timestamp").alias("created_at")), "chunks")
+    n = new.count()
     if not n:
         return 0
     tokens = lexical.tokenized(new)
-    tables = {"chunks": new, "postings": lexical.postings(tokens), "doc_stats": lexical.doc_stats(tokens)}
+    tables = {"chunks": new, "postings": lexical.index_postings(tokens), "doc_stats": lexical.doc_stats(tokens)}
     if embed is not None:
-        tables["vectors"] = new.select("chunk_index", embed(F.col("text")).cast("array<float>").alias("embedding"))
+        vectors = materialized(new.select("chunk_index", embed(F.col("text")).cast("array<float>").alias("embedding")), "vectors")
+        stored = restore(spark, folder)
+        known = stored.vector_index if stored else None
+        tables |= {"vectors": known.added(vectors)} if known else VectorIndex.build(vectors).tables()
     index_store.write_tables(tables, folder, append=True, next_index=start + n)
     return n
 
@@ -70,6 +80,6 @@ def delete_tenant(spark: SparkSession, folder: str, tenant: str) -> int:
     gone = tables["chunks"].where(F.col("tenant") == tenant).select("chunk_index")
     n = gone.count()
     if n:
-        kept = {name: df.join(gone, "chunk_index", "left_anti").select(*df.columns) for name, df in tables.items()}
+        kept = {name: df.join(gone, "chunk_index", "left_anti").select(*df.columns) if "chunk_index" in df.columns else df for name, df in tables.items()}
         index_store.write_tables(kept, folder)
     return n

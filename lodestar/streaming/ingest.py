@@ -20,13 +20,15 @@ def ingest_batch(docs: DataFrame, folder: str, batch_id: int, threshold: float =
 
     A chunk's id is made of the batch, the document and its position: it needs no count of what came before.
     """
-    chunks = semantic_chunks(docs, threshold, max_tokens).join(docs.select("doc_id", "tenant"), "doc_id")
-    chunk_index = F.xxhash64(F.lit(batch_id), "doc_id", "pos")
+    # the tenant travels with the text; rows of one id are told apart by it and the text
+    rows = docs.select(F.struct("doc_id", "tenant", F.xxhash64("text").alias("row")).alias("doc_id"), "text").dropDuplicates()
+    chunks = semantic_chunks(rows, threshold, max_tokens).select("doc_id.doc_id", "doc_id.tenant", "doc_id.row", "pos", "text")
+    chunk_index = F.xxhash64(F.lit(batch_id), "doc_id", "tenant", "row", "pos")
     chunks = chunks.select(chunk_index.alias("chunk_index"), "doc_id", "pos", "tenant", "text")
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch_id}")
     written = docs.sparkSession.read.parquet(f"{folder}/chunks/batch={batch_id}")
     tokens = lexical.tokenized(written)
-    lexical.postings(tokens).write.mode("overwrite").parquet(f"{folder}/postings/batch={batch_id}")
+    lexical.index_postings(tokens).write.mode("overwrite").parquet(f"{folder}/postings/batch={batch_id}")
     lexical.doc_stats(tokens).write.mode("overwrite").parquet(f"{folder}/doc_stats/batch={batch_id}")
 
 
@@ -38,7 +40,7 @@ def start(spark: SparkSession, source: str, schema: str, folder: str, checkpoint
 
 
 def read_index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
-    posts = spark.read.parquet(f"{folder}/postings").select("term", "chunk_index", "tf")
+    posts = spark.read.parquet(f"{folder}/postings").select("term", "chunk_index", "tf", "dl")
     docs = spark.read.parquet(f"{folder}/doc_stats").select("chunk_index", "dl")
     corpus = lexical.corpus_stats(docs)
     return lexical.LexicalIndex(posts, docs, lexical.term_stats(posts, corpus), corpus)

@@ -2,8 +2,8 @@ import pytest
 
 from lodestar.plans import catalog
 
-# Rows only: approximate by design; its recall has a test of its own.
-WITHOUT_SQL = {"ann_lsh_topk"}
+# Rows only: approximate by design, its recall has a test of its own; and times.
+WITHOUT_SQL = {"ann_topk", "ablation_latency"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

@@ -38,6 +38,7 @@ def test_frequency_effect(spark):
 
 
 def test_tenanted_scores(spark):
+    # fixed values: the scores below are those of these texts
     texts = (
         "Replacing a punctured rubber wheel with a spare is a straightforward process. First, locate the jack and spare tire in your vehicle. Then, loosen the lug nuts before lifting the car.",
         "The best pasta recipes use fresh ingredients and slow-simmered sauces.",

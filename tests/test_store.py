@@ -8,10 +8,10 @@ from lodestar.plans.pipeline import Retriever
 from lodestar.sources import index_store, registry, store
 
 SCHEMA = "doc_id long, tenant string, text string"
-TIRE = "Replacing a punctured rubber wheel with a spare tire is straightforward."
-PASTA = "The best pasta recipes use fresh ingredients and slow-simmered sauces."
-SOLAR = "Solar panels convert sunlight into electricity through photovoltaic cells."
-QUANTUM = "Quantum computing leverages superposition and entanglement for computation."
+TIRE = "A flat tire comes off more easily once the lug nuts are loose."
+PASTA = "Salt the water before the pasta goes in, for plain recipes too."
+SOLAR = "On the roof, solar cells make electricity from sunlight all summer."
+QUANTUM = "A quantum register holds many states until it is measured."
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +60,40 @@ def test_delete_and_ids_are_not_given_again(spark, folder):
     assert index_store.current(spark, folder).next_index == 5
 
 
+def test_the_newest_version_counts(spark, tmp_path, monkeypatch):
+    """A marker that a dead writer has left doesn't hide what came after it, and two writers can't make one version."""
+    folder = f"file://{tmp_path}/t"
+    for i in range(11):
+        assert index_store.write_tables({"x": spark.range(i, i + 1)}, folder) == i + 1
+    for left in ("current-9", "current-12"):
+        (tmp_path / "t" / left).touch()
+    assert index_store.current(spark, folder).version == 11 and index_store.read_tables(spark, folder)["x"].first()["id"] == 10
+    assert index_store.write_tables({"x": spark.range(20, 21)}, folder) == 13
+    # another writer that looked before version 13 was there
+    monkeypatch.setattr(index_store, "_versions", lambda *_: [12])
+    monkeypatch.setattr(index_store, "current", lambda *_: index_store.Manifest(12, (), ()))
+    with pytest.raises(RuntimeError):
+        index_store.write_tables({"x": spark.range(1)}, folder)
+    monkeypatch.undo()
+    assert index_store.read_tables(spark, folder)["x"].first()["id"] == 20
+
+
+def test_repeated_ids_in_a_batch(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    rows = [(1, "a", PASTA), (1, "b", SOLAR), (1, "a", PASTA)]
+    assert store.ingest(spark.createDataFrame(rows, SCHEMA), folder) == 3
+    assert sorted((r["tenant"], r["text"]) for r in store.restore(spark, folder).chunks.collect()) == sorted(x[1:] for x in rows)
+
+
+def test_vectors_are_searched_after_restore(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    for i, part in enumerate(([TIRE, PASTA], [SOLAR, QUANTUM])):
+        store.ingest(spark.createDataFrame([(j, f"u{i}", t) for j, t in enumerate(part)], SCHEMA), folder, hashed_embedding)
+    asks = spark.createDataFrame([(0, "solar sunlight electricity"), (1, "pasta recipes")], "query_id long, text string").withColumn("embedding", hashed_embedding(F.col("text")))
+    hits = store.restore(spark, folder).vector_index.search(asks, 1, probes=9)
+    assert {r["query_id"]: r["chunk_index"] for r in hits.collect()} == {0: 2, 1: 1}
+
+
 def test_model_adapters(spark):
     df = spark.createDataFrame([("ab",), (None,), ("abcd",)], "t string")
     embed = model_embedder(lambda: lambda texts: np.array([[len(t), 3.0] for t in texts]), batch=2)

@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans.session import broadcast_if_small, spread
+from lodestar.plans.session import broadcast_if_small, scratch, spread
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a folder of /tmp only where that setting is missing."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else "file:///tmp/checkpoints"
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    """A new folder below ``spark.checkpoint.dir``; an error where that isn't set on a cluster."""
+    return scratch(spark, purpose)
 
 
 def stored(df: DataFrame, purpose: str, *folders: str) -> DataFrame:
@@ -50,7 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of df has."""
     taken = {c.lower() for c in df.columns}

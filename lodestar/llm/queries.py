@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat_format, line_dedup, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
+from lodestar.llm import bpe, chat_format, line_dedup, ngram_join, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
 from lodestar.llm.common import table
-from lodestar.llm.ngram_join import ngram_jaccard_join
 from lodestar.llm.tokens import default_path
 
 
@@ -43,7 +42,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +79,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_topk": topk_search.ORACLE_SQL,
         "op5_url_filter": url_filter.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
     }

@@ -795,3 +795,53 @@ def test_all_ids_of_a_seed_are_scored():
         assert np.isclose(scores[d], sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * weight for t in p if df[t] > 1), rtol=1e-5)
     first = packing.pack_shard(pieces, 128)[0]
     assert first[0][0] == 0 and first[1][0] > len(others)
+
+
+def plain_packing(pieces, window):
+    """Windows by the rule as it reads: BM25 over all documents for every seed, then greedy filling."""
+    n, mean = len(pieces), max(1.0, np.mean([len(p) for p in pieces]))
+    df = {t: sum(t in p for p in pieces) for p in pieces for t in p.tolist()}
+
+    def score(query, p):
+        out = 0.0
+        for t in set(query.tolist()):
+            tf = p.tolist().count(t)
+            if tf and df[t] > 1:
+                out += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(p) / mean))
+        return out
+
+    start, length = [0] * n, [len(p) for p in pieces]
+    unused, tails, out = {i for i in range(n) if length[i]}, [], []
+    order = sorted(range(n), key=lambda i: -len(pieces[i]))
+    while unused:
+        seed = next((tails.pop() for _ in range(len(tails)) if tails[-1] in unused or (tails.pop(), False)[1]), None)
+        seed = seed if seed is not None else next(i for i in order if i in unused)
+        unused.discard(seed)
+        placed, room = [(seed, start[seed], length[seed])], window - length[seed]
+        scores = {i: score(pieces[seed], pieces[i]) for i in unused}
+        ranked = sorted(sorted(unused), key=lambda i: -round(scores[i], 9))
+        for i in ranked if room else []:
+            if scores[i] > 0 and length[i] <= room:
+                placed.append((i, start[i], length[i]))
+                unused.discard(i)
+                room -= length[i]
+        for i in ranked:
+            if room and i in unused:
+                take = min(room, length[i])
+                placed.append((i, start[i], take))
+                start[i], length[i], room = start[i] + take, length[i] - take, room - take
+                if length[i]:
+                    tails.append(i)
+                else:
+                    unused.discard(i)
+        out.append(placed)
+    return out
+
+
+def test_packing_as_it_reads():
+    rng = random.Random(13)
+    for case in range(6):
+        pieces = [np.array([rng.randint(0, 25) + 30 * (i % 3) for _ in range(rng.randint(1, 63))], "<u2") for i in range(25 + case)]
+        found, expected = packing.pack_shard(pieces, 64), plain_packing(pieces, 64)
+        assert [w for w in found if sum(x[2] for x in w) == 64] == [w for w in expected if sum(x[2] for x in w) == 64]
+        assert sum(x[2] for w in found for x in w) == sum(x[2] for w in expected for x in w) == sum(map(len, pieces))

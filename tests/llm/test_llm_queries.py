@@ -163,3 +163,33 @@ def test_pipeline(spark, small, documents):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in kept["substring dedup"].items()}
     assert packing_holds(P.STAGES[-1][1](spark, docs, small).collect(), ids) == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, small):
+    """Nulls in any column, empty texts, repeated rows and ids, no rows, and columns named as the operators' own."""
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    one, two = prose(60), prose(80)
+    lines = "\n".join(prose(7) for _ in range(40))
+    rows = [(1, one, "en", "s", 3, 0), (1, one, "en", "s", 3, 0), (2, one, None, None, None, None), (None, two, "en", "s", 1, 1), (None, None, None, None, None, None)]
+    rows += [(3, None, "en", "s", 0, 2), (4, "", "en", "s", 0, 2), (5, two, "en", "s", 9, 3), (5, prose(70), "en", "s", 9, 3), (6, lines, "en", "s", 1, 1), (7, prose(20) + "\n" + lines, "en", "s", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id int")
+    for start in (docs, docs.limit(0)):
+        current = start
+        for name, stage in P.STAGES[:-1]:
+            current = P.stored(stage(spark, current, small), name.replace(" ", "-"))
+            assert current.columns == docs.columns
+        left = sorted(((r["doc_id"], r["text"]) for r in current.collect()), key=repr)
+        pieces = P.STAGES[-1][1](spark, current, small).collect()
+        if start is docs:
+            # two equal rows of one id are one document, and its copy goes; texts without words fail the rules
+            assert [x for x in left if x[0] in (1, 2)] == [(1, one)] * 2 and (None, two) in left
+            assert not {3, 4} & {i for i, _ in left} and sum(i == 5 for i, _ in left) == 2
+            assert dict(left)[6] == lines and len(dict(left)[7]) < 700
+            assert {r["doc_id"] for r in pieces} == {i for i, _ in left}
+        else:
+            assert left == [] and pieces == []

@@ -1,6 +1,11 @@
 """A corpus pipeline of stages, each an operator of ``lodestar.llm``: (name, function of (spark, docs, sf_dir)).
 
 All stages but the last return the columns of ``documents``; where a stage changes a text, n_chars follows it.
+
+Null and empty texts have no words and go with the first stage. Rows whose id is null can't be named: they pass the
+stages that compare documents as they are. Rows that share an id are one document: they stay or go together, so
+rows that agree in id and text both stay, and each is cut by its own text. No rows give no rows. Other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of documents joined by links the smallest id stays."""
+    """N-gram Jaccard join: of documents joined by links the smallest id stays, with all its rows."""
     found = ngram_join.ngram_jaccard_join(docs)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

@@ -204,5 +204,6 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
                 arrays = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64())]
                 arrays += [pa.array(c, t.type) for c, t in zip(columns, list(schema)[2:], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        bpe.forget()  # the worker may serve other operators next
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, spark_schema)

@@ -2,7 +2,8 @@
 
 A step is a map-side combined minimum and an equi-join with it. The minima are dealt out anew before the join, so
 that the join stands alone between exchanges and Spark may split the partition of a vertex with very many
-neighbours. Each round is written to the shared folder, which cuts the lineage; the driver sees only two sums.
+neighbours. Each round is written to the shared folder, which cuts the lineage; the driver sees only two sums. Up to
+``TASK_EDGES`` edges, which are thinned to forests before they are counted, take no rounds: one task joins them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import drop_stored, stored
 
 _EDGES = "a long, b long"
+#: Edges that one task joins by itself.
+TASK_EDGES = 200_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +72,10 @@ def connected_components(edges: DataFrame, thin: bool = True) -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     current = stored(pairs.mapInArrow(_local_forests, _EDGES) if thin else pairs, "edges")
+    if current.count() <= TASK_EDGES:
+        whole = stored(current.coalesce(1).mapInArrow(_local_forests, _EDGES), "edges")
+        drop_stored(current)
+        return _named(whole)
     before = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -85,5 +92,9 @@ def connected_components(edges: DataFrame, thin: bool = True) -> DataFrame:
         if sums == before:
             break
         before = sums
-    roots = current.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
-    return current.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(roots)
+    return _named(current)
+
+
+def _named(forest_: DataFrame) -> DataFrame:
+    roots = forest_.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
+    return forest_.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(roots)

@@ -112,12 +112,13 @@ class ContentTree:
     """Leaves of like documents: k-means, again within each cluster, until a leaf stands for about one shard."""
 
     def __init__(self, sample: np.ndarray, leaves: int):
-        x = sample[np.lexsort(sample.T)].astype(np.float64)
-        self.mean = np.rint(x.mean(axis=0)) if len(x) else np.zeros(DIMS)
+        x = sample[np.lexsort(sample.T)]
+        self.mean = np.rint(x.mean(axis=0, dtype=np.float64)) if len(x) else np.zeros(DIMS)
         self.nodes: list[tuple[np.ndarray, list[int]] | int] = []
         self.leaves = 0
-        x = x - self.mean
-        self._grow(x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9), leaves, 12, np.random.default_rng(0))
+        x = x - self.mean.astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True) + np.float32(1e-9)
+        self._grow(x, leaves, 12, np.random.default_rng(0))
 
     def _grow(self, x: np.ndarray, leaves: int, depth: int, rng: np.random.Generator) -> int:
         at = len(self.nodes)
@@ -131,7 +132,7 @@ class ContentTree:
                     if (label == i).any():
                         centre[i] = x[label == i].mean(axis=0)
                         centre[i] /= np.linalg.norm(centre[i]) + 1e-9
-            centre = np.rint(1024 * centre)  # whole numbers here too: a document's leaf is the same on any machine
+            centre = np.rint(1024 * centre).astype(np.float64)  # whole numbers here too: a document's leaf is the same on any machine
             label = np.argmax(x @ centre.T, axis=1)
             below = []
             for i in range(n):
@@ -256,6 +257,7 @@ def _encoded(path: str, end_id: int, window: int):
                     rest.append(whole[full * window :].tobytes())
                 arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.binary()), pa.array(rest, pa.binary()), pa.array([width] * len(n), pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "doc_tokens", "crcs", "rest", "width"])
+        tokenizer.forget()  # the worker may serve other operators next
 
     return run
 

@@ -188,6 +188,7 @@ def _written(path: str, end_id: int, folder: str, file_ids: int):
                         yield flush()
         if names:
             yield flush()
+        tokenizer.forget()  # the worker may serve other operators next
 
     return run
 

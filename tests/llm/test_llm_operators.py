@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat_format, kernels, line_dedup, links, ngram_join, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
+from lodestar.llm import bpe, chat_format, components, kernels, line_dedup, links, ngram_join, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
 from lodestar.llm.components import connected_components, forest
 from lodestar.llm.tokens import PATTERN, LibraryTokenizer, default_path, plain_words
 
@@ -62,7 +62,7 @@ def test_shingle_sets_of_short_texts():
 # Components
 
 
-def test_components_random(spark):
+def test_components_random(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 3)]
     root = {}
@@ -77,7 +77,8 @@ def test_components_random(spark):
         if a is not None and a != b:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    for thin in (True, False):
+    for thin, most in ((True, 0), (False, 0), (False, 10**6)):
+        monkeypatch.setattr(components, "TASK_EDGES", most)
         found = connected_components(spark.createDataFrame(edges, "a long, b long"), thin)
         assert {r["vertex"]: r["component"] for r in found.collect()} == {v: find(v) for v in root}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat_format, line_dedup, ngram_join, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
+from lodestar.llm import bpe, chat_format, hard_negatives, license_scan, line_dedup, ngram_join, packing, quality_rules, substring_dedup, token_files, topk_search, url_filter
 from lodestar.llm.common import table
 from lodestar.llm.tokens import default_path
 
@@ -58,6 +58,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup,
@@ -70,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_chat_format,
         op10_packing,
+        op11_hard_negatives,
+        op12_license_scan,
     )
     return {f.__name__: f for f in found}
 
@@ -81,4 +93,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op12_license_scan": license_scan.ORACLE_SQL,
     }

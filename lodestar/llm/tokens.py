@@ -158,6 +158,10 @@ class WordEncoder:
         """Whether PATTERN says what a word is."""
         return True
 
+    def _whole_texts(self, raw: np.ndarray) -> np.ndarray:
+        """Places in the buffer whose texts aren't to be split by PATTERN."""
+        return np.zeros(0, np.int64)
+
     def forget(self) -> None:
         """Drops the words remembered, once they are as many as the table holds well."""
         if self._table.used:
@@ -223,6 +227,7 @@ class WordEncoder:
         plain = np.zeros(n, bool)
         if self._splits() and len(raw):
             start, plain = word_starts(raw, rows)
+            plain[np.searchsorted(rows, self._whole_texts(raw), side="right") - 1] = False
             starts = np.flatnonzero(start)
             ends = np.append(starts[1:], len(raw))
             row = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, rows)))
@@ -246,17 +251,19 @@ class WordEncoder:
 class LibraryTokenizer(WordEncoder):
     """Token ids of the tokenizers library as little-endian integers of 2 or 4 bytes.
 
-    Special tokens' strings in a text are ordinary text.
+    A special token's string in a text becomes that token, as in the library; with ``special_as_text`` it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = special_as_text
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [t.content.encode() for t in added if not (special_as_text and t.special)]
         super().__init__("<u2" if self._tokenizer.get_vocab_size() <= 65536 else "<u4")
         splitter = self._tokenizer.pre_tokenizer
         byte_level = isinstance(splitter, pre_tokenizers.ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
@@ -266,6 +273,15 @@ class LibraryTokenizer(WordEncoder):
     def _splits(self) -> bool:
         return self._by_words
 
+    def _whole_texts(self, raw: np.ndarray) -> np.ndarray:
+        text, found = raw.tobytes(), []
+        for token in self._added:
+            at = text.find(token)
+            while at >= 0:
+                found.append(at)
+                at = text.find(token, at + 1)
+        return np.array(found, np.int64)
+
     def _encode_words(self, words: list[bytes]) -> list[list[int]]:
         tokenize, characters = self._tokenizer.model.tokenize, self._characters
         return [[t.id for t in tokenize(w.decode("latin-1").translate(characters))] for w in words]
@@ -277,11 +293,12 @@ class LibraryTokenizer(WordEncoder):
 _loaded: dict = {}
 
 
-def library_tokenizer(path: str) -> LibraryTokenizer:
+def library_tokenizer(path: str, special_as_text: bool = False) -> LibraryTokenizer:
     """One tokenizer for each file and worker process."""
-    if path not in _loaded:
-        _loaded[path] = LibraryTokenizer(path)
-    return _loaded[path]
+    key = path, special_as_text
+    if key not in _loaded:
+        _loaded[key] = LibraryTokenizer(path, special_as_text)
+    return _loaded[key]
 
 
 def default_path(name: str) -> str:

@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -366,7 +367,7 @@ def test_token_output(spark):
 def test_library_tokenizer_random():
     from tokenizers import Tokenizer
 
-    mine, library = LibraryTokenizer(JSON), Tokenizer.from_file(JSON)
+    mine, library = LibraryTokenizer(JSON, special_as_text=True), Tokenizer.from_file(JSON)
     library.encode_special_tokens = True
     rng = random.Random(8)
     plain = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA1, 0x250)]] + [" ", "'", "s", "\n"] * 40
@@ -379,6 +380,38 @@ def test_library_tokenizer_random():
     assert default_path("byte_bpe_50k.json") == JSON
 
 
+SPECIAL = "<|endoftext|>"
+WITH_SPECIAL = [SPECIAL, f"{SPECIAL} cd", f"ab {SPECIAL} cd", f"ab{SPECIAL}cd", f"ab {SPECIAL}", SPECIAL * 3, f"中 {SPECIAL}é", f" {SPECIAL} \n", "<|endoftext", "|> x", f"{SPECIAL[:5]}{SPECIAL}", "plain it's"]
+
+
+def test_special_tokens_as_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    rng = random.Random(2)
+    texts = WITH_SPECIAL + ["".join(rng.choice([SPECIAL, "ab ", "<|", "endoftext", "|>", "中", " ", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(500)]
+    for as_text in (False, True):
+        library.encode_special_tokens = as_text
+        # texts that lie side by side in one buffer, such as "<|endoftext" before "|> x"
+        found = LibraryTokenizer(JSON, special_as_text=as_text).encode(texts)
+        assert [np.frombuffer(x, "<u2").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_in_files_and_windows(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    rows = list(enumerate([*WITH_SPECIAL, " ".join(WITH_SPECIAL) + " word" * 2000]))
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows}
+    found = token_files.token_output(docs(spark, *rows), JSON, end_id=2).collect()
+    assert {r["doc_id"]: r["ids"] for r in found} == {i: [*x, 2] for i, x in ids.items()}
+    pieces = packing.pack_documents(docs(spark, *rows), JSON, end_id=0).collect()
+    assert len({r["doc_id"] for r in pieces}) == len(rows)
+    for r in pieces:
+        own = np.array([*ids[r["doc_id"]], 0], "<u4")
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+
+
 # 5 URLs
 
 

@@ -3,9 +3,9 @@
 The index is four tables: postings, doc_stats, term_stats, corpus_stats. A posting has its chunk's length, and
 postings are stored in order of their terms, so a search reads those of its own terms and nothing else: the terms of
 up to ``FILTER_TERMS`` reach the scan as a filter, more are joined before anything is grouped. Document frequencies are
-counted on these postings. ``search_texts`` does the same straight from texts: the queries' terms are joined to the
-token stream before anything is grouped. It tokenizes each text once; a row of its own for each chunk carries the
-corpus statistics, which are summed by a query.
+counted on these postings. ``search_texts`` does the same straight from texts and tokenizes each text once: within
+tenants the queries' terms are joined to the token stream before anything is grouped, and a row of its own for each chunk
+carries the corpus statistics; without tenants ``block_max`` searches blocks that are made for the queries' terms.
 """
 
 from __future__ import annotations
@@ -125,8 +125,13 @@ def _scores(found: DataFrame, k1: float, b: float, delta: float) -> DataFrame:
 def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, delta: float = DELTA, within: bool = False) -> DataFrame:
     """The same hits straight from texts, without a stored index; frequencies are made for the queries' terms only.
 
-    With ``within`` each query sees the chunks of its own tenant only; frequencies are those of all chunks.
+    Without tenants this is ``block_max``, whose queries end early. With ``within`` each query sees the chunks of its own
+    tenant only; frequencies are those of all chunks.
     """
+    if not within:
+        from lodestar.operators import block_max
+
+        return block_max.search_texts(chunks, queries, k, k1, b, delta)
     terms = query_terms(queries)
     # no token is empty: one row for each chunk, for the statistics
     wanted = broadcast_if_small(terms.select("term").distinct().union(queries.sparkSession.createDataFrame([("",)], "term string")))
@@ -138,9 +143,8 @@ def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = posts.join(broadcast_if_small(counts.select("term", idf(F.lit(n), F.col("df")).alias("idf"))), "term")
     known = known.withColumn("avg_dl", F.lit((total or 0) / n if n else 1.0))
-    if within:
-        known = known.join(chunks.select("chunk_index", "tenant"), "chunk_index")
-    return ranked(_scores(_asked(known, queries, terms, within), k1, b, delta), k)
+    known = known.join(chunks.select("chunk_index", "tenant"), "chunk_index")
+    return ranked(_scores(_asked(known, queries, terms, True), k1, b, delta), k)
 
 
 class NotIndexedError(RuntimeError):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import prompt, text, vector
-from lodestar.operators import budget, chunking, dense, evaluation, fusion, lexical, metrics, rerank
+from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, lexical, metrics, rerank
 from lodestar.operators.vector_index import VectorIndex
 from lodestar.plans.pipeline import Retriever, answer_prompts
 from lodestar.plans.session import materialized, scratch
@@ -258,6 +258,16 @@ def bm25_topk(spark, sf_dir):
     return lexical.search_texts(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), K)
 
 
+@_query(f"WITH {_INDEX}, {_bm25(K)} SELECT {_HIT} FROM bm")
+def block_index_append(spark, sf_dir):
+    """An index of blocks of half the chunks, stored, the other half appended to it, opened again and searched."""
+    folder, rows = scratch(spark, "blocks"), chunks(spark, sf_dir)
+    for half in (0, 1):
+        index = block_max.BlockIndex.build(rows.where(F.col("chunk_index") % 2 == half))
+        index_store.write_tables(index.tables(), folder, append=True)
+    return block_max.load(spark, folder).search(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), K)
+
+
 @_query(f"WITH {_INDEX}, {_bm25(K, 1.2, 0.5, 0.5)} SELECT {_HIT} FROM bm")
 def bm25_params(spark, sf_dir):
     return lexical.search_texts(chunks(spark, sf_dir), asked(spark, sf_dir), K, k1=1.2, b=0.5, delta=0.5)

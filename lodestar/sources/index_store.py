@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,11 @@ SCHEMAS = {
     "vectors": schemas.VECTORS,
     "centroids": schemas.CENTROIDS,
     "chunks": schemas.CHUNKS,
+    "blocks": schemas.BLOCKS,
+    "shards": schemas.SHARDS,
 }
+#: Tables that are laid out in folders by a column, so that a filter on it reads its own.
+FOLDERS = {"blocks": ("bucket",)}
 _MANIFEST = "parts array<string>, tables array<string>, next_index long"
 
 
@@ -72,7 +77,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, append: bool = False
     version = max(_versions(spark, folder), default=0) + 1
     part = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.parquet(f"{folder}/{part}/{name}")
+        df.write.partitionBy(*FOLDERS.get(name, ())).parquet(f"{folder}/{part}/{name}")
     parts = [*(before.parts if before and append else ()), part]
     given = next_index if next_index is not None else before.next_index if before else 0
     row = [(parts, sorted({*tables, *(before.tables if before and append else ())}), given)]
@@ -101,5 +106,7 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None
     out = {}
     for name in found.tables:
         places = [p for part in found.parts if system.exists(path(p := f"{folder}/{part}/{name}"))]
-        out[name] = (spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read).parquet(*places)
+        reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+        # folders below several roots are found one root at a time
+        out[name] = reduce(DataFrame.unionByName, map(reader.parquet, places)) if name in FOLDERS else reader.parquet(*places)
     return out

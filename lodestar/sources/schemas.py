@@ -22,6 +22,8 @@ VECTORS = T.StructType(
     [T.StructField("chunk_index", T.LongType(), False), T.StructField("embedding", T.ArrayType(T.FloatType()), False), T.StructField("list", T.IntegerType(), True)]
 )
 CENTROIDS = T.StructType([T.StructField("list", T.IntegerType(), False), T.StructField("centroid", T.ArrayType(T.DoubleType()), False), T.StructField("probes", T.IntegerType(), False)])
+BLOCKS = "shard string, term string, n long, windows binary, counts binary, max_tf binary, min_dl binary, places binary, tf binary, bucket int"
+SHARDS = "shard string, n long, tokens long, ids binary, lengths binary"
 HITS = T.StructType(
     [
         T.StructField("query_id", T.LongType(), False),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import prompt, text, vector
-from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, lexical, metrics, rerank
+from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, graph_index, lexical, metrics, rerank
 from lodestar.operators.vector_index import VectorIndex
 from lodestar.plans.pipeline import Retriever, answer_prompts
 from lodestar.plans.session import materialized, scratch
@@ -394,6 +394,24 @@ def vector_append(spark, sf_dir):
     return _loaded(spark, folder).search(asked(spark, sf_dir), K, probes=2**31 - 1)
 
 
+@_query()
+def graph_topk(spark, sf_dir):
+    """Approximate search on neighbour graphs that were written and read back."""
+    folder = scratch(spark, "graphs")
+    index_store.write_tables(graph_index.GraphIndex.build(vectors(spark, sf_dir)).tables(), folder)
+    return graph_index.load(spark, folder).search(asked(spark, sf_dir), K)
+
+
+@_query(f"WITH {_COSINE}, {_dense(K)} SELECT {_HIT} FROM de")
+def graph_append(spark, sf_dir):
+    """Graphs of two thirds of the vectors, stored, and graphs of the others appended; small shards are built anew, and beams as wide as the shards are exact."""
+    folder, rows = scratch(spark, "graphs"), vectors(spark, sf_dir)
+    for part in range(3):
+        index = graph_index.GraphIndex.build(rows.where(F.col("chunk_index") % 3 == part))
+        index_store.write_tables(index.tables(), folder, append=True)
+    return graph_index.load(spark, folder).compacted().search(asked(spark, sf_dir), K, ef=2**31 - 1)
+
+
 # Fusion and tenancy
 
 

@@ -30,6 +30,7 @@ SCHEMAS = {
     "chunks": schemas.CHUNKS,
     "blocks": schemas.BLOCKS,
     "shards": schemas.SHARDS,
+    "graphs": schemas.GRAPHS,
 }
 #: Tables that are laid out in folders by a column, so that a filter on it reads its own.
 FOLDERS = {"blocks": ("bucket",)}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import prompt, text, vector
-from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, graph_index, lexical, metrics, rerank
+from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, graph_index, lexical, metrics, rerank, text_vectors
 from lodestar.operators.vector_index import VectorIndex
 from lodestar.plans.pipeline import Retriever, answer_prompts
 from lodestar.plans.session import materialized, scratch
@@ -394,6 +394,31 @@ def vector_append(spark, sf_dir):
     return _loaded(spark, folder).search(asked(spark, sf_dir), K, probes=2**31 - 1)
 
 
+def _embedder(spark: SparkSession, sf_dir: str) -> text_vectors.TextVectors:
+    """Fitted on all documents, stored and loaded again."""
+    folder = scratch(spark, "text-vectors")
+    index_store.write_tables(text_vectors.TextVectors.fit(chunks(spark, sf_dir), DIM).tables(spark), folder)
+    return text_vectors.load(spark, folder)
+
+
+@_query(f"SELECT doc_id AS chunk_index, {DIM}::BIGINT AS dim, (len({_tokens('text')}) > 0)::INT::DOUBLE AS length FROM documents")
+def embed_documents(spark, sf_dir):
+    """Vectors of all documents from their own texts: how many components, and the length."""
+    found = _embedder(spark, sf_dir).embed(chunks(spark, sf_dir))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double")))
+    return found.select("chunk_index", F.size("embedding").cast("long").alias("dim"), F.round(length, 4).alias("length"))
+
+
+@_query()
+def text_hybrid_topk(spark, sf_dir):
+    """Lexical and dense hits fused, both from the texts: questions and documents have vectors by one fitted embedder."""
+    model, rows = _embedder(spark, sf_dir), chunks(spark, sf_dir)
+    asks = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    own = model.embed(asks.select(F.col("query_id").alias("chunk_index"), "text")).withColumnRenamed("chunk_index", "query_id")
+    near = dense.search(model.embed(rows), own, RECALL_K)
+    return fusion.rrf([lexical.search_texts(rows, asks, RECALL_K), near], K, texts=rows)
+
+
 @_query()
 def graph_topk(spark, sf_dir):
     """Approximate search on neighbour graphs that were written and read back."""

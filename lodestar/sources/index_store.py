@@ -31,6 +31,7 @@ SCHEMAS = {
     "blocks": schemas.BLOCKS,
     "shards": schemas.SHARDS,
     "graphs": schemas.GRAPHS,
+    "term_vectors": schemas.TERM_VECTORS,
 }
 #: Tables that are laid out in folders by a column, so that a filter on it reads its own.
 FOLDERS = {"blocks": ("bucket",)}

@@ -25,6 +25,7 @@ CENTROIDS = T.StructType([T.StructField("list", T.IntegerType(), False), T.Struc
 BLOCKS = "shard string, term string, n long, windows binary, counts binary, max_tf binary, min_dl binary, places binary, tf binary, bucket int"
 SHARDS = "shard string, n long, tokens long, ids binary, lengths binary"
 GRAPHS = "shard string, dims int, n long, ef int, ids binary, nodes binary, vectors binary, links binary, entries binary"
+TERM_VECTORS = "feature int, idf double, vector array<double>"
 HITS = T.StructType(
     [
         T.StructField("query_id", T.LongType(), False),

@@ -3,7 +3,7 @@ import pytest
 from lodestar.plans import catalog
 
 # Rows only: approximate by design, its recall has a test of its own; and times.
-WITHOUT_SQL = {"ann_topk", "graph_topk", "ablation_latency"}
+WITHOUT_SQL = {"ann_topk", "graph_topk", "text_hybrid_topk", "ablation_latency"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import prompt, text, vector
-from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, graph_index, lexical, metrics, rerank, text_vectors
+from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, graph_index, lexical, metrics, proximity, rerank, text_vectors
 from lodestar.operators.vector_index import VectorIndex
 from lodestar.plans.pipeline import Retriever, answer_prompts
 from lodestar.plans.session import materialized, scratch
@@ -480,6 +480,34 @@ def rerank_topk(spark, sf_dir):
     return rerank.rerank(lexical.search_texts(rows, asks, RECALL_K), asks, rows, 5)
 
 
+def _proximity(source: str, k: int, name: str = "px") -> str:
+    """Candidates reranked by proximity, with positions as rows."""
+    pair = f"FROM {source} c JOIN {name}_p p ON p.q = c.q JOIN {name}_k x ON x.ci = c.ci AND x.term = p.a JOIN {name}_k y ON y.ci = c.ci AND y.term = p.b"
+    return f"""
+{name}_t AS (SELECT q, {_tokens('text')} AS ts FROM qs),
+{name}_p AS (SELECT DISTINCT q, ts[i] AS a, ts[i + 1] AS b FROM (SELECT q, ts, unnest(range(1, len(ts))) AS i FROM {name}_t)),
+{name}_n AS (SELECT q, count(*) AS n FROM {name}_p GROUP BY q),
+{name}_k AS (SELECT ci, unnest(range(len(ts))) AS pos, unnest(ts) AS term FROM tok WHERE ci IN (SELECT ci FROM {source})),
+{name}_o AS (SELECT q, ci, count(*) AS n FROM (SELECT DISTINCT c.q, c.ci, p.a, p.b {pair} AND y.pos = x.pos + 1) GROUP BY q, ci),
+{name}_u AS (SELECT q, ci, count(*) AS n FROM (SELECT DISTINCT c.q, c.ci, p.a, p.b {pair} AND y.pos <> x.pos AND abs(y.pos - x.pos) < {proximity.WINDOW}) GROUP BY q, ci),
+{name}_s AS (
+  SELECT h.q, h.ci, h.rank AS stage1_pos, round({proximity.TERMS}::DOUBLE * coalesce(len(list_intersect(t.ts, k.ts))::DOUBLE / nullif(len(list_distinct(t.ts)), 0), 0)
+    + {proximity.ORDERED}::DOUBLE * coalesce(o.n::DOUBLE / n.n, 0) + {proximity.NEAR}::DOUBLE * coalesce(u.n::DOUBLE / n.n, 0), 6) AS score
+  FROM {source} h JOIN {name}_t t ON t.q = h.q JOIN tok k ON k.ci = h.ci LEFT JOIN {name}_n n ON n.q = h.q
+  LEFT JOIN {name}_o o ON o.q = h.q AND o.ci = h.ci LEFT JOIN {name}_u u ON u.q = h.q AND u.ci = h.ci
+),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, stage1_pos) AS rank FROM {name}_s QUALIFY rank <= {k})"""
+
+
+@_query(f"WITH {_INDEX}, {_bm25(RECALL_K)}, {_proximity('bm', 5)} SELECT {_HIT}, stage1_pos::BIGINT AS stage1_pos FROM px")
+def proximity_rerank(spark, sf_dir):
+    """Lexical candidates reranked by how their terms stand to each other, from an index of positions that was stored."""
+    asks, rows, folder = asked(spark, sf_dir), chunks(spark, sf_dir), scratch(spark, "positions")
+    index_store.write_tables({"positions": proximity.positions(rows)}, folder)
+    found = materialized(lexical.search_texts(rows, asks, RECALL_K), "candidates")
+    return proximity.rerank(found, asks, index_store.read_tables(spark, folder)["positions"], 5)
+
+
 @_query(
     "SELECT vec_id AS chunk_index, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS one_label, "
     "round(exp(embedding[2]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)), 6) AS two_labels FROM embeddings"

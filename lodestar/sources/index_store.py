@@ -32,6 +32,7 @@ SCHEMAS = {
     "shards": schemas.SHARDS,
     "graphs": schemas.GRAPHS,
     "term_vectors": schemas.TERM_VECTORS,
+    "positions": schemas.POSITIONS,
 }
 #: Tables that are laid out in folders by a column, so that a filter on it reads its own.
 FOLDERS = {"blocks": ("bucket",)}

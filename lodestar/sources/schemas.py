@@ -26,6 +26,7 @@ BLOCKS = "shard string, term string, n long, windows binary, counts binary, max_
 SHARDS = "shard string, n long, tokens long, ids binary, lengths binary"
 GRAPHS = "shard string, dims int, n long, ef int, ids binary, nodes binary, vectors binary, links binary, entries binary"
 TERM_VECTORS = "feature int, idf double, vector array<double>"
+POSITIONS = "term string, chunk_index long, positions array<int>"
 HITS = T.StructType(
     [
         T.StructField("query_id", T.LongType(), False),

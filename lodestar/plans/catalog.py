@@ -283,13 +283,25 @@ _RARE = " UNION ALL ".join(
 )
 
 
+def _among(planted: str) -> str:
+    """CTEs that make ``documents`` the given ones and the planted texts (doc_id, text), numbered behind them."""
+    return f"given AS (SELECT doc_id, text FROM documents), documents AS (SELECT * FROM given UNION ALL SELECT m + 1 + doc_id, text FROM ({planted}), (SELECT max(doc_id) AS m FROM given))"
+
+
+def _planted(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """The given chunks and the few planted ones (chunk_index, text), numbered behind them."""
+    given = chunks(spark, sf_dir).select("chunk_index", "text")
+    behind = given.agg(F.max("chunk_index")).first()[0] + 1
+    return materialized(given.unionByName(rows.select((F.col("chunk_index") + behind).alias("chunk_index"), "text")), "planted")
+
+
 @_query(
-    f"WITH documents AS ({_RARE}), benchmark AS (SELECT 0 AS item_id, {_sql_text(corpora.RARE_KEYWORD)} AS text), {_INDEX}, {_bm25(RECALL_K)} "
+    f"WITH {_among(_RARE)}, benchmark AS (SELECT 0 AS item_id, {_sql_text(corpora.RARE_KEYWORD)} AS text), {_INDEX}, {_bm25(RECALL_K)} "
     f"SELECT q::BIGINT AS query_id, min(rank)::BIGINT AS first_rank, count(*)::BIGINT AS n_found FROM bm JOIN documents ON doc_id = ci WHERE contains(text, {_sql_text(corpora.RARE_KEYWORD)}) GROUP BY q"
 )
 def rare_keyword_rank(spark, sf_dir):
-    """At which rank lexical search first finds a chunk that names the rare keyword."""
-    rows = corpora.rare_keyword(spark)
+    """At which rank lexical search first finds a chunk that names the rare keyword, in a set planted among all documents."""
+    rows = _planted(spark, sf_dir, corpora.rare_keyword(spark))
     question = spark.createDataFrame([(0, corpora.RARE_KEYWORD)], "query_id long, text string")
     hits = lexical.search_texts(rows, question, RECALL_K).join(rows, "chunk_index").where(F.contains(F.col("text"), F.lit(corpora.RARE_KEYWORD)))
     return hits.groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n_found"))
@@ -300,13 +312,14 @@ _TRAP_ASKS = " UNION ALL ".join(f"SELECT {i}::BIGINT AS item_id, {_sql_text(q)}
 
 
 @_query(
-    f"WITH documents AS ({_TRAP}), benchmark AS ({_TRAP_ASKS}), {_INDEX}, {_bm25(5)} "
+    f"WITH {_among(_TRAP)}, benchmark AS ({_TRAP_ASKS}), {_INDEX}, {_bm25(5)} "
     "SELECT q AS query_id, count(*) FILTER (len(list_filter(b.keywords, lambda k: contains(lower(d.text), k))) > 0)::BIGINT AS n_hits, count(*)::BIGINT AS n_found "
     "FROM bm JOIN documents d ON d.doc_id = ci JOIN benchmark b ON b.item_id = q GROUP BY q"
 )
 def trap_recall(spark, sf_dir):
-    """On the trap set, how many of the first five hits hold a keyword of the answer."""
+    """With the trap set planted among all documents, how many of the first five hits hold a keyword of the answer."""
     rows, asks = corpora.trap(spark)
+    rows = _planted(spark, sf_dir, rows)
     hits = lexical.search_texts(rows, asks.select("query_id", "text"), 5).join(rows, "chunk_index").join(asks.select("query_id", "keywords"), "query_id")
     return hits.groupBy("query_id").agg(F.count_if(text.contains_any(F.col("text"), F.col("keywords"))).alias("n_hits"), F.count(F.lit(1)).alias("n_found"))
 
@@ -324,11 +337,14 @@ def keyword_recall(spark, sf_dir):
 
 
 @_query(
-    f"SELECT i AS chunk_index, '[' || i || '] ' || [{', '.join(map(_sql_text, corpora.TOPICS))}][i % 10 + 1] || ': ' || "
-    f"[{', '.join(map(_sql_text, corpora.VARIATIONS))}][(i // 10) % 10 + 1] AS text FROM range(100) r(i)"
+    f"SELECT doc_id AS chunk_index, '[' || i || '] ' || [{', '.join(map(_sql_text, corpora.TOPICS))}][i % 10 + 1] || ': ' || "
+    f"[{', '.join(map(_sql_text, corpora.VARIATIONS))}][(i // 10) % 10 + 1] AS text FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)"
 )
 def synthetic_corpus(spark, sf_dir):
-    return corpora.synthetic(spark, 100)
+    """A made text for each document, numbered by the documents' ids."""
+    docs = registry.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", [], 0)
+    made = corpora.synthetic(spark, docs.count()).withColumnRenamed("chunk_index", "_i")
+    return docs.join(made, F.col("chunk_index") == F.col("_i")).select(F.col("doc_id").alias("chunk_index"), "text")
 
 
 # Vectors
@@ -551,7 +567,6 @@ def pack_budget(spark, sf_dir):
     return kept.select("query_id", F.col("x.chunk_index").alias("chunk_index"), F.col("x.rank").alias("place"), used.alias("used"))
 
 
-_BUDGET_QUERY = "Which chunks fit?"
 _BUDGET = " UNION ALL ".join(
     f"SELECT {sum(c[0] for c in corpora.BUDGET_CHUNKS[:n])} + i AS doc_id, trim(repeat('word ', {words})) AS text, round({best}::DOUBLE - i * {step}::DOUBLE, 4) AS score FROM range({count}) r(i)"
     for n, (count, words, best, step) in enumerate(corpora.BUDGET_CHUNKS)
@@ -559,14 +574,15 @@ _BUDGET = " UNION ALL ".join(
 
 
 @_query(
-    f"WITH RECURSIVE documents AS ({_BUDGET}), qs AS (SELECT 0::BIGINT AS q, {_sql_text(_BUDGET_QUERY)} AS text), src AS (SELECT 0::BIGINT AS q, doc_id AS ci, score, doc_id + 1 AS rank FROM documents), "
+    f"WITH RECURSIVE documents AS ({_BUDGET}), qs AS (SELECT item_id AS q, text FROM benchmark), src AS (SELECT q, doc_id AS ci, score, doc_id + 1 AS rank FROM documents, qs), "
     f"{_PACK.replace('@SOURCE', 'src')} SELECT q AS query_id, ci::BIGINT AS chunk_index, used::BIGINT AS used FROM fold WHERE kept"
 )
 def budget_set(spark, sf_dir):
-    """Which of a few long and many short chunks fit a window of 1024 words."""
+    """Which of a few long and many short chunks fit a window of 1024 words beside each question."""
     rows = corpora.budget_chunks(spark)
-    asks = spark.createDataFrame([(0, _BUDGET_QUERY)], "query_id long, text string")
-    found = rows.select(F.lit(0).cast("long").alias("query_id"), "chunk_index", "score", (F.col("chunk_index") + 1).alias("rank"))
+    asks = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    few = F.broadcast(rows.select("chunk_index", "score", (F.col("chunk_index") + 1).alias("rank")))  # 20 rows
+    found = asks.select("query_id").crossJoin(few)
     kept = budget.pack(found, asks, rows.select("chunk_index", "text"), prompt.SYSTEM_PROMPT, WINDOW, GENERATION).select("query_id", F.posexplode("kept").alias("_i", "x"), "kept")
     used = F.aggregate(F.slice("kept", 1, F.col("_i") + 1), F.lit(0).cast("long"), lambda n, x: n + x["cost"])
     return kept.select("query_id", F.col("x.chunk_index").alias("chunk_index"), used.alias("used"))

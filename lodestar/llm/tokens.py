@@ -10,6 +10,7 @@ texts go through the library whole.
 from __future__ import annotations
 
 import re
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -172,17 +173,18 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """Numbers for words that aren't known yet."""
-        first = self._n_words
-        for ids in self._encode_words(words):
-            while self._n_ids + len(ids) > len(self._ids):
-                self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
-            if self._n_words == len(self._begin):
-                self._begin, self._count = (np.concatenate((x, np.zeros_like(x))) for x in (self._begin, self._count))
-            self._ids[self._n_ids : self._n_ids + len(ids)] = ids
-            self._begin[self._n_words], self._count[self._n_words] = self._n_ids, len(ids)
-            self._n_ids += len(ids)
-            self._n_words += 1
-        return np.arange(first, self._n_words, dtype=np.int32)
+        first, new = self._n_words, self._encode_words(words)
+        count = np.fromiter(map(len, new), np.int64, len(new))
+        end = np.cumsum(count)
+        n_ids, n_words = self._n_ids + int(count.sum()), first + len(new)
+        while n_ids > len(self._ids):
+            self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
+        while n_words > len(self._begin):
+            self._begin, self._count = (np.concatenate((x, np.zeros_like(x))) for x in (self._begin, self._count))
+        self._ids[self._n_ids : n_ids] = np.fromiter(chain.from_iterable(new), self.dtype, n_ids - self._n_ids)
+        self._begin[first:n_words], self._count[first:n_words] = self._n_ids + end - count, count
+        self._n_ids, self._n_words = n_ids, n_words
+        return np.arange(first, n_words, dtype=np.int32)
 
     def _numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each word."""
@@ -199,7 +201,8 @@ class WordEncoder:
             if (pairs[at][back] != pairs).any():  # two words of one hash: told apart by their bytes
                 _, at, back = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
             at = new[at]
-            numbers = self._learn([raw[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            whole = raw.tobytes()
+            numbers = self._learn([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             self._table.add(low[at], high[at], numbers)
             out[new] = numbers[back.reshape(-1)]
         long = np.flatnonzero(longer).tolist()
@@ -283,8 +286,10 @@ class LibraryTokenizer(WordEncoder):
         return np.array(found, np.int64)
 
     def _encode_words(self, words: list[bytes]) -> list[list[int]]:
-        tokenize, characters = self._tokenizer.model.tokenize, self._characters
-        return [[t.id for t in tokenize(w.decode("latin-1").translate(characters))] for w in words]
+        tokenize = self._tokenizer.model.tokenize
+        # a byte is one character, so the words' bounds are those of their bytes
+        text, ends = b"".join(words).decode("latin-1").translate(self._characters), list(accumulate(map(len, words)))
+        return [[t.id for t in tokenize(text[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _encode_others(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -1,4 +1,4 @@
-"""Declared schemas, and requests and responses with the interface's fixed field names and defaults."""
+"""Declared schemas, and requests and responses. Their field names and defaults, which are the interface."""
 
 from __future__ import annotations
 

@@ -768,6 +768,38 @@ def ingest_search(spark, sf_dir):
     return store.restore(spark, folder).index.search(asked(spark, sf_dir), K)
 
 
+def _remaining(order: str) -> str:
+    """A search of the stored chunks, numbered in that order, when a tenant's are deleted."""
+    return (
+        f"WITH RECURSIVE {_BOUNDARIES}, src AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY doc_id, grp ORDER BY pos) AS i, sentence FROM gr), {_fold('src')}, "
+        f"nb AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS chunk_index, doc_id, text FROM ch), "
+        f"st AS (SELECT nb.chunk_index, nb.text FROM nb JOIN documents d ON d.doc_id = nb.doc_id WHERE d.source <> '{TENANT}'), "
+        f"{_index('st', 'chunk_index')}, {_bm25(K)} SELECT {_HIT} FROM bm"
+    )
+
+
+@_query(_remaining("doc_id, grp, chunk"))
+def delete_search(spark, sf_dir):
+    """A stored corpus searched after a tenant's chunks were deleted from it, statistics included."""
+    folder = scratch(spark, "corpus")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tenant"), "text")
+    store.ingest(docs, folder, threshold=CHUNK_THRESHOLD, max_tokens=CHUNK_TOKENS)
+    store.delete_tenant(spark, folder, TENANT)
+    return store.restore(spark, folder).index.search(asked(spark, sf_dir), K)
+
+
+@_query(_remaining("doc_id % 2, doc_id, grp, chunk"))
+def compacted_search(spark, sf_dir):
+    """A corpus stored in two parts, a tenant deleted, and the parts merged without its rows."""
+    folder = scratch(spark, "corpus")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tenant"), "text")
+    for half in (0, 1):
+        store.ingest(docs.where(F.col("doc_id") % 2 == half), folder, threshold=CHUNK_THRESHOLD, max_tokens=CHUNK_TOKENS)
+    store.delete_tenant(spark, folder, TENANT)
+    store.compact(spark, folder)
+    return store.restore(spark, folder).index.search(asked(spark, sf_dir), K)
+
+
 @_query("SELECT count(DISTINCT source)::BIGINT AS active_tenants FROM documents")
 def active_tenants(spark, sf_dir):
     return registry.active_tenants(registered(spark, sf_dir))

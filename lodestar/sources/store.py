@@ -1,4 +1,4 @@
-"""A stored corpus: ingest of documents, deletion of a tenant, restore after a restart.
+"""A stored corpus: ingest of documents, deletion of a tenant, compaction, restore after a restart.
 
 Ingest chunks the documents, numbers the chunks on from the highest id ever given, and appends chunks, postings,
 lengths and (with an embedder) vectors as one part, so it costs what the new documents cost. Document
@@ -68,18 +68,27 @@ def ingest(
         stored = restore(spark, folder)
         known = stored.vector_index if stored else None
         tables |= {"vectors": known.added(vectors)} if known else VectorIndex.build(vectors).tables()
-    index_store.write_tables(tables, folder, append=True, next_index=start + n)
+    # ids were given on from this version, so no other may have come in between
+    index_store.write_tables(tables, folder, append=True, next_index=start + n, expected=before.version if before else 0)
     return n
 
 
 def delete_tenant(spark: SparkSession, folder: str, tenant: str) -> int:
-    """Takes a tenant's chunks out of every table; returns how many there were. Their ids aren't given again."""
-    tables = index_store.read_tables(spark, folder)
-    if tables is None:
+    """Takes a tenant's chunks out of every table; returns how many there were. Their ids aren't given again.
+
+    Only the ids are written; the rows stay on disk, unseen, until ``compact`` and then ``index_store.purge``.
+    """
+    found = index_store.current(spark, folder)
+    if found is None:
         return 0
-    gone = tables["chunks"].where(F.col("tenant") == tenant).select("chunk_index")
+    chunks = index_store.read_tables(spark, folder, found)["chunks"]
+    gone = chunks.where(F.col("tenant") == tenant).select("chunk_index")
     n = gone.count()
     if n:
-        kept = {name: df.join(gone, "chunk_index", "left_anti").select(*df.columns) if "chunk_index" in df.columns else df for name, df in tables.items()}
-        index_store.write_tables(kept, folder)
+        index_store.delete_rows(gone, folder, found.version)
     return n
+
+
+def compact(spark: SparkSession, folder: str, small_bytes: int = index_store.SMALL_PART, lost_share: float = 0.2) -> int:
+    """Merges small parts and those that have lost many rows; returns how many were replaced. Searches give the same."""
+    return index_store.compact(spark, folder, small_bytes, lost_share)

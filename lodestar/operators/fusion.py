@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.registry import BUCKET, of_tenants
+
 RRF_K = 60
 #: Fused scores are ranked at this many digits and given at SCORE_DIGITS.
 RANK_DIGITS, SCORE_DIGITS = 12, 6
@@ -39,10 +41,12 @@ def rrf(lists: list[DataFrame], k: int = 10, rrf_k: int = RRF_K, texts: DataFram
 def visible(hits: DataFrame, queries: DataFrame, registry: DataFrame, legacy: bool = False) -> DataFrame:
     """Hits on chunks of the query's own tenant, ranks made dense again; a query without a tenant keeps all.
 
-    A tenant without chunks sees nothing; with ``legacy`` it sees everything.
+    A tenant without chunks sees nothing; with ``legacy`` it sees everything. Of a registry that lies in folders by tenant
+    only those of the queries' tenants are read.
     """
     asked = queries.select("query_id", F.col("tenant").alias("_tenant"))
-    owned = registry.select("chunk_index", F.col("tenant").alias("_tenant"))
+    owned = of_tenants(registry, queries) if BUCKET in registry.columns else registry
+    owned = owned.select("chunk_index", F.col("tenant").alias("_tenant"))
     named = hits.join(asked, "query_id")
     open_ = F.col("_tenant").isNull()
     if legacy:

@@ -731,6 +731,27 @@ def tenant_indices(spark, sf_dir):
     return registry.indices_of(registered(spark, sf_dir), TENANT)
 
 
+def _in_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry written in two goes in folders by tenant, and read back."""
+    folder, rows = scratch(spark, "registry"), registered(spark, sf_dir)
+    for half in (0, 1):
+        registry.write(rows.where(F.col("chunk_index") % 2 == half), folder, append=True)
+    return spark.read.parquet(folder)
+
+
+@_query(f"WITH {_REGISTRY} SELECT * FROM reg WHERE tenant = '{TENANT}' ORDER BY chunk_index")
+def tenant_folder_scan(spark, sf_dir):
+    """One tenant's chunks from a registry that lies in folders by tenant."""
+    return registry.by_tenant(_in_folders(spark, sf_dir), TENANT)
+
+
+@_query(f"WITH {_INDEX}, {_bm25(RECALL_K)}, {_own('bm', 'bm_own')} SELECT {_HIT} FROM bm_own")
+def tenant_folder_filter(spark, sf_dir):
+    """Lexical hits on the queries' own tenants' chunks, with the registry in folders by tenant."""
+    asks = asked(spark, sf_dir)
+    return fusion.visible(lexical.search_texts(chunks(spark, sf_dir), asks, RECALL_K), asks, _in_folders(spark, sf_dir))
+
+
 @_query(f"WITH {_REGISTRY} SELECT count(*)::BIGINT AS n_chunks, coalesce(max(chunk_index), -1)::BIGINT AS max_index FROM reg")
 def registry_stats(spark, sf_dir):
     return registry.stats(registered(spark, sf_dir))

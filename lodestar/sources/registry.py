@@ -1,20 +1,52 @@
-"""The tenanted chunk registry as a DataFrame: (chunk_index, tenant, text, created_at)."""
+"""The tenanted chunk registry as a DataFrame: (chunk_index, tenant, text, created_at).
+
+``write`` lays it out in folders by a hash of the tenant, as many however many tenants there are, and in order of tenants
+in each. Read back by ``spark.read.parquet`` it has the column ``tenant_bucket``; scans of one tenant then read that tenant's
+folder, and joins with the tenants of some requests read theirs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.plans.session import broadcast_if_small, materialized
 
+#: The folders' column, and how many there are. Both belong to the layout: tables that are stored have been written by them.
+BUCKET, BUCKETS = "tenant_bucket", 256
+
+
+def bucket(tenant: Column) -> Column:
+    """The folder of a tenant's chunks."""
+    return F.pmod(F.xxhash64(tenant), F.lit(BUCKETS)).cast("int")
+
 
 def all_chunks(registry: DataFrame) -> DataFrame:
     return registry.orderBy("chunk_index")
 
 
 def by_tenant(registry: DataFrame, tenant: str) -> DataFrame:
-    """One tenant's chunks; on a registry partitioned by tenant only its folder is read."""
-    return registry.where(F.col("tenant") == tenant).orderBy("chunk_index")
+    """One tenant's chunks; of a registry laid out by ``write`` only one folder is read."""
+    return _of(registry, tenant).orderBy("chunk_index")
+
+
+def _of(registry: DataFrame, tenant: str) -> DataFrame:
+    rows = registry.where(F.col("tenant") == tenant)
+    return rows.where(F.col(BUCKET) == bucket(F.lit(tenant))).drop(BUCKET) if BUCKET in registry.columns else rows
+
+
+def of_tenants(registry: DataFrame, tenants: DataFrame) -> DataFrame:
+    """The chunks of any of the tenants (tenant); of a registry laid out by ``write`` only their folders are read.
+
+    Which these are is found at run time, where the tenants are few enough to be broadcast. Nulls are no tenant's.
+    """
+    # the comparison is true of every tenant: Spark prunes folders only by a side that has a filter
+    wanted = tenants.select("tenant").where("tenant >= ''").distinct()
+    if BUCKET not in registry.columns:
+        return registry.join(broadcast_if_small(wanted), "tenant", "left_semi").select(*registry.columns)
+    wanted = wanted.withColumn(BUCKET, bucket(F.col("tenant")))
+    rows = registry.join(broadcast_if_small(wanted), [BUCKET, "tenant"], "left_semi")
+    return rows.select(*(c for c in registry.columns if c != BUCKET))
 
 
 def indices_of(registry: DataFrame, tenant: str) -> DataFrame:
@@ -62,5 +94,8 @@ def append(registry: DataFrame, new: DataFrame, key: str, ties: list[str]) -> Da
     return registry.unionByName(numbered(new, key, ties, highest + 1).select(*registry.columns))
 
 
-def write(registry: DataFrame, path: str) -> None:
-    registry.write.partitionBy("tenant").parquet(path)
+def write(registry: DataFrame, path: str, append: bool = False) -> None:
+    """Writes the registry in folders by tenant; a tenant with very many chunks is spread over several files."""
+    order = (BUCKET, "tenant", "chunk_index")
+    rows = registry.withColumn(BUCKET, bucket(F.col("tenant"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("append" if append else "error").partitionBy(BUCKET).parquet(path)

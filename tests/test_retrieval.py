@@ -265,7 +265,7 @@ def test_registry(spark, tmp_path):
     assert all(r["chunk_index"] == r["doc_id"] + 10 for r in ids.collect())
     registry.write(rows, f"{tmp_path}/registry")
     plan = registry.by_tenant(spark.read.parquet(f"{tmp_path}/registry"), "u1")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(tenant" in plan
+    assert "PartitionFilters: [isnotnull(tenant_bucket" in plan
 
 
 def test_corpora(spark, tmp_path):

@@ -5,9 +5,10 @@ depend on content alone and agree again one line after an insertion. A chunk of
 before, in ids ascending, is removed after its bytes have been compared with the first occurrence's.
 
 What is counted globally is light rows (hash, id, chunk number), written once and combined before they are shuffled,
-so a chunk that a third of all documents hold costs one row per task. The first occurrences are dealt out anew
-before the rows are joined with them, so that Spark may split that join where a chunk is in very many documents. Texts
-are cut into chunks once for all documents, and again only where a first occurrence or a removal lies.
+so a chunk that a third of all documents hold costs one row per task. The two joins with the first occurrences share
+one partitioning by the chunk's hash; unless Spark broadcasts the first occurrences, the light rows of one very common
+chunk meet in one task there. Texts are cut into chunks once for all documents, and again only where a first occurrence
+or a removal lies.
 
 A null text stays null. A text whose chunks all go is an empty string. Rows that share an id count as one
 document. Rows with a null id are never removed from.

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators.block_max import BlockIndex
+from lodestar.operators.models import hashed_embedding
 from lodestar.sources import index_store, store
 
 SCHEMA = "doc_id long, tenant string, text string"
@@ -177,3 +178,20 @@ def test_a_corpus_of_many_small_parts(spark, tmp_path):
     assert seen() == before
     assert store.ingest(spark.createDataFrame([(9, "a", texts[0])], SCHEMA), folder) == 1
     assert [r[0] for r in seen()[0]] == [1, 3, 4]
+
+
+def test_vectors_are_compacted_too(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    for i, (tenant, text) in enumerate((("a", "solar cells"), ("b", "salt the pasta"), ("b", "lug nuts"))):
+        store.ingest(spark.createDataFrame([(i, tenant, text)], SCHEMA), folder, hashed_embedding)
+    store.delete_tenant(spark, folder, "a")
+    asks = spark.createDataFrame([(0, "solar pasta nuts")], "query_id long, text string").withColumn("embedding", hashed_embedding(F.col("text")))
+
+    def seen():
+        corpus = store.restore(spark, folder)
+        return [sorted(map(str, df.collect())) for df in (corpus.vectors, corpus.vector_index.centroids, corpus.vector_index.search(asks, 3, probes=9))]
+
+    before = seen()
+    assert len(before[0]) == len(before[2]) == 2
+    assert store.compact(spark, folder) == 3 and seen() == before
+    assert len(index_store.current(spark, folder).parts) == 1

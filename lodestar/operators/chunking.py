@@ -3,6 +3,9 @@
 An embedder is injected as a function of a sentence column to any column, with a similarity of two such
 columns. The built-in pair compares the sets of tokens; a model goes through a pandas UDF that gives vectors,
 with ``functions.vector.cosine``.
+
+All of a document lies in one row, so ``semantic_chunks`` with the built-in pair makes its chunks there, by array
+functions and without a shuffle. An injected embedder needs a row for each sentence, and its way groups them again.
 """
 
 from __future__ import annotations
@@ -60,14 +63,15 @@ def split_by_tokens(parts: Column, max_tokens: int = MAX_TOKENS, count: Callable
 
     A sentence that alone has more is cut into slices of 64 words; the slices' own counts aren't looked at again.
     """
+    counted = F.transform(parts, lambda s: F.struct(s.alias("sentence"), count(s).alias("n")))
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("done"), empty.alias("open"), F.lit(0).cast("long").alias("n"))
 
     def flush(state: Column) -> Column:
         return F.when(F.size(state["open"]) > 0, F.concat(state["done"], F.array(F.array_join(state["open"], " ")))).otherwise(state["done"])
 
-    def step(state: Column, sentence: Column) -> Column:
-        n = count(sentence)
+    def step(state: Column, x: Column) -> Column:
+        sentence, n = x["sentence"], x["n"].cast("long")
         over = (state["n"] + n > max_tokens) & (F.size(state["open"]) > 0)
         done = F.when(over, flush(state)).otherwise(state["done"])
         kept, held = F.when(over, empty).otherwise(state["open"]), F.when(over, F.lit(0).cast("long")).otherwise(state["n"])
@@ -78,18 +82,40 @@ def split_by_tokens(parts: Column, max_tokens: int = MAX_TOKENS, count: Callable
             F.when(long, held).otherwise(held + n).alias("n"),
         )
 
-    return F.aggregate(parts, start, step, flush)
+    return F.aggregate(counted, start, step, flush)
+
+
+def local_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, groups): a document's sentences in runs from one boundary to the next, an array of arrays, made in its own row.
+
+    A null, empty or blank text has no groups. Rows that share an id are documents of their own.
+    """
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", split_sentences(F.col("text")).alias("_s"))
+    rows = rows.withColumn("_v", F.transform("_s", token_set))
+    unlike = lambda i: F.round(set_cosine(F.get(F.col("_v"), i - 1), F.get(F.col("_v"), i)), SIMILARITY_DIGITS) < threshold
+    places = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_b", F.filter(places, lambda i: (i == 0) | unlike(i)))
+    run = lambda at, j: F.slice("_s", at + 1, F.coalesce(F.get(F.col("_b"), j + 1), F.size("_s")) - at)
+    return rows.select("doc_id", F.transform("_b", run).alias("groups"))
 
 
 def semantic_chunks(
     docs: DataFrame,
     threshold: float = THRESHOLD,
     max_tokens: int = MAX_TOKENS,
-    embed: Callable[[Column], Column] = token_set,
+    embed: Callable[[Column], Column] | None = None,
     similarity: Callable[[Column, Column], Column] = set_cosine,
     count: Callable[[Column], Column] = word_count,
 ) -> DataFrame:
     """(doc_id, pos, text): groups, with those over ``max_tokens`` split."""
+    if embed is None:
+        found = local_groups(docs, threshold)
+
+        def parts_of(g: Column) -> Column:
+            return F.when(count(F.array_join(g, " ")) <= max_tokens, F.array(F.array_join(g, " "))).otherwise(split_by_tokens(g, max_tokens, count))
+
+        rows = found.select("doc_id", F.posexplode(F.flatten(F.transform("groups", parts_of))).alias("pos", "text"))
+        return rows.withColumn("pos", F.col("pos").cast("long"))
     found = groups(boundaries(docs, threshold, embed, similarity))
     parts = F.when(count(F.col("text")) <= max_tokens, F.array("text")).otherwise(split_by_tokens(F.col("sentences"), max_tokens, count))
     rows = found.select("doc_id", "grp", F.posexplode(parts).alias("_i", "text"))

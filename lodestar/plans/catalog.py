@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import prompt, text, vector
-from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, graph_index, lexical, metrics, proximity, rerank, text_vectors
+from lodestar.functions import prompt, sql, subwords, text, vector
+from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, graph_index, lexical, metrics, proximity, rerank, telemetry, text_vectors
 from lodestar.operators.vector_index import VectorIndex
 from lodestar.plans.pipeline import Retriever, answer_prompts
 from lodestar.plans.session import materialized, scratch
@@ -561,12 +561,46 @@ def pack_budget(spark, sf_dir):
     """Which candidates fit a window of 1024 words, each with its place by score and the words used so far."""
     rows, asks = chunks(spark, sf_dir), asked(spark, sf_dir)
     found = Retriever(rows, vectors(spark, sf_dir)).candidates(asks)
-    packed = budget.pack(found, asks, rows, prompt.SYSTEM_PROMPT, WINDOW, GENERATION)
+    return _places(budget.pack(found, asks, rows, prompt.SYSTEM_PROMPT, WINDOW, GENERATION))
+
+
+def _places(packed: DataFrame) -> DataFrame:
     kept = packed.select("query_id", F.posexplode("kept").alias("_i", "x"), "kept")
     used = F.aggregate(F.slice("kept", 1, F.col("_i") + 1), F.lit(0).cast("long"), lambda n, x: n + x["cost"])
     return kept.select("query_id", F.col("x.chunk_index").alias("chunk_index"), F.col("x.rank").alias("place"), used.alias("used"))
 
 
+def _vocabulary_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query()
+def subword_budget(spark, sf_dir):
+    """Which candidates fit a window of 1024 subwords: the places of ``pack_budget`` with a model's own counts."""
+    rows, asks = chunks(spark, sf_dir), asked(spark, sf_dir)
+    found = Retriever(rows, vectors(spark, sf_dir)).candidates(asks)
+    return _places(budget.pack(found, asks, rows, prompt.SYSTEM_PROMPT, WINDOW, GENERATION, count=subwords.subword_count(_vocabulary_file())))
+
+
+@_query(_ORACLE["pack_budget"])
+def sql_pack_budget(spark, sf_dir):
+    """``pack_budget`` by the packer for SQL text."""
+    rows, asks = chunks(spark, sf_dir), asked(spark, sf_dir)
+    found = Retriever(rows, vectors(spark, sf_dir)).candidates(asks)
+    sql.register(spark)
+    return spark.sql(
+        "WITH c AS (SELECT q.query_id, h.chunk_index, h.score, h.rank, word_count(d.text) AS cost, :room - word_count(:system) - word_count(q.text) AS available "
+        "FROM {hits} h JOIN {asks} q ON q.query_id = h.query_id JOIN {rows} d ON d.chunk_index = h.chunk_index) "
+        "SELECT * FROM pack_budget(TABLE(c) PARTITION BY query_id ORDER BY (score DESC, rank))",
+        args={"room": WINDOW - GENERATION, "system": prompt.SYSTEM_PROMPT},
+        hits=found,
+        asks=asks,
+        rows=rows,
+    )
+
+
 _BUDGET = " UNION ALL ".join(
     f"SELECT {sum(c[0] for c in corpora.BUDGET_CHUNKS[:n])} + i AS doc_id, trim(repeat('word ', {words})) AS text, round({best}::DOUBLE - i * {step}::DOUBLE, 4) AS score FROM range({count}) r(i)"
     for n, (count, words, best, step) in enumerate(corpora.BUDGET_CHUNKS)
@@ -711,6 +745,18 @@ def semantic_chunks(spark, sf_dir):
     return chunking.semantic_chunks(table(spark, sf_dir, "documents"), CHUNK_THRESHOLD, CHUNK_TOKENS)
 
 
+@_query(_ORACLE["semantic_chunks"])
+def sql_semantic_chunks(spark, sf_dir):
+    """The chunker called from SQL text. OUTER keeps Spark from making the chunks once more to filter texts without any."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT doc_id, CAST(pos AS BIGINT) AS pos, chunk AS text FROM (SELECT doc_id, semantic_chunks(text, CAST(:threshold AS DOUBLE), :tokens) AS cs FROM {docs}) "
+        "LATERAL VIEW OUTER posexplode(cs) e AS pos, chunk WHERE chunk IS NOT NULL",
+        args={"threshold": CHUNK_THRESHOLD, "tokens": CHUNK_TOKENS},
+        docs=table(spark, sf_dir, "documents"),
+    )
+
+
 # Registry
 
 _REGISTRY = f"reg AS (SELECT doc_id AS chunk_index, source AS tenant, text, TIMESTAMP '{CREATED}' AS created_at FROM documents)"
@@ -1015,3 +1061,26 @@ def metrics_text(spark, sf_dir):
     """The histogram as a scraper reads it."""
     rows = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("seconds"))
     return metrics.exposition("event_seconds", rows, ["event_type"], "seconds", "Seconds of events").select("line")
+
+
+@_query(
+    f"WITH RECURSIVE {_SENTENCES}, src AS (SELECT doc_id, 0 AS grp, pos + 1 AS i, sentence FROM sent), {_fold('src')}, "
+    f"m AS (SELECT 'documents' AS series, count(*) AS rows, sum({_n_words('text')}) AS words FROM documents UNION ALL SELECT 'chunks', count(*), sum({_n_words('text')}) FROM ch) "
+    "SELECT series, 'rows' AS name, rows::BIGINT AS value FROM m UNION ALL SELECT series, 'words', coalesce(words, 0)::BIGINT FROM m"
+)
+def stream_metrics(spark, sf_dir):
+    """What a stream that splits documents saw go in and come out, as its listener heard it from the running batches."""
+    folder = scratch(spark, "stream-metrics")
+    path = f"{sf_dir}/documents.parque[t]"  # a file stream takes a single file by a pattern only
+    words = F.sum(text.word_count(F.col("text")))
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).select("doc_id", "text")
+    seen = docs.observe("documents", F.count(F.lit(1)).alias("rows"), words.alias("words"))
+    parts = chunking.split_by_tokens(text.split_sentences(F.col("text")), CHUNK_TOKENS)
+    found = seen.select("doc_id", F.posexplode(parts).alias("pos", "text")).observe("chunks", F.count(F.lit(1)).alias("rows"), words.alias("words"))
+    heard = telemetry.StreamMetrics("documents", "chunks")
+    spark.streams.addListener(heard)
+    try:
+        heard.wait(found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/chunks"))
+    finally:
+        spark.streams.removeListener(heard)
+    return telemetry.as_rows(spark, heard.totals)

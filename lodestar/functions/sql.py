@@ -38,8 +38,9 @@ _SCALAR = {
 }
 
 _COUNT = r"CAST(size(regexp_extract_all({}, r'(?U)(\S+)', 1)) AS BIGINT)"
+# the words are a lambda's argument, so that they are found once and not for each slice
 _SLICES = (
-    r"transform(sequence(0, (size(regexp_extract_all(x.s, r'(?U)(\S+)', 1)) - 1) DIV {n}), i -> array_join(slice(regexp_extract_all(x.s, r'(?U)(\S+)', 1), i * {n} + 1, {n}), ' '))"
+    r"get(transform(array(regexp_extract_all(x.s, r'(?U)(\S+)', 1)), ws -> transform(sequence(0, (size(ws) - 1) DIV {n}), i -> array_join(slice(ws, i * {n} + 1, {n}), ' '))), 0)"
 ).format(n=SLICE_WORDS)
 # A state of finished chunks, the sentences of the open one and their words; a sentence that is too long is cut by itself.
 _OVER = "(z.n + x.n > max_tokens AND size(z.open) > 0)"

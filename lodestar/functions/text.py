@@ -41,9 +41,13 @@ def word_count(text: Column) -> Column:
 
 def word_slices(text: Column, size: int = SLICE_WORDS) -> Column:
     """Consecutive slices of so many words, joined by a space."""
-    ws = words(text)
-    starts = F.filter(F.sequence(F.lit(0), F.size(ws), F.lit(size)), lambda i: i < F.size(ws))
-    return F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, size), " "))
+
+    def cut(ws: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ws), F.lit(size)), lambda i: i < F.size(ws))
+        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, size), " "))
+
+    # a lambda's argument is made once; an expression in its body would find the words anew for each slice
+    return F.get(F.transform(F.array(words(text)), cut), 0)
 
 
 def preview(text: Column, chars: int = PREVIEW_CHARS) -> Column:

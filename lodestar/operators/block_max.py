@@ -34,7 +34,9 @@ from lodestar.operators import lexical
 from lodestar.plans.session import materialized
 
 #: Chunks and tokens that a shard holds at most (a single longer chunk is a shard), and chunks of a window (at most 256).
-SHARD_CHUNKS, SHARD_TOKENS, WINDOW = 16_384, 8_000_000, 16
+SHARD_CHUNKS, SHARD_TOKENS, WINDOW = 16_384, 4_000_000, 16
+#: Tokens that are counted at once; what is held of a shard until it is full are counts.
+SLICE_TOKENS = 500_000
 #: Rows (query, term) of a group of queries.
 QUERY_TERMS = 200_000
 #: Windows that a query opens first; then twice as many, and so on.
@@ -51,13 +53,15 @@ _PLACE, _NUMBER = np.dtype("u1"), np.dtype("<u4")
 # Building
 
 
-def _packed(shard: str, ids: np.ndarray, dl: np.ndarray, owner: np.ndarray, codes: np.ndarray, terms: list[str], window: int) -> pa.Table:
+def _packed(shard: str, ids: np.ndarray, dl: np.ndarray, owner: np.ndarray, codes: np.ndarray, tf: np.ndarray, terms: list[str], window: int) -> pa.Table:
     """A shard's rows: for each term its blocks, and one without a term for the chunks."""
     order = np.lexsort((ids, dl))
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
     ids, dl = ids[order], dl[order]
-    posting, tf = np.unique(codes * len(ids) + place[owner], return_counts=True)
+    posting = codes * np.int64(len(ids)) + place[owner]
+    by_term = np.argsort(posting)
+    posting, tf = posting[by_term], tf[by_term]
     code, at = np.divmod(posting, len(ids))
     in_window = at // window
     starts = np.flatnonzero(np.diff(code * len(ids) + in_window, prepend=-1))
@@ -92,39 +96,42 @@ def _packed(shard: str, ids: np.ndarray, dl: np.ndarray, owner: np.ndarray, code
 def _built(run: str, wanted: list[str] | None, window: int, shard_chunks: int, shard_tokens: int) -> Callable:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = pa.array(wanted, pa.string()) if wanted is not None else None
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+        # of each slice its chunks' ids and lengths, and counts: the chunk's place in the slice, the term's code, how often
+        held: list[tuple[np.ndarray, ...]] = []
+        vocabulary: dict[str, int] = {}
         size = tokens = made = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, tokens, made
-            ids, dl = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            nonlocal held, vocabulary, size, tokens, made
             first = np.cumsum([0, *(len(h[0]) for h in held)])
             owner = np.concatenate([h[2] + f for h, f in zip(held, first, strict=False)])
-            kept = pa.chunked_array([h[3] for h in held], pa.string())
-            coded = kept.combine_chunks().dictionary_encode()
-            shard = f"{run}-{TaskContext.get().partitionId()}-{made}"
-            held, size, tokens, made = [], 0, 0, made + 1
-            yield from _packed(shard, ids, dl, owner, coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), window).to_batches(max_chunksize=10_000)
+            ids, dl, codes, tf = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3, 4))
+            terms, shard = list(vocabulary), f"{run}-{TaskContext.get().partitionId()}-{made}"
+            held, vocabulary, size, tokens, made = [], {}, 0, 0, made + 1
+            yield from _packed(shard, ids, dl, owner, codes, tf, terms, window).to_batches(max_chunksize=10_000)
 
         for batch in batches:
-            lists = batch.column(1)
-            dl = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            dl, lists = batch.column(1).to_numpy().astype(np.int64), batch.column(2)
             # slices of a batch, so that a shard never grows beyond its bounds
             ends = np.cumsum(dl)
             low = 0
             while low < len(dl):
-                room = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + shard_tokens - tokens, side="right"))
+                before = ends[low - 1] if low else 0
+                room, slice_ = (int(x) for x in np.searchsorted(ends, (before + shard_tokens - tokens, before + SLICE_TOKENS), side="right"))
                 if room <= low and held:
                     yield from flush()
                     continue
-                high = max(low + 1, min(room, low + shard_chunks - size))
-                flat = lists.slice(low, high - low).flatten()
-                owner = np.repeat(np.arange(high - low), dl[low:high])
+                high = max(low + 1, min(room, slice_, low + shard_chunks - size))
+                n, own = high - low, lists.slice(low, high - low)
+                flat, owner = own.flatten(), np.repeat(np.arange(n), np.diff(own.offsets.to_numpy()))
                 if asked is not None:
                     chosen = pc.is_in(flat, value_set=asked)
                     flat, owner = flat.filter(chosen), owner[chosen.to_numpy(zero_copy_only=False)]
-                held.append((batch.column(0).slice(low, high - low).to_numpy(), dl[low:high], owner, flat))
-                size, tokens, low = size + high - low, tokens + int(dl[low:high].sum()), high
+                coded = flat.dictionary_encode()
+                codes = np.array([vocabulary.setdefault(t, len(vocabulary)) for t in coded.dictionary.to_pylist()], np.int64)
+                found, tf = np.unique(codes[coded.indices.to_numpy()] * n + owner, return_counts=True)
+                held.append((batch.column(0).slice(low, n).to_numpy(), dl[low:high], *(x.astype(np.int32) for x in (found % n, found // n, tf))))
+                size, tokens, low = size + n, tokens + int(dl[low:high].sum()), high
                 if size >= shard_chunks or tokens >= shard_tokens:
                     yield from flush()
         if held:
@@ -253,6 +260,13 @@ class BlockIndex:
     def build(cls, chunks: DataFrame, terms: list[str] | None = None, window: int = WINDOW, shard_chunks: int = SHARD_CHUNKS, shard_tokens: int = SHARD_TOKENS) -> BlockIndex:
         """An index of chunks (chunk_index, text), written once to the shared folder; with ``terms`` of these alone."""
         tokens = lexical.tokenized(chunks.where(F.col("chunk_index").isNotNull()).select(F.col("chunk_index").cast("long").alias("chunk_index"), "text"))
+        if terms is not None and len(terms) <= lexical.FILTER_TERMS:
+            # a few terms are kept by the scan, so that no others are sent to Python; what can't be a token isn't found
+            known = ", ".join(f"'{t}'" for t in terms if t.isascii() and t.isalnum())
+            kept, terms = F.expr(f"filter(tokens, t -> t IN ({known}))" if known else "slice(tokens, 1, 0)"), None
+        else:
+            kept = F.col("tokens")
+        tokens = tokens.select("chunk_index", F.size("tokens").alias("dl"), kept.alias("tokens"))
         made = materialized(tokens.mapInArrow(_built(uuid.uuid4().hex, terms, window, shard_chunks, shard_tokens), _BUILT), "blocks")
         names = lambda schema: [f.split()[0] for f in schema.split(", ")]
         return cls(made.where("term IS NOT NULL").select(*names(BLOCKS)), made.where("term IS NULL").select(*names(SHARDS)))

@@ -2,7 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import block_max, lexical
 from lodestar.sources import index_store
@@ -83,3 +85,22 @@ def test_nothing_to_find(spark):
     assert rows(block_max.search_texts(none, query)) == rows(block_max.search_texts(some, silent)) == rows(block_max.search_texts(some, query, 0)) == []
     assert rows(block_max.search_texts(some, spark.createDataFrame([], ASKS))) == []
     assert len(rows(block_max.search_texts(some, query))) == 1
+
+
+def test_only_the_asked_terms_are_sent_to_python(spark, monkeypatch):
+    def counting(run, wanted, window, shard_chunks, shard_tokens):
+        def build(batches):
+            for batch in batches:
+                n = len(batch.column(2).flatten())
+                names = [f.split() for f in block_max._BUILT.split(", ")]
+                kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+                row = {"term": "x", "n": n, "tokens": sum(batch.column(1).to_pylist())}
+                yield pa.RecordBatch.from_arrays([pa.array([row.get(name)], kinds[kind]) for name, kind in names], [name for name, _ in names])
+
+        return build
+
+    monkeypatch.setattr(block_max, "_built", counting)
+    chunks = spark.createDataFrame([(1, "red fox and red dog"), (2, "a blue whale"), (3, None)], "chunk_index long, text string").coalesce(1)
+    assert block_max.BlockIndex.build(chunks, ["red", "whale", "it's"]).blocks.agg(F.sum("n")).first()[0] == 3
+    assert block_max.BlockIndex.build(chunks, ["it's"]).blocks.agg(F.sum("n")).first()[0] == 0
+    assert block_max.BlockIndex.build(chunks).blocks.agg(F.sum("n")).first()[0] == 8

@@ -64,13 +64,20 @@ def _weights(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[int, np.n
 
 
 def _sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the rows of each key."""
+    """The sums of the rows of each key, which are in order."""
     out = np.zeros((n, values.shape[1]))
+    if len(key):
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        out[key[starts]] = np.add.reduceat(values, starts)
+    return out
+
+
+def _add_sums(total: np.ndarray, product: np.ndarray, weight: np.ndarray, row: np.ndarray, key: np.ndarray) -> None:
+    """Adds the sums of the weighted rows of each key to the total; no more of it is touched."""
     if len(key):
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.diff(key[order], prepend=-1))
-        out[key[order][starts]] = np.add.reduceat(values[order], starts)
-    return out
+        total[key[order][starts]] += np.add.reduceat(weight[order, None] * product[row[order]], starts)
 
 
 def _pass(idf: np.ndarray, directions: np.ndarray, gram: bool) -> Callable:
@@ -85,7 +92,7 @@ def _pass(idf: np.ndarray, directions: np.ndarray, gram: bool) -> Callable:
                 if gram:
                     total += product.T @ product
                 else:
-                    total += _sums(weight[:, None] * product[row], f, len(idf))
+                    _add_sums(total, product, weight, row, f)
         parts = np.array_split(total, 1 if gram else RANGES)
         yield pa.RecordBatch.from_pydict({"range": pa.array(range(len(parts)), pa.int32()), "part": pa.array([p.tobytes() for p in parts], pa.binary())})
 

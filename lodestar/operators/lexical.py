@@ -34,13 +34,22 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("chunk_index", F.explode("tokens").alias("term")).groupBy("term", "chunk_index").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index_postings(tokens: DataFrame) -> DataFrame:
-    """Postings with the length of their chunk, laid out by term."""
+def counted_postings(tokens: DataFrame) -> DataFrame:
+    """Postings with the length of their chunk, in no order, written once: layout and statistics read them several times."""
     rows = tokens.select("chunk_index", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    rows = rows.groupBy("term", "chunk_index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return materialized(rows.groupBy("term", "chunk_index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "postings")
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Postings in order of their terms."""
     return rows.repartitionByRange("term", "chunk_index").sortWithinPartitions("term", "chunk_index")
 
 
+def index_postings(tokens: DataFrame) -> DataFrame:
+    """Postings with the length of their chunk, laid out by term."""
+    return laid_out(counted_postings(tokens))
+
+
 def doc_stats(tokens: DataFrame) -> DataFrame:
     return tokens.select("chunk_index", F.size("tokens").cast("long").alias("dl"))
 
@@ -85,9 +94,9 @@ class LexicalIndex:
     @classmethod
     def build(cls, chunks: DataFrame) -> LexicalIndex:
         tokens = tokenized(chunks)
-        posts, docs = index_postings(tokens), doc_stats(tokens)
+        counted, docs = counted_postings(tokens), materialized(doc_stats(tokens), "doc-stats")
         corpus = corpus_stats(docs)
-        return cls(posts, docs, term_stats(posts, corpus), corpus)
+        return cls(laid_out(counted), docs, term_stats(counted, corpus), corpus)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"postings": self.postings, "doc_stats": self.doc_stats, "term_stats": self.term_stats, "corpus_stats": self.corpus_stats}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +43,35 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files behind; else they stay until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialized(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df`` written once to the shared folder and read from there, for plans that use them several times."""
     path = scratch(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Deletes the folders that ``frame`` reads, which must be tables of ``materialized`` that nothing reads any more."""
+    spark = frame.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {os.path.dirname(f) for f in frame.inputFiles()}:
+        place = path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out over all cores if it is a scan that gives fewer than half as many partitions.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.plans.session import broadcast_if_small, materialized
+from lodestar.plans.session import broadcast_if_small, discard, materialized
 
 #: The folders' column, and how many there are. Both belong to the layout: tables that are stored have been written by them.
 BUCKET, BUCKETS = "tenant_bucket", 256
@@ -67,17 +67,18 @@ def active_tenants(registry: DataFrame) -> DataFrame:
     return registry.agg(F.count_distinct("tenant").alias("active_tenants"))
 
 
-def numbered(rows: DataFrame, key: str, ties: list[str], start: int, bucket_rows: int = 500_000) -> DataFrame:
+def numbered(rows: DataFrame, key: str, ties: list[str], start: int, bucket_rows: int = 50_000) -> DataFrame:
     """``rows`` with a dense chunk_index from ``start``, in order of the key and then the ties.
 
     Rows are dealt into ranges of key and ties, sorted there and written once, each with its place; a small table of
-    the ranges' sizes then gives each range its first number. No task sees all rows, and the driver none; equal keys
+    the ranges' sizes then gives each range its first number. A range is what one task sorts, texts included. No task sees all rows, and the driver none; equal keys
     are spread over ranges by their ties. ``rows`` is evaluated once, for the sizes must be those of the rows returned.
     """
     rows = materialized(rows, "unnumbered")
     buckets = max(1, -(-rows.count() // bucket_rows))
     ordered = rows.repartitionByRange(buckets, key, *ties).sortWithinPartitions(key, *ties)
     kept = materialized(ordered.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    discard(rows)
     # the upper bits of a place are the range, the lower 33 the row's number in it
     range_ = F.shiftrightunsigned("_place", 33)
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -25,7 +25,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.plans.session import broadcast_if_small
+from lodestar.plans.session import broadcast_if_small, shuffles_dropped
 from lodestar.sources import schemas
 
 SCHEMAS = {
@@ -118,7 +118,8 @@ def _begin(spark: SparkSession, folder: str, expected: int | None = None) -> tup
 def _write_part(tables: dict[str, DataFrame], folder: str) -> str:
     part = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.partitionBy(*FOLDERS.get(name, ())).parquet(f"{folder}/{part}/{name}")
+        with shuffles_dropped(df.sparkSession):
+            df.write.partitionBy(*FOLDERS.get(name, ())).parquet(f"{folder}/{part}/{name}")
     return part
 
 

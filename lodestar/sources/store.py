@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import lexical
 from lodestar.operators.chunking import MAX_TOKENS, THRESHOLD, semantic_chunks
 from lodestar.operators.vector_index import VectorIndex
-from lodestar.plans.session import materialized
+from lodestar.plans.session import discard, materialized
 from lodestar.sources import index_store, registry
 
 
@@ -54,15 +54,20 @@ def ingest(
     start = before.next_index if before else 0
     # the tenant travels with the text, so an id that occurs twice in a batch gives each row's chunks once
     rows = docs.select(F.struct("doc_id", "tenant", F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text")
-    found = semantic_chunks(materialized(rows, "documents"), threshold, max_tokens).select("doc_id.doc_id", "doc_id.tenant", "doc_id.row", "pos", "text")
-    new = registry.numbered(found, "doc_id", ["row", "pos"], start)
+    rows = materialized(rows, "documents")
+    found = semantic_chunks(rows, threshold, max_tokens).select("doc_id.doc_id", "doc_id.tenant", "doc_id.row", "pos", "text")
+    numbered = registry.numbered(found, "doc_id", ["row", "pos"], start)
     created = F.current_timestamp() if created_at is None else created_at
-    new = materialized(new.select("chunk_index", "tenant", "text", created.cast("timestamp").alias("created_at")), "chunks")
+    new = materialized(numbered.select("chunk_index", "tenant", "text", created.cast("timestamp").alias("created_at")), "chunks")
+    # what was made on the way is as large as the batch, and so is what is made next
+    for made in (rows, numbered):
+        discard(made)
     n = new.count()
     if not n:
         return 0
     tokens = lexical.tokenized(new)
-    tables = {"chunks": new, "postings": lexical.index_postings(tokens), "doc_stats": lexical.doc_stats(tokens)}
+    postings = lexical.counted_postings(tokens)
+    tables = {"chunks": new, "postings": lexical.laid_out(postings), "doc_stats": lexical.doc_stats(tokens)}
     if embed is not None:
         vectors = materialized(new.select("chunk_index", embed(F.col("text")).cast("array<float>").alias("embedding")), "vectors")
         stored = restore(spark, folder)
@@ -70,6 +75,8 @@ def ingest(
         tables |= {"vectors": known.added(vectors)} if known else VectorIndex.build(vectors).tables()
     # ids were given on from this version, so no other may have come in between
     index_store.write_tables(tables, folder, append=True, next_index=start + n, expected=before.version if before else 0)
+    for made in (new, postings):
+        discard(made)
     return n
 
 

@@ -1,8 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import dense, fusion
+from lodestar.operators import dense, fusion, lexical
 from lodestar.operators.models import hashed_embedding, model_embedder, model_generator
 from lodestar.plans.pipeline import Retriever
 from lodestar.sources import index_store, registry, store
@@ -104,3 +106,27 @@ def test_model_adapters(spark):
     assert rows[1] == [0.0, 1.0] and rows[2] == pytest.approx([0.8, 0.6])
     answer = model_generator(lambda: lambda prompts: [p.upper() for p in prompts], batch=2)
     assert [r["a"] for r in df.select(answer(F.col("t")).alias("a")).collect()] == ["AB", "", "ABCD"]
+
+
+def test_ingest_leaves_nothing_but_the_store(spark, tmp_path):
+    from urllib.parse import urlparse
+
+    shared = urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    before = set(os.listdir(shared))
+    docs = spark.createDataFrame([(1, "a", "A cat sat. It purred."), (2, "b", "A dog.")], "doc_id long, tenant string, text string")
+    assert store.ingest(docs, f"file://{tmp_path}/corpus") > 0
+    assert not {n for n in set(os.listdir(shared)) - before if n.split("-")[0] in ("documents", "unnumbered", "numbered", "chunks", "postings")}
+    assert store.restore(spark, f"file://{tmp_path}/corpus").index.postings.count() > 0
+
+
+def test_numbers_are_given_in_ranges_that_one_task_can_sort(spark):
+    rows = registry.numbered(spark.range(120_000).select(F.col("id").alias("doc_id")), "doc_id", [], 0)
+    assert len({f for f in rows.inputFiles() if "/numbered-" in f}) >= 3
+    assert rows.where("chunk_index <> doc_id").count() == 0 and rows.count() == 120_000
+
+
+def test_statistics_are_made_of_postings_that_were_counted_once(spark):
+    index = lexical.LexicalIndex.build(spark.createDataFrame([(1, "a b a"), (2, "b")], "chunk_index long, text string"))
+    for table in (index.term_stats, index.corpus_stats, index.postings):
+        assert "regexp_extract_all" not in table._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["term"], r["df"]) for r in index.term_stats.collect()) == [("a", 1), ("b", 2)]

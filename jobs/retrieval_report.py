@@ -73,18 +73,15 @@ class Found:
 
 
 def metrics(hits: DataFrame, qrels: DataFrame, k: int, strategies: Sequence[str]) -> DataFrame:
-    """(strategy, query_id, n_hits, recall, rr, ndcg), with the best order of all judgements as the ideal.
+    """(strategy, query_id, n_hits, recall, rr, ndcg) of judged hits, with the best order of all judgements as the ideal.
 
-    A question of a strategy is one question to the evaluation, so all strategies are judged at once.
+    A question of a strategy is one question to the evaluation, so all strategies are measured at once. Judgements, which
+    grow with the documents, come in as one row for each question.
     """
     both = F.struct("strategy", "query_id").alias("query_id")
-    hits = hits.select(both, "chunk_index", "rank")
-    qrels = qrels.withColumn("strategy", F.explode(F.array(*map(F.lit, strategies)))).select(both, "chunk_index", "rel")
-    rows = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
-    for part in (evaluation.recall(hits, qrels, k), evaluation.reciprocal_rank(hits, qrels), evaluation.ndcg(hits, qrels, k, ideal="judged")):
-        rows = rows.join(part, "query_id", "full")
-    digits = [F.round(F.coalesce(c, F.lit(0.0)), DIGITS).alias(c) for c in ("recall", "rr", "ndcg")]
-    return rows.select("query_id.strategy", "query_id.query_id", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), *digits)
+    best = evaluation.ideals(qrels, k).withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))
+    rows = evaluation.measured(hits.select(both, "rank", "rel"), best.select(both, "n_relevant", "ideal"), k)
+    return rows.select("query_id.strategy", "query_id.query_id", "n_hits", *(F.round(c, DIGITS).alias(c) for c in ("recall", "rr", "ndcg")))
 
 
 def _replace(rows: DataFrame, path: str, strategies: Sequence[str]) -> None:
@@ -115,7 +112,8 @@ def retrieval_report(
     near = spark.read.parquet(vectors).where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("chunk_index"), "embedding")
     queries = asked.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias("query_id"), "text").withColumn("tenant", tenant_of(F.col("query_id")))
     queries = materialized(queries.join(near.withColumnRenamed("chunk_index", "query_id"), "query_id", "left"), "report-questions")
-    owned = judged.where(F.col("quality").isNotNull()).withColumnRenamed("doc_id", "chunk_index").join(chunks.select("chunk_index", "tenant"), "chunk_index")
+    # labels grow with the documents, and as files they are small for their rows: neither side is broadcast
+    owned = judged.where(F.col("quality").isNotNull()).withColumnRenamed("doc_id", "chunk_index").join(chunks.select("chunk_index", "tenant").hint("merge"), "chunk_index")
     qrels = materialized(queries.select("query_id", "tenant").join(owned, "tenant").select("query_id", "chunk_index", F.col("quality").alias("rel")), "report-judgements")
     done = {"documents_read": docs.count(), "questions_read": asked.count(), "labels_read": judged.count()}
     log.info("read %s, %s, %s, %s: %s", documents, vectors, questions, labels, done)

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 
 def judged(hits: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Hits with their relevance."""
-    rel = qrels.select("query_id", "chunk_index", "rel")
+    """Hits with their relevance.
+
+    Judgements are the larger side and pack well: by the size of their files Spark would broadcast millions of rows.
+    """
+    rel = qrels.select("query_id", "chunk_index", "rel").hint("merge")
     return hits.join(rel, ["query_id", "chunk_index"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)).cast("double"))
 
 
@@ -23,6 +26,28 @@ def _relevant(qrels: DataFrame) -> DataFrame:
     return qrels.where("rel > 0").groupBy("query_id").agg(F.count_distinct("chunk_index").alias("n_relevant"))
 
 
+def ideals(qrels: DataFrame, k: int) -> DataFrame:
+    """(query_id, n_relevant, ideal): relevant chunks and the greatest dcg that a query's judgements allow, one row for each query."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "chunk_index"))
+    best = qrels.withColumn("_place", place).where(F.col("_place") <= k)
+    best = best.groupBy("query_id").agg(F.sum(_gain(F.col("rel").cast("double"), F.col("_place"))).alias("ideal"))
+    return best.join(_relevant(qrels), "query_id", "left").select("query_id", F.coalesce("n_relevant", F.lit(0).cast("long")).alias("n_relevant"), "ideal")
+
+
+def measured(rows: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """(query_id, n_hits, recall, rr, ndcg) of judged hits against ``ideals``; judgements themselves aren't read again."""
+    near, hit = F.col("rank") <= k, F.col("rel") > 0
+    own = rows.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_hits"),
+        F.count(F.when(near & hit, 1)).alias("_found"),
+        F.min(F.when(hit, F.col("rank"))).alias("_first"),
+        F.sum(F.when(near, _gain(F.col("rel"), F.col("rank")))).alias("_dcg"),
+    )
+    shares = {"recall": F.col("_found") / F.nullif(F.col("n_relevant"), F.lit(0)), "rr": 1.0 / F.col("_first"), "ndcg": F.col("_dcg") / F.nullif(F.col("ideal"), F.lit(0.0))}
+    both = own.join(best, "query_id", "full")
+    return both.select("query_id", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), *(F.coalesce(c, F.lit(0.0)).alias(name) for name, c in shares.items()))
+
+
 def recall(hits: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """(query_id, recall): relevant hits among the first k over relevant chunks; 0 where there are none."""
     found = judged(hits, qrels).groupBy("query_id").agg(F.sum(F.when((F.col("rank") <= k) & (F.col("rel") > 0), 1).otherwise(0)).alias("n"))

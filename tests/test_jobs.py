@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import subprocess
 import sys
 
@@ -152,6 +153,28 @@ def test_report_over_emptied_tables_leaves_nothing_old(spark, place, tmp_path):
             report.retrieval_report(spark, *paths, place("out"), **wrong)
 
 
+def test_report_broadcasts_no_judgements(spark, place):
+    """A few MB of files held millions of judgements, which the driver got once for each strategy and measure."""
+    shape = "query_id long, chunk_index long"
+    spark.range(1000).selectExpr("id % 10 AS query_id", "id AS chunk_index", "cast(id % 2 AS int) AS rel").write.parquet(place("qrels"))
+    spark.createDataFrame([(1, 1, 1, "dense"), (1, 2, 2, "dense"), (1, 11, 1, "lexical")], f"{shape}, rank long, strategy string").write.parquet(place("found"))
+    qrels, found = (spark.read.parquet(place(n)) for n in ("qrels", "found"))
+    judged = report.evaluation.judged(found, qrels)
+    rows = report.metrics(judged, qrels, 2, ["dense", "lexical"])
+    for frame in (judged, rows):  # joins with judgements are those on chunks too
+        assert not re.search(r"Broadcast\w*Join \[.*chunk_index", frame._jdf.queryExecution().executedPlan().toString())
+    own = {(r["strategy"], r["query_id"]): r for r in rows.collect()}
+    assert len(own) == 20 and own["dense", 1]["n_hits"] == 2 and own["dense", 1]["recall"] == own["lexical", 1]["recall"] == 0.01
+    assert own["lexical", 3]["n_hits"] == 0 and own["lexical", 1]["ndcg"] == pytest.approx(0.613147, abs=1e-6)
+
+
+def test_report_counts_a_chunk_judged_twice_as_its_hits_do(spark, place):
+    paths = tables(spark, place, [(1, "src1", "apple", 0), (2, "src1", "pie", 0)], [], [(1, "apple")], [(1, 1), (1, 1), (2, 1)])
+    report.retrieval_report(spark, *paths, place("out"), ["lexical"], baseline="lexical")
+    row = report.read(spark, place("out") + "/metrics", report.METRICS).first()
+    assert (row["n_hits"], row["recall"], row["rr"]) == (2, 1.0, 1.0)  # as the SQL; 2.0 before, when hits met the judgements twice
+
+
 def test_command_line(spark, small, place, tmp_path):
     deliver(spark, place("in"), some(spark, small)[:10])
     args = ["--documents", place("in"), "--output", place("out"), "--checkpoint", place("mark"), "--master", "local[2]"]

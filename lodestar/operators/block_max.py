@@ -369,9 +369,16 @@ def asked_by(queries: DataFrame) -> Asked:
 
 
 def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = lexical.K1, b: float = lexical.B, delta: float = lexical.DELTA) -> DataFrame:
-    """The hits of an index that is made for the queries' terms alone; of all terms where the queries have more than a group's."""
+    """The hits of an index that is made for the queries' terms alone; of all terms where the queries have more than a group's.
+
+    Without any term there are no hits, and no index is made.
+    """
     terms = lexical.query_terms(queries).limit(QUERY_TERMS + 1)
-    if terms.count() > QUERY_TERMS:
+    n_terms = terms.count()
+    if not n_terms:
+        none = queries.sparkSession.createDataFrame([], "chunk_index long, score double, rank long")
+        return none.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "*")
+    if n_terms > QUERY_TERMS:
         return BlockIndex.build(chunks).search(queries, k, k1, b, delta)
     asked = asked_by(queries)
     index = BlockIndex.build(chunks, sorted({t for ts in asked.values() for t, _ in ts}))

@@ -63,8 +63,11 @@ def _block(k: int | None, threshold: float | None):
 
 
 def _dealt(vectors: DataFrame, queries: DataFrame, vector_rows: int, query_rows: int, within: bool = False) -> tuple[DataFrame, DataFrame]:
+    n_queries = queries.count()
+    if not n_queries:  # else every vector would be dealt out to Python for nothing
+        queries, vectors = (df.where(F.lit(False)) for df in (queries, vectors))
     across = max(1, -(-vectors.count() // vector_rows))
-    down = max(1, -(-queries.count() // query_rows))
+    down = max(1, -(-n_queries // query_rows))
     deal = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = (F.col("tenant").alias("tenant") if within else F.lit("").alias("tenant"),)

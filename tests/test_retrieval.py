@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import prompt, text, vector
 from lodestar.operators.vector_index import VectorIndex
-from lodestar.operators import budget, chunking, dense, evaluation, fusion, metrics, rerank
+from lodestar.operators import block_max, budget, chunking, dense, evaluation, fusion, lexical, metrics, rerank
 from lodestar.plans.pipeline import Retriever, answer_prompts
 from lodestar.sources import corpora, registry
 from lodestar.sources.schemas import QueryRequest
@@ -229,6 +229,21 @@ def test_sentences_and_preview(spark):
     assert spark.range(1).select(text.preview(F.lit("x" * 121)).alias("p")).first()["p"] == "x" * 120 + "..."
 
 
+def test_a_search_without_queries_sends_nothing_to_python(spark, monkeypatch):
+    """Where each query has a tenant, the search for those without one built an index of all chunks and dealt out all vectors."""
+    monkeypatch.setattr(block_max.BlockIndex, "build", lambda *_, **__: pytest.fail("an index for no queries"))
+    chunks = spark.createDataFrame([(i, f"src{i % 2}", "apple pie") for i in range(40)], "chunk_index long, tenant string, text string")
+    base = spark.range(40).select(F.col("id").alias("chunk_index"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    asks = spark.createDataFrame([(1, "apple", [1.0, 0.0], "src1")], "query_id long, text string, embedding array<double>, tenant string")
+    found = Retriever(chunks, base, tenancy="pre").candidates(asks)
+    assert {r["chunk_index"] % 2 for r in found.where("rank <= 5").collect()} == {1}
+    none = dense.search(base, asks.where("tenant IS NULL"), 3)
+    assert none.columns == ["query_id", "chunk_index", "score", "rank"] and none.count() == 0
+    assert "Range" not in none._jdf.queryExecution().optimizedPlan().toString()
+    words = lexical.search_texts(chunks, asks.where("tenant IS NULL"), 3)
+    assert words.schema["query_id"].dataType == asks.schema["query_id"].dataType and words.columns == none.columns and words.count() == 0
+
+
 # Evaluation, registry, corpora, telemetry
 
 

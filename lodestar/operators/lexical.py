@@ -104,24 +104,25 @@ class LexicalIndex:
     def search(self, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, delta: float = DELTA, owners: DataFrame | None = None) -> DataFrame:
         """(query_id, chunk_index, score, rank); chunks that share no term with a query aren't hits.
 
-        With ``owners`` (chunk_index, tenant) each of the ``queries`` sees its own tenant's chunks only.
+        With ``owners`` (chunk_index, tenant) each of the ``queries`` sees its own tenant's chunks only. Without, no row is
+        made for each pair of a query and a chunk, see ``posting_search``.
         """
+        if owners is None:
+            from lodestar.operators import posting_search
+
+            return posting_search.search(self, queries, k, k1, b, delta)
         terms = query_terms(queries)
         wanted = [r["term"] for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
         posts = self.postings
         posts = posts.where(F.col("term").isin(wanted)) if len(wanted) <= FILTER_TERMS else posts.join(broadcast_if_small(terms.select("term").distinct()), "term")
         counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         known = posts.join(broadcast_if_small(counts), "term").crossJoin(F.broadcast(self.corpus_stats))  # one row
-        known = known.withColumn("idf", idf(F.col("n"), F.col("df")))
-        if owners is not None:
-            known = known.join(owners.select("chunk_index", "tenant"), "chunk_index")
-        return ranked(_scores(_asked(known, queries, terms, owners is not None), k1, b, delta), k)
+        known = known.withColumn("idf", idf(F.col("n"), F.col("df"))).join(owners.select("chunk_index", "tenant"), "chunk_index")
+        return ranked(_scores(_asked(known, queries, terms), k1, b, delta), k)
 
 
-def _asked(posts: DataFrame, queries: DataFrame, terms: DataFrame, within: bool) -> DataFrame:
-    """Postings beside the queries that ask for their terms, of the same tenant if ``within``."""
-    if not within:
-        return posts.join(broadcast_if_small(terms), "term")
+def _asked(posts: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings beside the queries of the same tenant that ask for their terms."""
     owned = terms.join(queries.select("query_id", "tenant"), "query_id")
     return posts.join(broadcast_if_small(owned), ["term", "tenant"])
 
@@ -153,7 +154,7 @@ def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     known = posts.join(broadcast_if_small(counts.select("term", idf(F.lit(n), F.col("df")).alias("idf"))), "term")
     known = known.withColumn("avg_dl", F.lit((total or 0) / n if n else 1.0))
     known = known.join(chunks.select("chunk_index", "tenant"), "chunk_index")
-    return ranked(_scores(_asked(known, queries, terms, True), k1, b, delta), k)
+    return ranked(_scores(_asked(known, queries, terms), k1, b, delta), k)
 
 
 class NotIndexedError(RuntimeError):

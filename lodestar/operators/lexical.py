@@ -40,6 +40,17 @@ def counted_postings(tokens: DataFrame) -> DataFrame:
     return materialized(rows.groupBy("term", "chunk_index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "postings")
 
 
+def chunk_postings(tokens: DataFrame) -> DataFrame:
+    """Postings with the length of their chunk, of chunks whose ids are unique: counted in the chunk's own row, without a shuffle."""
+    rows = tokens.select("chunk_index", F.sort_array("tokens").alias("_t"))
+    places = F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.size("_t") - 1)).otherwise(F.array().cast("array<int>"))
+    # where the sorted tokens change
+    rows = rows.withColumn("_b", F.filter(places, lambda i: (i == 0) | (F.get(F.col("_t"), i) != F.get(F.col("_t"), i - 1))))
+    run = lambda at, j: F.struct(F.get(F.col("_t"), at).alias("term"), (F.coalesce(F.get(F.col("_b"), j + 1), F.size("_t")) - at).cast("long").alias("tf"))
+    rows = rows.select("chunk_index", F.size("_t").cast("long").alias("dl"), F.explode(F.transform("_b", run)).alias("_p"))
+    return rows.select("_p.term", "chunk_index", "_p.tf", "dl")
+
+
 def laid_out(rows: DataFrame) -> DataFrame:
     """Postings in order of their terms."""
     return rows.repartitionByRange("term", "chunk_index").sortWithinPartitions("term", "chunk_index")

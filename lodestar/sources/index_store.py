@@ -115,8 +115,8 @@ def _begin(spark: SparkSession, folder: str, expected: int | None = None) -> tup
     return before, version
 
 
-def _write_part(tables: dict[str, DataFrame], folder: str) -> str:
-    part = uuid.uuid4().hex
+def _write_part(tables: dict[str, DataFrame], folder: str, part: str | None = None) -> str:
+    part = part or uuid.uuid4().hex
     for name, df in tables.items():
         with shuffles_dropped(df.sparkSession):
             df.write.partitionBy(*FOLDERS.get(name, ())).parquet(f"{folder}/{part}/{name}")
@@ -142,17 +142,31 @@ def _publish(spark: SparkSession, folder: str, new: Manifest) -> int:
     return new.version
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, append: bool = False, next_index: int | None = None, expected: int | None = None) -> int:
+def begin_part(name: str, df: DataFrame, folder: str) -> tuple[str, DataFrame]:
+    """Writes the first table of a new part and gives its rows as stored, for the part's other tables to be made of.
+
+    The part belongs to no version before ``write_tables`` was called with it; until then it is what a dead writer leaves.
+    """
+    part = _write_part({name: df}, folder)
+    return part, _stored(df.sparkSession, folder, (part,), name)
+
+
+def write_tables(
+    tables: dict[str, DataFrame], folder: str, append: bool = False, next_index: int | None = None, expected: int | None = None, part: str | None = None
+) -> int:
     """Writes the tables as a part and makes a version current that has it, with ``append`` beside the earlier parts.
 
-    With ``expected`` it is an error if the current version is another (0: none).
+    With ``expected`` it is an error if the current version is another (0: none). A ``part`` of ``begin_part`` gets the tables
+    beside the one it has.
     """
     spark = next(iter(tables.values())).sparkSession
     before, version = _begin(spark, folder, expected)
-    part = _write_part(tables, folder)
+    _, place, system = _files(spark, f"{folder}/{part}")
+    begun = [f.getPath().getName() for f in system.listStatus(place)] if part else []
+    part = _write_part(tables, folder, part)
     given = next_index if next_index is not None else before.next_index if before else 0
     kept = before if before and append else Manifest(0, (), ())
-    return _publish(spark, folder, Manifest(version, (*kept.parts, part), tuple(sorted({*tables, *kept.tables})), given, kept.deletions))
+    return _publish(spark, folder, Manifest(version, (*kept.parts, part), tuple(sorted({*tables, *begun, *kept.tables})), given, kept.deletions))
 
 
 def read_tables(spark: SparkSession, folder: str, found: Manifest | None = None) -> dict[str, DataFrame] | None:

@@ -54,29 +54,29 @@ def ingest(
     start = before.next_index if before else 0
     # the tenant travels with the text, so an id that occurs twice in a batch gives each row's chunks once
     rows = docs.select(F.struct("doc_id", "tenant", F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text")
-    rows = materialized(rows, "documents")
     found = semantic_chunks(rows, threshold, max_tokens).select("doc_id.doc_id", "doc_id.tenant", "doc_id.row", "pos", "text")
+    # evaluates the rows once, so each keeps the number that it has there
     numbered = registry.numbered(found, "doc_id", ["row", "pos"], start)
-    created = F.current_timestamp() if created_at is None else created_at
-    new = materialized(numbered.select("chunk_index", "tenant", "text", created.cast("timestamp").alias("created_at")), "chunks")
-    # what was made on the way is as large as the batch, and so is what is made next
-    for made in (rows, numbered):
-        discard(made)
-    n = new.count()
+    n = numbered.count()
     if not n:
+        discard(numbered)
         return 0
+    created = F.current_timestamp() if created_at is None else created_at
+    chunks = numbered.select("chunk_index", "tenant", "text", created.cast("timestamp").alias("created_at"))
+    # the chunks are written once, to the part itself; no version names it yet
+    part, new = index_store.begin_part("chunks", chunks, folder)
+    discard(numbered)
     tokens = lexical.tokenized(new)
-    postings = lexical.counted_postings(tokens)
-    tables = {"chunks": new, "postings": lexical.laid_out(postings), "doc_stats": lexical.doc_stats(tokens)}
+    postings = materialized(lexical.chunk_postings(tokens), "postings")
+    tables = {"postings": lexical.laid_out(postings), "doc_stats": lexical.doc_stats(tokens)}
     if embed is not None:
         vectors = materialized(new.select("chunk_index", embed(F.col("text")).cast("array<float>").alias("embedding")), "vectors")
         stored = restore(spark, folder)
         known = stored.vector_index if stored else None
         tables |= {"vectors": known.added(vectors)} if known else VectorIndex.build(vectors).tables()
     # ids were given on from this version, so no other may have come in between
-    index_store.write_tables(tables, folder, append=True, next_index=start + n, expected=before.version if before else 0)
-    for made in (new, postings):
-        discard(made)
+    index_store.write_tables(tables, folder, append=True, next_index=start + n, expected=before.version if before else 0, part=part)
+    discard(postings)
     return n
 
 

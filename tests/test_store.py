@@ -130,3 +130,21 @@ def test_statistics_are_made_of_postings_that_were_counted_once(spark):
     for table in (index.term_stats, index.corpus_stats, index.postings):
         assert "regexp_extract_all" not in table._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["term"], r["df"]) for r in index.term_stats.collect()) == [("a", 1), ("b", 2)]
+
+
+def test_a_batch_is_written_once_and_its_postings_are_not_shuffled_to_be_counted(spark, tmp_path, monkeypatch):
+    """Of texts there are no copies but those of the numbering and the store; a term is counted in its chunk's row."""
+    made = []
+    for module in (store, registry):
+        monkeypatch.setattr(module, "materialized", lambda df, purpose, f=module.materialized: made.append((purpose, df)) or f(df, purpose))
+    folder = f"file://{tmp_path}/t"
+    texts = ["A cat sat. The cat saw a cat!", "", "é ü.", "Dogs dig. Dogs run, a dog digs."]
+    assert store.ingest(spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], SCHEMA), folder) == 4
+    assert [purpose for purpose, _ in made] == ["unnumbered", "numbered", "postings"]
+    assert "HashAggregate" not in made[2][1]._jdf.queryExecution().executedPlan().toString()
+    tables = index_store.read_tables(spark, folder)
+    assert sorted(tables) == ["chunks", "doc_stats", "postings"] and len(index_store.current(spark, folder).parts) == 1
+    tokens = lexical.tokenized(tables["chunks"])
+    assert tables["postings"].count() > 0
+    assert sorted(map(tuple, tables["postings"].collect())) == sorted(map(tuple, lexical.index_postings(tokens).select("term", "chunk_index", "tf", "dl").collect()))
+    assert sorted(map(tuple, tables["doc_stats"].collect())) == sorted(map(tuple, lexical.doc_stats(tokens).collect()))
